@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from lodestone.llm.media import op6_media_columns
 from lodestone.llm.pieces import op10_sentencepiece
+from lodestone.llm.topk import OP8_SQL, op8_exact_topk
 
 
 def queries() -> dict:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    return {
+        "op6_media_columns": op6_media_columns,
+        "op8_exact_topk": op8_exact_topk,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_topk": OP8_SQL}
