@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.licenses import op1_license_scan, op1_sql
 from lodestone.llm.media import op6_media_columns
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
@@ -9,6 +10,7 @@ from lodestone.llm.topk import OP8_SQL, op8_exact_topk
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op6_media_columns": op6_media_columns,
         "op8_exact_topk": op8_exact_topk,
         "op10_sentencepiece": op10_sentencepiece,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8_SQL}
+    return {"op1_license_scan": op1_sql(), "op8_exact_topk": OP8_SQL}
