@@ -6,6 +6,7 @@ from lodestone.llm.licenses import op1_license_scan, op1_sql
 from lodestone.llm.media import op6_media_columns
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
+from lodestone.llm.urls import op9_url_filters
 
 
 def queries() -> dict:
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_license_scan": op1_license_scan,
         "op6_media_columns": op6_media_columns,
         "op8_exact_topk": op8_exact_topk,
+        "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
