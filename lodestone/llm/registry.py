@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.licenses import op1_license_scan, op1_sql
+from lodestone.llm.lines import OP5_SQL, op5_line_dedup
 from lodestone.llm.media import op6_media_columns
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
@@ -12,6 +13,7 @@ from lodestone.llm.urls import op9_url_filters
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op5_line_dedup": op5_line_dedup,
         "op6_media_columns": op6_media_columns,
         "op8_exact_topk": op8_exact_topk,
         "op9_url_filters": op9_url_filters,
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op8_exact_topk": OP8_SQL}
+    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL}
