@@ -6,6 +6,7 @@ from lodestone.llm.language import op3_language_id
 from lodestone.llm.licenses import op1_license_scan, op1_sql
 from lodestone.llm.lines import OP5_SQL, op5_line_dedup
 from lodestone.llm.media import op6_media_columns
+from lodestone.llm.near import op2_minhash_near_dedup
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
 from lodestone.llm.toxicity import op4_toxicity
@@ -15,6 +16,7 @@ from lodestone.llm.urls import op9_url_filters
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
