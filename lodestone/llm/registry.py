@@ -6,6 +6,7 @@ from lodestone.llm.language import op3_language_id
 from lodestone.llm.licenses import op1_license_scan, op1_sql
 from lodestone.llm.lines import OP5_SQL, op5_line_dedup
 from lodestone.llm.media import op6_media_columns
+from lodestone.llm.mixing import op7_source_mixing
 from lodestone.llm.near import op2_minhash_near_dedup
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_media_columns": op6_media_columns,
+        "op7_source_mixing": op7_source_mixing,
         "op8_exact_topk": op8_exact_topk,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
