@@ -226,16 +226,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def label_documents(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, then the predicted language and its probability. Row by row, no shuffle."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
+    at = rows.columns.index(text_col)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(at).to_pylist()
                 found, scores = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     return rows.mapInArrow(run, ", ".join([*fields, f"{names[0]} string", f"{names[1]} double"]))
 

@@ -259,17 +259,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # of the rows of the class's first id those whose text has the smallest key, once
     first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & F.col("key").isNotNull()).groupBy("class_id").agg(F.min("key").alias("__key"))
     first = materialize(first.select(F.col("class_id").alias("__id"), "__key"))
-    columns = docs.columns
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = columns.index(text_col)
+    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "__key binary"])
+    at = docs.columns.index(text_col)
 
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [text_key(WORD.findall(t.as_py().lower()), t.as_py()) == k.as_py() for k, t in zip(batch.column(len(columns)), batch.column(at), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(columns)
+            keys = pa.array([text_key(WORD.findall(t.as_py().lower()), t.as_py()) for t in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "__key"])
 
-    kept = docs.where(F.col(text_col).isNotNull()).join(first, F.col(id_col) == F.col("__id")).drop("__id").select(*columns, "__key").mapInArrow(matching, spec)
-    return kept.dropDuplicates([id_col]).union(docs.where(F.col(text_col).isNull()))
+    keyed = docs.where(F.col(text_col).isNotNull()).mapInArrow(with_key, spec)
+    # the join deals rows by (id, key), and so no further shuffle is needed to keep one of repeated rows
+    kept = keyed.join(first, (F.col(id_col) == F.col("__id")) & (keyed["__key"] == first["__key"]), "left_semi").dropDuplicates([id_col, "__key"])
+    return kept.select(*docs.columns).union(docs.where(F.col(text_col).isNull()))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
