@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.session import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts such words before A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases and labels that every scan counts.
@@ -72,7 +72,7 @@ def templates() -> list[dict]:
 
 def document_words(text: Column) -> Column:
     """Words in their own case."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(RAW_WORD), F.lit(0))
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN, -1), lambda w: w != "")
 
 
 def word_idf(docs: DataFrame, words: list[str], text_col: str = "text") -> dict[str, float]:

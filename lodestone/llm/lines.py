@@ -45,9 +45,9 @@ def template_keys(tokens: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dropped): the numbers (from 0) of the lines that go, for each document that loses any."""
     lines = F.split(F.col(text_col), "\n", -1)
-    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.transform(lines, lambda x: template_keys(tokens_of(x))).alias("lines"))
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.transform(F.transform(lines, tokens_of), template_keys).alias("lines"))
     keyed = materialize(keyed)
-    in_document = keyed.select("doc", F.explode(F.array_distinct(F.flatten("lines"))).alias("key"))
+    in_document = keyed.select("doc", F.explode(F.array_distinct(F.flatten("lines"))).alias("key")).distinct()
     recurring = in_document.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     recurring = materialize(recurring.where((F.col("docs") >= min_docs) & (F.col("first") < F.col("last"))).select("key", "first"))
     placed = keyed.select("doc", F.posexplode("lines").alias("line", "keys")).select("doc", "line", F.explode("keys").alias("key"))

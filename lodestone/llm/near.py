@@ -36,7 +36,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^30 = 0.9999.
 BANDS, ROWS = 30, 6
 #: Heads of a bucket in the rounds after the first; the last round takes every text.
-ROUNDS = (8, 64, None)
+ROUNDS = (2, 16, None)
 WORD = re.compile(r"\w+")
 
 
@@ -173,10 +173,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text) whose text has that key: an id may stand for several texts."""
+    """Rows (key, text) whose text has that key (an id may stand for several texts), and the number of its cells."""
     for batch in batches:
-        ok = [text_key(WORD.findall(t.as_py().lower()), t.as_py()) == k.as_py() for k, t in zip(batch.column(0), batch.column(1), strict=True)]
-        yield batch.filter(pa.array(ok, pa.bool_()))
+        ok, n = [], []
+        for k, t in zip(batch.column(0), batch.column(1), strict=True):
+            words = WORD.findall(t.as_py().lower())
+            ok.append(text_key(words, t.as_py()) == k.as_py())
+            n.append(max(1, len(words) - SHINGLE + 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["key", "text", "n"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for k, t in zip(batch.column(0), batch.column(1), strict=True):
+            cells = shingle_cells(WORD.findall(t.as_py().lower()), hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(cells), pa.binary()), pa.array(cells)], ["key", "cell"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +217,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_buckets(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, key, size, label, n, alone) of the buckets that may hold links between their components.
+
+    ``alone`` counts the cells that no other text of an open bucket has. They can't be common to a pair,
+    so n - alone bounds what a text shares with any other; a text that for this reason can't be similar
+    even to the smallest text of its bucket has no link there and leaves it.
+    """
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        low_high = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        return materialize(rows.join(materialize(low_high), "band"))
+
+    active = mixed(placed)
+    texts = found.join(active.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    single = texts.select("key", "text").mapInArrow(_cell_rows, "key binary, cell long").groupBy("cell").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
+    alone = materialize(single.groupBy("key").agg(F.count("*").alias("alone")))
+    sized = active.join(found.select("key", "n").distinct(), "key").join(alone, "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    sized = materialize(sized)
+    smallest = materialize(sized.groupBy("band").agg(F.min("n").alias("smallest")))
+    can_link = (F.col("n") - F.col("alone")) / SIMILARITY - F.col("alone") >= F.greatest(F.col("smallest"), SIMILARITY * F.col("n")) - 1e-9
+    return mixed(sized.join(smallest, "band").where(can_link).drop("smallest"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, class_id, n_class): for every row its text's key and class, and how many different texts the class has."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -213,37 +248,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
     members = nodes.select("key", F.explode("bands").alias("band"))
     # the head of a bucket differs from band to band
-    heads = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "band"), "key"))["key"].alias("head")).where("n > 1")
+    heads = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "band"), "key"))["key"].alias("head")).where("size > 1")
     shared = materialize(members.join(materialize(heads), "band"))
+    wanted = materialize(shared.select("key").distinct().join(nodes, "key").select("key", "rep", "bands"))
+    found = wanted.select("key", "rep").join(texts.where(F.col("text").isNotNull()), F.col("rep") == F.col("id")).select("key", "text")
+    found = materialize(found.mapInArrow(_matching_texts, "key binary, text string, n long"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) of keys those that are similar."""
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
-        places = materialize(wanted.join(nodes.select("key", "rep"), "key"))
-        found = places.join(texts.where(F.col("text").isNotNull()), F.col("rep") == F.col("id")).select("key", "text").mapInArrow(_matching_texts, "key binary, text string")
-        found = materialize(found)
         left, right = found.select(F.col("key").alias("a"), F.col("text").alias("text_a")), found.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a binary, b binary").distinct()), pairs
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a binary, b binary").distinct())
 
-    links, tested = verify(shared.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
-    labels = components(links)
+    pairs = shared.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    tested = materialize(pairs)
+    labels = components(similar(tested))
+    labels = materialize(wanted.select("key").join(labels, F.col("key") == F.col("node"), "left").select("key", F.coalesce("label", "key").alias("label")))
     for heads_wanted in ROUNDS:
-        placed = shared.select("band", "key", "n").join(labels, F.col("key") == F.col("node"), "left").select("band", "key", "n", F.coalesce("label", "key").alias("label"))
-        placed = materialize(placed)
-        open_bands = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        active = materialize(placed.join(materialize(open_bands), "band"))
-        share = F.lit(1.0) if heads_wanted is None else F.lit(float(heads_wanted)) / F.col("n")
-        chosen = active.where(F.pmod(F.xxhash64("band", "key"), F.lit(1 << 20)) < share * F.lit(1 << 20)).select("band", F.col("key").alias("other"), F.col("label").alias("other_label"))
-        pairs = active.join(materialize(chosen), "band").where("label <> other_label").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        active = _open_buckets(shared.select("band", "key", "size").join(labels, "key"), found)
+        share = F.lit(1.0) if heads_wanted is None else F.lit(float(heads_wanted)) / F.col("size")
+        chosen = materialize(active.where(F.pmod(F.xxhash64("band", "key"), F.lit(1 << 20)) < share * F.lit(1 << 20)).join(wanted.select("key", "bands"), "key"))
+        x, y = active.join(wanted.select("key", "bands"), "key").alias("x"), chosen.alias("y")
+        common = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"))
+        can_be = common >= SIMILARITY * (F.col("x.n") + F.col("y.n") - common) - 1e-9
+        # a pair counts in the first band that it shares
+        first = F.get(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 0) == F.col("x.band")
+        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & can_be & first)
+        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            more, now = verify(pairs)
-            tested = tested.union(now)
-            if more.limit(1).count():
-                links = links.union(more)
-                labels = components(links)
-    named = materialize(nodes.select("key", "rep").join(labels, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "key").alias("label")))
+        links = similar(pairs)
+        tested = tested.union(pairs)
+        if links.limit(1).count():
+            ends = links.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
+            joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("now"))
+            labels = materialize(labels.join(joined, "label", "left").select("key", F.coalesce("now", "label").alias("label")))
+    named = materialize(nodes.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label")))
     classes = materialize(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_class")))
     of_key = materialize(named.join(classes, "label").select(F.col("key").alias("__key"), "class_id", "n_class"))
     out = rows.select("id", "key").join(of_key, F.col("key") == F.col("__key"), "left")
