@@ -51,7 +51,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_
     recurring = in_document.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     recurring = materialize(recurring.where((F.col("docs") >= min_docs) & (F.col("first") < F.col("last"))).select("key", "first"))
     placed = keyed.select("doc", F.posexplode("lines").alias("line", "keys")).select("doc", "line", F.explode("keys").alias("key"))
-    again = placed.join(recurring, "key").where(~F.col("doc").eqNullSafe(F.col("first")))
+    # the recurring keys and the cut documents grow with the input, so they are never broadcast
+    again = placed.join(recurring.hint("merge"), "key").where(~F.col("doc").eqNullSafe(F.col("first")))
     return again.groupBy("doc").agg(F.collect_set("line").alias("dropped")).withColumnRenamed("doc", id_col)
 
 
@@ -61,7 +62,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     cut = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    rows = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__doc")), "left")
+    rows = docs.join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
     size = lambda array: F.when(array.isNull(), 0).otherwise(F.size(array)).cast("long")
     return rows.withColumns({"__n_lines": size(lines), "__n_dropped": size(F.col("__dropped")), text_col: cut}).drop("__doc", "__dropped")
 
