@@ -8,8 +8,8 @@ similarity. Bands of coordinates are hashed, and texts that share a band are com
 
 Only texts with different word sequences are compared; copies share a key. In a bucket every text is
 compared with one head first. Where a bucket still holds several components, more heads are taken
-among its texts, in rounds that grow until every pair of different components has been compared, so
-no link that the bands propose is lost and no bucket is expanded into all its pairs at once. The
+among its texts, in rounds that grow until every pair of different components has been compared or is
+ruled out by a bound on what the two can have in common, so no link that the bands propose is lost and no bucket is expanded into all its pairs at once. The
 components of the links come from label propagation with pointer jumping, on the cluster throughout.
 
 Words are runs of word characters, lower-cased. A text of fewer than five words has one shingle, all
@@ -24,10 +24,11 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import materialize, table
@@ -38,6 +39,10 @@ BANDS, ROWS = 30, 6
 #: Heads of a bucket in the rounds after the first; the last round takes every text.
 ROUNDS = (2, 16, None)
 WORD = re.compile(r"\w+")
+#: 64-bit words of a text's map of classes of cells.
+MAP_WORDS = 16
+#: Darts that are drawn at once, texts and words whose darts are thrown side by side, texts whose cells are kept for comparing.
+DARTS_AT_ONCE, SIDE_BY_SIDE, WORDS_SIDE_BY_SIDE, KEPT_TEXTS = 1 << 18, 64, 1 << 17, 32
 
 
 # -- darts ---------------------------------------------------------------------------------------
@@ -89,51 +94,68 @@ def cells_of_weights(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return _mix(elements[owner] ^ _mix(number.astype(np.uint64))), np.minimum(1.0, weights[owner] - number)
 
 
+def dart_signatures(texts: list[np.ndarray], k: int, widths: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each array of cells the id of the earliest dart on each of k coordinates; no cells, all zero.
+
+    The texts' darts are thrown side by side: up to the rank below which about enough of them fall for
+    every coordinate, and for what is then still bare up to twice that rank.
+    """
+    out = np.zeros((len(texts), k), np.uint64)
+    weight = np.array([float(len(c) if widths is None else widths[i].sum()) for i, c in enumerate(texts)])
+    left, times = np.nonzero(weight)[0], 1.3
+    while len(left):
+        sizes = np.array([len(texts[i]) for i in left])
+        limits = np.repeat(times * (k * math.log(k) + 2 * k) / weight[left], sizes)
+        ids, ranks, owner = _darts(np.concatenate([texts[i] for i in left]), limits, None if widths is None else np.concatenate([widths[i] for i in left]))
+        slots = np.repeat(np.arange(len(left)), sizes)[owner] * k + ((ids >> np.uint64(7)) % np.uint64(k)).astype(np.int64)
+        best = np.full(len(left) * k, np.inf)
+        np.minimum.at(best, slots, ranks)
+        earliest = ranks == best[slots]
+        found = np.full(len(left) * k, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(found, slots[earliest], ids[earliest])
+        whole = np.isfinite(best).reshape(-1, k).all(axis=1)
+        out[left[whole]] = found.reshape(-1, k)[whole]
+        left, times = left[~whole], 2 * times
+    return out
+
+
 def dart_signature(cells: np.ndarray, k: int, width: np.ndarray | None = None) -> np.ndarray:
     """The id of the earliest dart on each of k coordinates."""
-    out = np.zeros(k, np.uint64)
-    if not len(cells):
-        return out
-    total = float(len(cells) if width is None else width.sum())
-    limit = 1.3 * (k * math.log(k) + 2 * k) / total
-    while True:
-        ids, ranks = _darts(cells, limit, width)
-        at = (ids >> np.uint64(7)) % np.uint64(k)
-        order = np.lexsort((ids, ranks))
-        found, first = np.unique(at[order], return_index=True)
-        if len(found) == k:
-            out[found] = ids[order][first]
-            return out
-        limit *= 2
-
-
-def _darts(cells: np.ndarray, limit: float, width: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(id, rank) of all darts of lower rank than ``limit``; with ``width`` those within a cell's part of the weight axis."""
-    if len(cells) < 200:  # few cells with many darts each
-        n = int(limit + 5 * math.sqrt(limit) + 8)
-        while True:
-            ids = _mix(cells[:, None] ^ _mix(np.arange(n, dtype=np.uint64))[None, :])
-            ranks = np.cumsum(-np.log(_uniform(ids)), axis=1)
-            if (ranks[:, -1] >= limit).all():
-                break
-            n *= 2
-        inside = ranks < limit
-        owner = np.nonzero(inside)[0]
-        ids, ranks = ids[inside], ranks[inside]
-    else:
-        found, alive, ranks, n = [], np.arange(len(cells)), np.zeros(len(cells)), 0
+    return dart_signatures([cells], k, None if width is None else [width])[0]
+
+
+def _darts(cells: np.ndarray, limit: float | np.ndarray, width: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, rank, number of the cell) of all darts of lower rank than the cell's ``limit``; with ``width`` those within its part of the weight axis.
+
+    A cell's n-th dart lies a drawn step behind the one before, and its steps are added up in order
+    however many are drawn at once, so a cell has the same darts in any company.
+    """
+    limit = np.broadcast_to(np.asarray(limit, np.float64), cells.shape)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    classes = np.ceil(np.log2(np.maximum(limit, 1))).astype(np.int64)
+    for kind in np.unique(classes):
+        alive = np.nonzero(classes == kind)[0]
+        last, n, most = np.zeros(len(alive)), 0, float(limit[alive].max())
+        step = max(1, int(most + 2 * math.sqrt(most)) if most > 2 else 1)
         while len(alive):
-            ids = _mix(cells[alive] ^ _mix(np.array([n], np.uint64)))
-            ranks = ranks - np.log(_uniform(ids))
-            inside = ranks < limit
-            alive, ranks = alive[inside], ranks[inside]
-            found.append((ids[inside], ranks, alive))
-            n += 1
-        ids, ranks, owner = (np.concatenate([x[j] for x in found]) for j in range(3))
+            rest = []
+            for begin in range(0, len(alive), max(1, DARTS_AT_ONCE // step)):
+                part = slice(begin, begin + max(1, DARTS_AT_ONCE // step))
+                own = alive[part]
+                ids = _mix(cells[own][:, None] ^ _mix(np.arange(n, n + step, dtype=np.uint64))[None, :])
+                ranks = np.cumsum(np.concatenate([last[part][:, None], -np.log(_uniform(ids))], axis=1), axis=1)[:, 1:]
+                inside = ranks < limit[own][:, None]
+                found.append((ids[inside], ranks[inside], np.repeat(own, inside.sum(axis=1))))
+                rest.append((own[inside[:, -1]], ranks[inside[:, -1], -1]))
+            alive, last = (np.concatenate([x[j] for x in rest]) for j in range(2))
+            n, step = n + step, max(1, int(math.sqrt(most)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+    ids, ranks, owner = (np.concatenate([x[j] for x in found]) for j in range(3))
     if width is not None:
         inside = _uniform(_mix(ids)) <= width[owner]
-        ids, ranks = ids[inside], ranks[inside]
-    return ids, ranks
+        ids, ranks, owner = ids[inside], ranks[inside], owner[inside]
+    return ids, ranks, owner
 
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -144,6 +166,13 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def class_map(cells: np.ndarray) -> np.ndarray:
+    """Which of 64·MAP_WORDS classes of cells a text has: a class that only one of two texts has holds a cell that only it has."""
+    has = np.zeros(64 * MAP_WORDS, bool)
+    has[(cells >> np.uint64(20)) % np.uint64(len(has))] = True
+    return np.packbits(has).view(np.int64)
+
+
 def text_key(words: list[str], text: str) -> bytes:
     """The same for texts of the same words; texts without words by themselves."""
     return hashlib.md5(("w\0" + " ".join(words) if words else "t\0" + text).encode("utf-8", "replace"), usedforsecurity=False).digest()
@@ -160,16 +189,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
+
+    def done(ids: list, keys: list[bytes | None], cells: list[np.ndarray]) -> pa.RecordBatch:
+        bands = [band_hashes(s) if len(c) else [] for s, c in zip(dart_signatures(cells, BANDS * ROWS), cells, strict=True)]
+        maps = pa.array([class_map(c) for c in cells], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), maps], ["id", "key", "bands", "map"])
+
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            keys, bands = [], []
-            for value in part.column(1):
-                text = value.as_py()
-                words = WORD.findall(text.lower()) if text is not None else []
-                keys.append(None if text is None else text_key(words, text))
-                bands.append(band_hashes(dart_signature(shingle_cells(words, hashes), BANDS * ROWS)) if words else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
+        ids, keys, cells, held = [], [], [], 0
+        for k, value in enumerate(batch.column(1)):
+            text = value.as_py()
+            words = WORD.findall(text.lower()) if text is not None else []
+            ids.append(batch.column(0).slice(k, 1))
+            keys.append(None if text is None else text_key(words, text))
+            cells.append(shingle_cells(words, hashes))
+            held += len(words)
+            if len(keys) == SIDE_BY_SIDE or held >= WORDS_SIDE_BY_SIDE:
+                yield done(ids, keys, cells)
+                ids, keys, cells, held = [], [], [], 0
+        if keys:
+            yield done(ids, keys, cells)
 
 
 def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +232,19 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+    kept: dict[bytes, np.ndarray] = {}
+
+    def cells_of(key: bytes, text: str) -> np.ndarray:
+        found = kept.pop(key, None)
+        if found is None:
+            found = shingle_cells(WORD.findall(text.as_py().lower()), hashes)
+            if len(kept) >= KEPT_TEXTS:
+                del kept[next(iter(kept))]
+        kept[key] = found  # what was used last goes last
+        return found
+
     for batch in batches:
-        keep = []
-        for _, head, text, other in zip(*batch.columns, strict=True):
-            if last[0] != head.as_py():
-                last = head.as_py(), shingle_cells(WORD.findall(other.as_py().lower()), hashes)
-            keep.append(similarity(shingle_cells(WORD.findall(text.as_py().lower()), hashes), last[1]) >= SIMILARITY)
+        keep = [similarity(cells_of(a.as_py(), x), cells_of(b.as_py(), y)) >= SIMILARITY for a, b, x, y in zip(*batch.columns, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -217,6 +262,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def own_classes(x: str, y: str) -> Column:
+    """In how many classes of cells x has some and y none: at least so many cells of x are not in y."""
+    words = (F.bit_count(F.get(f"{x}.map", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}.map", F.lit(k))))) for k in range(MAP_WORDS))
+    return reduce(lambda a, b: a + b, words)
+
+
 def _open_buckets(placed: DataFrame, found: DataFrame) -> DataFrame:
     """Members (band, key, size, label, n, alone) of the buckets that may hold links between their components.
 
@@ -244,13 +295,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, key, class_id, n_class): for every row its text's key and class, and how many different texts the class has."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_signatures, f"id {kind}, key binary, bands array<bigint>"))
-    nodes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
+    rows = materialize(texts.mapInArrow(_signatures, f"id {kind}, key binary, bands array<bigint>, map array<bigint>"))
+    nodes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("map").alias("map")))
     members = nodes.select("key", F.explode("bands").alias("band"))
-    # the head of a bucket differs from band to band
-    heads = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "band"), "key"))["key"].alias("head")).where("size > 1")
+    # heads come first in one order for all bands, so a group of copies has few of them
+    heads = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key"), "key"))["key"].alias("head")).where("size > 1")
     shared = materialize(members.join(materialize(heads), "band"))
-    wanted = materialize(shared.select("key").distinct().join(nodes, "key").select("key", "rep", "bands"))
+    wanted = materialize(shared.select("key").distinct().join(nodes, "key").select("key", "rep", "bands", "map"))
     found = wanted.select("key", "rep").join(texts.where(F.col("text").isNotNull()), F.col("rep") == F.col("id")).select("key", "text")
     found = materialize(found.mapInArrow(_matching_texts, "key binary, text string, n long"))
 
@@ -266,13 +317,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for heads_wanted in ROUNDS:
         active = _open_buckets(shared.select("band", "key", "size").join(labels, "key"), found)
         share = F.lit(1.0) if heads_wanted is None else F.lit(float(heads_wanted)) / F.col("size")
-        chosen = materialize(active.where(F.pmod(F.xxhash64("band", "key"), F.lit(1 << 20)) < share * F.lit(1 << 20)).join(wanted.select("key", "bands"), "key"))
-        x, y = active.join(wanted.select("key", "bands"), "key").alias("x"), chosen.alias("y")
-        common = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"))
+        chosen = materialize(active.where(F.pmod(F.xxhash64("band", "key"), F.lit(1 << 20)) < share * F.lit(1 << 20)).join(wanted.select("key", "bands", "map"), "key"))
+        x, y = active.join(wanted.select("key", "bands", "map"), "key").alias("x"), chosen.alias("y")
+        common = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"), F.col("x.n") - own_classes("x", "y"), F.col("y.n") - own_classes("y", "x"))
         can_be = common >= SIMILARITY * (F.col("x.n") + F.col("y.n") - common) - 1e-9
         # a pair counts in the first band that it shares
         first = F.get(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 0) == F.col("x.band")
-        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & can_be & first)
+        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & first & can_be)
         pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         links = similar(pairs)
