@@ -109,7 +109,7 @@ def _nearest(ids: list, asked: np.ndarray, limit: int, exclude_self: bool):
                 order = np.argsort(held, kind="stable")
                 matrix = _unit(np.array([v.as_py() for v in part.column(1)], np.float64)[order])
                 held = held[order]
-                distance = np.round(1 - asked @ matrix.T, 9)
+                distance = np.round(1 - asked @ matrix.T, 9) + 0.0  # no negative zero
                 out = ([], [], [])
                 for q, row in enumerate(distance):
                     best = np.argsort(row, kind="stable")[: limit + 1]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import retrieval
+from lodestone.plans import analytics, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval]
+MODULES = [retrieval, analytics]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
