@@ -298,8 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(texts.mapInArrow(_signatures, f"id {kind}, key binary, bands array<bigint>, map array<bigint>"))
     nodes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("map").alias("map")))
     members = nodes.select("key", F.explode("bands").alias("band"))
-    # heads come first in one order for all bands, so a group of copies has few of them
-    heads = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key"), "key"))["key"].alias("head")).where("size > 1")
+    # the head of a bucket differs from band to band, so that near copies meet several and few components stay apart
+    heads = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "band"), "key"))["key"].alias("head")).where("size > 1")
     shared = materialize(members.join(materialize(heads), "band"))
     wanted = materialize(shared.select("key").distinct().join(nodes, "key").select("key", "rep", "bands", "map"))
     found = wanted.select("key", "rep").join(texts.where(F.col("text").isNotNull()), F.col("rep") == F.col("id")).select("key", "text")
