@@ -1,10 +1,11 @@
 """Mixing sources to target weights by soft domain membership.
 
 Method. A classifier learnt from a labelled table gives every document posterior probabilities of the
-domains (here the quality and toxicity marks of ``labels`` together). Each document gets a
-nonnegative rate, the number of times that it is expected to be drawn; a domain's expected tokens are
-the sum of rate · tokens · posterior. The rates minimise the squared distance of these totals from
-the targets, plus a small pull towards rate 1, by projected gradient steps: each step sums the
+domains (here the quality mark of ``labels``). Each document gets a nonnegative rate, the number of
+times that it is expected to be drawn; a domain's expected tokens are the sum of rate · tokens · posterior. The rates minimise the squared distance of these totals from
+the targets, plus a small pull towards rate 1, by projected gradient steps. The targets are weights of
+a budget: enough tokens that the heaviest domain keeps ``EPOCHS`` times what it holds, so that a
+mixture thins out the other domains instead of giving up documents of that one. Each step sums the
 domains' expected tokens over all documents on the cluster, and only these few totals reach the
 driver. A document's rate follows from its posteriors and the totals' course alone, so it is
 recomputed from the steps so far, and no state of documents is kept.
@@ -31,8 +32,10 @@ from lodestone.session import materialize, table
 TRAIN_ROWS, TRAIN_CHARS, FEATURES = 4000, 8000, 1 << 15
 #: Pull towards rate 1, most steps, and the change of a total (share of all tokens) that ends the descent.
 PULL, STEPS, STILL = 1e-3, 60, 1e-5
-#: Weights of the domains ``q<quality>t<toxic>`` that the mixture aims at.
-TARGET = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.015, "q0t1": 0.005}
+#: Weights of the domains ``q<quality>`` that the mixture aims at.
+TARGET = {"q1": 0.95, "q0": 0.05}
+#: How often the mixture goes through the heaviest domain.
+EPOCHS = 1.05
 
 
 class FeatureIds(dict):
@@ -149,7 +152,8 @@ def solve_rates(domains: DataFrame, weights: np.ndarray, steps: int = STEPS) ->
     total = held.sum()
     if not total:
         return [], held, held
-    goal, speed = weights / weights.sum() * total, 1.0 / (1.0 + PULL)
+    main, speed = int(weights.argmax()), 1.0 / (1.0 + PULL)
+    goal = weights / weights[main] * (EPOCHS * held[main] if held[main] > 0 else total)
     course: list[list[float]] = []
     for _ in range(steps):
         course.append([*(float(x) for x in speed * (goal - reached) / np.maximum(held, 1e-6 * total)), 1 - speed * PULL])
@@ -185,7 +189,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, domain: Column, weights:
 
 
 def quality_domain() -> Column:
-    return F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+    return F.concat(F.lit("q"), F.col("quality").cast("string"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from lodestone.llm import mixing as M
 def brute(tokens, p, weights, steps):
     """The same descent with all documents in one array."""
     r, held = np.ones(len(tokens)), (tokens[:, None] * p).sum(axis=0)
-    goal, speed = weights / weights.sum() * held.sum(), 1 / (1 + M.PULL)
+    main = weights.argmax()
+    goal, speed = weights / weights[main] * held[main] * M.EPOCHS, 1 / (1 + M.PULL)
     reached = held
     for _ in range(steps):
         r = np.maximum(0, r + speed * (p @ ((goal - reached) / held) - M.PULL * (r - 1)))
@@ -39,10 +40,10 @@ def test_descent_against_brute_force(spark, posteriors):
 
 def rows(n, seed):
     rng = random.Random(seed)
-    words = {"q1t0": ["alpha", "beta", "gamma"], "q0t0": ["buy###", "now***", "win"], "q1t1": ["alpha", "trash", "scum"]}
+    words = {"q1": ["alpha", "beta", "gamma"], "q0": ["buy###", "now***", "win"]}
     out = []
     for i in range(n):
-        d = rng.choices(list(words), [6, 3, 2])[0]
+        d = rng.choices(list(words), [6, 3])[0]
         out.append((i, " ".join(rng.choice(words[d]) for _ in range(rng.randint(5, 40))), d))
     return out
 
@@ -50,7 +51,7 @@ def rows(n, seed):
 def test_query_reaches_the_targets(spark, tmp_path):
     data = rows(800, 1)
     docs = [(i, t, "x") for i, t, _ in data] + [(9000, None, None), (9001, "", None), (9002, "alpha " * 30_000, None), (None, "beta", None), (3, data[3][1], "y")]
-    labels = [(i, int(d[1]), int(d[3])) for i, _, d in data if i % 2] + [(None, 1, 1), (1, None, None), (9000, 1, 0)]
+    labels = [(i, int(d[1]), 0) for i, _, d in data if i % 2] + [(None, 1, 1), (1, None, None), (9000, 1, 0)]
     spark.createDataFrame(docs, "doc_id long, text string, copies string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = M.op7_source_mixing(spark, str(tmp_path)).collect()
@@ -59,8 +60,8 @@ def test_query_reaches_the_targets(spark, tmp_path):
     unlabelled = [r for r in got if r.doc_id in truth and r.doc_id % 2 == 0]
     assert np.mean([r.domain == truth[r.doc_id] for r in unlabelled]) > 0.95
     total = sum(r.n_tokens * r.rate for r in got)
-    clean = sum(r.n_tokens * r.rate for r in got if r.domain == "q1t0")
-    assert abs(clean / total - 0.93 / 0.995) < 0.03 and all(r.rate >= 1 for r in got if r.domain == "q1t0" and r.posterior > 0.99)
+    clean = sum(r.n_tokens * r.rate for r in got if r.domain == "q1")
+    assert abs(clean / total - M.TARGET["q1"]) < 0.03 and all(r.rate >= 1 and r.copies for r in got if r.domain == "q1" and r.posterior > 0.99)
     assert all(r.rate == 1 and r.n_tokens == 0 for r in got if r.doc_id in (9000, 9001))
     mixed = M.mixed_documents(*(spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels")), M.quality_domain(), M.TARGET)
     assert mixed.columns == ["doc_id", "text", "copies"] and mixed.count() == sum(r.copies for r in got)
