@@ -44,10 +44,10 @@ def escaped(keyword: str) -> str:
 
 
 def keyword_hits(folded: Column, keywords: list[str]) -> Column:
-    """How many of the keywords stand in a folded text as whole words."""
+    """How many of the keywords stand in a folded text between signs that are no ASCII word characters."""
     out = F.lit(0)
     for k in keywords:
-        out = out + F.coalesce(folded.rlike(rf"\b{escaped(k)}\b"), F.lit(False)).cast("int")
+        out = out + F.coalesce(folded.rlike(rf"(?:^|[^a-zA-Z0-9_]){escaped(k)}(?:[^a-zA-Z0-9_]|$)"), F.lit(False)).cast("int")
     return out
 
 

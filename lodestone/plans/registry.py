@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, retrieval
+from lodestone.plans import analytics, content, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, analytics]
+MODULES = [retrieval, analytics, content]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
