@@ -7,8 +7,9 @@ same template share at least two thirds of their tokens in place. A template tha
 ``min_docs`` documents is boilerplate: its lines are dropped from every document but the first (the
 smallest id), so what it says is kept once.
 
-Lines of fewer than ``MIN_TOKENS`` tokens are left alone (they recur by chance), and so are lines
-that recur within one document only. Null texts stay null; empty texts and blank lines stay as they
+``op5_line_dedup`` leaves lines of fewer than ``MIN_TOKENS`` tokens alone; ``op5_line_dedup_whole``
+and the pipeline key every line that isn't blank, short ones by all their tokens. Lines that recur
+within one document only stay. Null texts stay null; empty texts and blank lines stay as they
 are. Rows that share an id count as one document, repeated rows get the same result. A document may
 lose all its lines; its text is then empty. Only 64-bit keys of templates are shuffled for the
 counts; one very common template is a single row after the map-side sums, and the join back is a
@@ -24,6 +25,8 @@ from lodestone.session import materialize, table
 
 #: Leading tokens of the tree, shortest line that is looked at, tokens from which a field may vary.
 DEPTH, MIN_TOKENS, FIELDS_FROM, MIN_DOCS = 3, 4, 6, 3
+#: Shortest line of the whole job.
+WHOLE_TOKENS = 1
 
 
 def tokens_of(line: Column) -> Column:
@@ -32,20 +35,20 @@ def tokens_of(line: Column) -> Column:
     return F.split(F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ ]*?[0-9][^ ]*", "<*>")).otherwise(plain), " ", -1)
 
 
-def template_keys(tokens: Column) -> Column:
-    """Keys of the templates that a line may belong to."""
+def template_keys(tokens: Column, min_tokens: int = MIN_TOKENS) -> Column:
+    """Keys of the templates that a line may belong to; a blank line has none."""
     n = F.size(tokens)
     first, second = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
     fields = [F.slice(tokens, 1, first), F.slice(tokens, first + 1, second - first), F.slice(tokens, second + 1, n - second)]
     leaf = [n, F.slice(tokens, 1, DEPTH)]
     varying = F.array(*(F.xxhash64(*leaf, F.lit(k), *(f for j, f in enumerate(fields) if j != k)) for k in range(3)))
-    return F.when(n >= FIELDS_FROM, varying).when(n >= MIN_TOKENS, F.array(F.xxhash64(*leaf, tokens))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= FIELDS_FROM, varying).when((n >= min_tokens) & (F.get(tokens, 0) != ""), F.array(F.xxhash64(*leaf, tokens))).otherwise(F.array().cast("array<bigint>"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, dropped): the numbers (from 0) of the lines that go, for each document that loses any."""
     lines = F.split(F.col(text_col), "\n", -1)
-    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.transform(F.transform(lines, tokens_of), template_keys).alias("lines"))
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.transform(F.transform(lines, tokens_of), lambda t: template_keys(t, min_tokens)).alias("lines"))
     keyed = materialize(keyed)
     in_document = keyed.select("doc", F.explode(F.array_distinct(F.flatten("lines"))).alias("key")).distinct()
     recurring = in_document.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -56,9 +59,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_
     return again.groupBy("doc").agg(F.collect_set("line").alias("dropped")).withColumnRenamed("doc", id_col)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All columns of ``docs`` with the text cut, and ``__n_lines`` and ``__n_dropped``."""
-    drops = materialize(dropped_lines(docs, min_docs, id_col, text_col).select(F.col(id_col).alias("__doc"), F.col("dropped").alias("__dropped")))
+    drops = materialize(dropped_lines(docs, min_docs, id_col, text_col, min_tokens).select(F.col(id_col).alias("__doc"), F.col("dropped").alias("__dropped")))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     cut = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
@@ -73,6 +76,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
+def op5_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_line_dedup, short lines included."""
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=WHOLE_TOKENS)
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM d),
@@ -91,3 +100,22 @@ SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coal
        ELSE array_to_string(list_filter(d.lines, lambda s, i: NOT list_contains(g.dropped, i - 1)), chr(10)) END AS text
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+OP5_WHOLE_SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM d),
+t AS (SELECT doc_id, i, string_split(regexp_replace(trim(regexp_replace(line, '[\\t\\r\\f\\x0b ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM l),
+f AS (SELECT doc_id, i, t, len(t) AS n, len(t) // 3 AS a, len(t) * 2 // 3 AS b FROM t WHERE t[1] <> ''),
+k AS (SELECT doc_id, i, unnest(CASE WHEN n >= {FIELDS_FROM} THEN [
+    {{'n': n, 'lead': t[1:{DEPTH}], 'k': 0, 'x': t[a+1:b], 'y': t[b+1:n]}},
+    {{'n': n, 'lead': t[1:{DEPTH}], 'k': 1, 'x': t[1:a], 'y': t[b+1:n]}},
+    {{'n': n, 'lead': t[1:{DEPTH}], 'k': 2, 'x': t[1:a], 'y': t[a+1:b]}}]
+  ELSE [{{'n': n, 'lead': t[1:{DEPTH}], 'k': 3, 'x': t, 'y': []}}] END) AS key FROM f),
+r AS (SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT key, doc_id FROM k) GROUP BY key HAVING count(*) >= {MIN_DOCS}),
+x AS (SELECT DISTINCT k.doc_id, k.i FROM k JOIN r USING (key) WHERE k.doc_id IS DISTINCT FROM r.first),
+g AS (SELECT doc_id, list(i) AS dropped FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.dropped), 0) AS BIGINT) AS n_dropped,
+  CASE WHEN g.dropped IS NULL THEN d.text
+       ELSE array_to_string(list_filter(d.lines, lambda s, i: NOT list_contains(g.dropped, i - 1)), chr(10)) END AS text
+FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.language import op3_language_id
 from lodestone.llm.licenses import op1_license_scan, op1_sql
-from lodestone.llm.lines import OP5_SQL, op5_line_dedup
+from lodestone.llm.lines import OP5_SQL, OP5_WHOLE_SQL, op5_line_dedup, op5_line_dedup_whole
 from lodestone.llm.media import op6_media_columns
 from lodestone.llm.mixing import op7_source_mixing
 from lodestone.llm.near import op2_minhash_near_dedup
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
+        "op5_line_dedup_whole": op5_line_dedup_whole,
         "op6_media_columns": op6_media_columns,
         "op7_source_mixing": op7_source_mixing,
         "op8_exact_topk": op8_exact_topk,
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op5_line_dedup_whole": OP5_WHOLE_SQL, "op8_exact_topk": OP8_SQL}
