@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.language import UNKNOWN, fit, held_out, label_documents
-from lodestone.llm.lines import WHOLE_TOKENS, dedup_lines
+from lodestone.llm.lines import LONG_TOKENS, WHOLE_TOKENS, dedup_lines
 from lodestone.llm.mixing import TARGET, mixed_documents, quality_domain
 from lodestone.llm.near import keep_one
 from lodestone.llm.pieces import encode_documents, model_path
@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut recurring lines; ``n_chars`` follows the text."""
-    rows = dedup_lines(docs, min_tokens=WHOLE_TOKENS)
+    rows = dedup_lines(docs, min_tokens=WHOLE_TOKENS, long_tokens=LONG_TOKENS)
     lost = F.col("__n_dropped") > 0
     rows = rows.where(~lost | (F.trim("text") != "")).withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return rows.select(*docs.columns)

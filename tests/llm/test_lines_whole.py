@@ -25,3 +25,14 @@ def test_pipeline_drops_short_lines(spark):
     docs = spark.createDataFrame([(i, f"Les.\nonly here {'abcd'[i]}", 1) for i in range(4)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in P.lines(spark, docs, "").collect()}
     assert got == {0: "Les.\nonly here a", **{i: f"only here {'abcd'[i]}" for i in (1, 2, 3)}}
+
+
+def test_long_lines_of_two_documents(spark, tmp_path):
+    long = " ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(51))
+    fifty = long.rpartition(" ")[0]
+    rows = [(i, f"{long} {end}\n{fifty}\nown {'abc'[i]}") for i, end in ((1, ""), (2, ""))] + [(None, f"{long} \nelsewhere")]
+    got = run(spark, tmp_path, rows)
+    # fifty words stand in two documents only and stay, the longer line stays in the first
+    assert got == {1: rows[0][1], 2: f"{fifty}\nown c", None: "elsewhere"}
+    (tmp_path / "null").mkdir()
+    assert run(spark, tmp_path / "null", [rows[0], rows[2]]) == {1: rows[0][1], None: "elsewhere"}
