@@ -55,6 +55,11 @@ def fold_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'es'").select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
+def fold_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """As fold_text, for documents of every language and of none."""
+    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
 def last3_turns_bounded(spark: SparkSession, d: str) -> DataFrame:
     """The last three turns of each conversation, users' texts cut at 1000 characters and others' at 600."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
@@ -181,7 +186,7 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_name", F.round(F.coalesce("r", F.lit(0.0)), 0).alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (subsplit_1000_900, body_dedupe_rank, long_words, bigram_counts, fold_text, last3_turns_bounded, census_groups, satisfiability, majority_vote, exposure_tally, medians_three_ways, latency_bucket, rollup_30m, local_days, quota_day_window, quota_umbrella, outcome_counts, jaccard_stability, upsert_documents, retire_documents, distinct_on_order, revenue_by_nation)}
+QUERIES = {f.__name__: f for f in (subsplit_1000_900, body_dedupe_rank, long_words, bigram_counts, fold_text, fold_text_all, last3_turns_bounded, census_groups, satisfiability, majority_vote, exposure_tally, medians_three_ways, latency_bucket, rollup_30m, local_days, quota_day_window, quota_umbrella, outcome_counts, jaccard_stability, upsert_documents, retire_documents, distinct_on_order, revenue_by_nation)}
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _CLAMP = lambda n: f"CASE WHEN length(text) <= {n} THEN text ELSE concat(rtrim(CASE WHEN position(' ' IN left(text, {n})) > 0 AND {n} - position(' ' IN reverse(left(text, {n}))) + 1 > {n // 2} THEN left(text, {n} - position(' ' IN reverse(left(text, {n})))) ELSE left(text, {n}) END), '…') END"
@@ -196,6 +201,7 @@ SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(len(w[part * {PART_STEP} + 1
     "long_words": f"SELECT word, count(*) AS docs FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS word FROM documents) WHERE length(word) >= 19 GROUP BY word",
     "bigram_counts": f"WITH t AS (SELECT {_TOKENS} AS w FROM documents), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM t WHERE len(w) > 1) SELECT bigram, count(*) AS n FROM b GROUP BY bigram HAVING n >= 20",
     "fold_text": rf"SELECT doc_id, trim(regexp_replace(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '\s+', ' ', 'g')) AS folded FROM documents WHERE lang = 'es'",
+    "fold_text_all": rf"SELECT doc_id, trim(regexp_replace(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '\s+', ' ', 'g')) AS folded FROM documents",
     "last3_turns_bounded": f"WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {_CLAMP(1000)} ELSE {_CLAMP(600)} END AS text FROM t) SELECT * FROM c WHERE trim(text) <> ''",
     "census_groups": "SELECT source, lang, count(*) AS chunks, count(DISTINCT n_chars) AS parts FROM documents GROUP BY source, lang",
     "satisfiability": "WITH l AS (SELECT DISTINCT doc_id, quality FROM labels), d AS (SELECT doc_id, 1 AS hit FROM documents WHERE n_chars > 500) SELECT quality, count(*) AS targets, count(hit) AS matched, count(*) - count(hit) AS unsatisfied FROM l LEFT JOIN d USING (doc_id) GROUP BY quality",

@@ -93,6 +93,13 @@ def question_word_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'es'").select("doc_id", strip_question_words(F.col("text"), QUESTION_WORDS).alias("text"))
 
 
+def question_word_strip_all(spark: SparkSession, d: str) -> DataFrame:
+    """As question_word_strip, for documents of every language and of none."""
+    from lodestone.functions.text import QUESTION_WORDS, strip_question_words
+
+    return table(spark, d, "documents").select("doc_id", strip_question_words(F.col("text"), QUESTION_WORDS).alias("text"))
+
+
 def max_score_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Two readings of each group of ten vectors; their components serve as scores."""
     v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("query_id"), (F.col("vec_id") % 10).cast("int").alias("index"), F.col("embedding"))
@@ -146,7 +153,7 @@ def knn_hit_at_8(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.bool_or(hit & (F.col("rank") <= 8)).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
-QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
+QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, question_word_strip_all, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
 
 _V = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS doc_id FROM embeddings),
@@ -202,6 +209,9 @@ SELECT item_id AS query_id, NOT coalesce(CASE WHEN item_id % 3 = 0 THEN l ELSE c
     "question_word_strip": rf"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '),
 lambda w: regexp_replace(trim(lower(translate(w, '{_FOLD_FROM}', '{_FOLD_TO}'))), '[^a-z0-9]', '', 'g') NOT IN ('que','cual','cuales','como','cuando','cuanto','cuanta','cuantos','cuantas','donde','quien','quienes','por','para','puedo')), ' ') AS text
 FROM documents WHERE lang = 'es'""",
+    "question_word_strip_all": rf"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '),
+lambda w: regexp_replace(trim(lower(translate(w, '{_FOLD_FROM}', '{_FOLD_TO}'))), '[^a-z0-9]', '', 'g') NOT IN ('que','cual','cuales','como','cuando','cuanto','cuanta','cuantos','cuantas','donde','quien','quienes','por','para','puedo')), ' ') AS text
+FROM documents""",
     "max_score_fuse": """WITH v AS (SELECT vec_id // 10 AS query_id, CAST(vec_id % 10 AS INTEGER) AS index, embedding::DOUBLE[] AS e FROM embeddings),
 r AS (SELECT query_id, index, 0 AS reading, round(e[1], 1) AS score FROM v WHERE index % 3 <> 0 UNION ALL SELECT query_id, index, 1, round(e[2], 1) FROM v),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id, reading ORDER BY score DESC, index) AS pos FROM r),
