@@ -222,6 +222,15 @@ def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["key", "text", "n"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text, number of cells) of texts."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        words = [WORD.findall(t.lower()) for t in texts]
+        keys, n = [text_key(w, t) for w, t in zip(words, texts, strict=True)], [max(1, len(w) - SHINGLE + 1) for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array(n, pa.int64())], ["key", "text", "n"])
+
+
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -292,7 +301,10 @@ def _open_buckets(placed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, class_id, n_class): for every row its text's key and class, and how many different texts the class has."""
+    """(id, key, class_id, n_class, label): for every row its text's key and class, and how many different texts the class has.
+
+    Unrelated texts that share an id may have the same ``class_id``; ``label`` tells their classes apart (null without a text).
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(_signatures, f"id {kind}, key binary, bands array<bigint>, map array<bigint>"))
@@ -303,7 +315,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(members.join(materialize(heads), "band"))
     wanted = materialize(shared.select("key").distinct().join(nodes, "key").select("key", "rep", "bands", "map"))
     found = wanted.select("key", "rep").join(texts.where(F.col("text").isNotNull()), F.col("rep") == F.col("id")).select("key", "text")
-    found = materialize(found.mapInArrow(_matching_texts, "key binary, text string, n long"))
+    found = found.mapInArrow(_matching_texts, "key binary, text string, n long")
+    # texts that stand under null ids only are found by their keys, as an id that many rows share would pair them all
+    nameless = texts.where("id IS NULL AND text IS NOT NULL").select("text").mapInArrow(_keyed_texts, "key binary, text string, n long")
+    found = materialize(found.union(nameless.join(wanted.where("rep IS NULL").select("key"), "key", "left_semi").dropDuplicates(["key"])))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) of keys those that are similar."""
@@ -334,9 +349,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = materialize(labels.join(joined, "label", "left").select("key", F.coalesce("now", "label").alias("label")))
     named = materialize(nodes.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label")))
     classes = materialize(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_class")))
-    of_key = materialize(named.join(classes, "label").select(F.col("key").alias("__key"), "class_id", "n_class"))
+    of_key = materialize(named.join(classes, "label").select(F.col("key").alias("__key"), "class_id", "n_class", "label"))
     out = rows.select("id", "key").join(of_key, F.col("key") == F.col("__key"), "left")
-    return out.select(F.col("id").alias(id_col), "key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
+    return out.select(F.col("id").alias(id_col), "key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"), "label")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,10 +359,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Repeated rows count as copies, so one of them stays; a row without a text always stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    # of the rows of the class's first id those whose text has the smallest key, once
-    first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & F.col("key").isNotNull()).groupBy("class_id").agg(F.min("key").alias("__key"))
-    first = materialize(first.select(F.col("class_id").alias("__id"), "__key"))
+    found = near_duplicates(docs, id_col, text_col).where("key IS NOT NULL")
+    # of each class the row of the smallest id and, among texts that share it, of the smallest key; null ids come last
+    smallest = F.min(F.struct(F.col(id_col).isNull(), F.struct(F.col(id_col).alias("id"), "key").alias("at")))["at"]
+    first = materialize(found.groupBy("label").agg(smallest.alias("__at")).select("__at"))
     spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "__key binary"])
     at = docs.columns.index(text_col)
 
@@ -357,8 +372,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "__key"])
 
     keyed = docs.where(F.col(text_col).isNotNull()).mapInArrow(with_key, spec)
-    # the join deals rows by (id, key), and so no further shuffle is needed to keep one of repeated rows
-    kept = keyed.join(first, (F.col(id_col) == F.col("__id")) & (keyed["__key"] == first["__key"]), "left_semi").dropDuplicates([id_col, "__key"])
+    # nulls within structs are equal; the join deals rows by (id, key), and so no further shuffle is needed to keep one of repeated rows
+    placed = keyed.withColumn("__at", F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key")))
+    kept = placed.join(first, "__at", "left_semi").dropDuplicates(["__at"])
     return kept.select(*docs.columns).union(docs.where(F.col(text_col).isNull()))
 
 

@@ -101,3 +101,11 @@ def test_rows_that_share_an_id_and_null_ids(spark):
     got = sorted(((r.doc_id or 0), (r.class_id or 0)) for r in N.near_duplicates(df).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_with_null_and_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    kept = lambda rows: sorted((tuple(r) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept([(1, a), (1, b), (2, b), (3, a)]) == [(1, a), (1, b)]
+    # a null id gives way to another id of its class, and keeps a text of its own once
+    assert kept([(None, a), (3, a), (None, b), (None, b), (None, c), (None, c + " end"), (None, None)]) == sorted([(3, a), (None, b), (None, min((c, c + " end"), key=lambda t: N.text_key(N.WORD.findall(t), t))), (None, None)], key=str)
