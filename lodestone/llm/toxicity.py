@@ -1,54 +1,59 @@
 """Toxicity by compression distance.
 
-Method. Two zstandard dictionaries are built from labelled text, one from ordinary text and one from
-the same amount of ordinary text followed by what is characteristic of toxic text: the words (and,
-through shared beginnings, their relatives) that stand in several toxic documents and hardly in
-ordinary ones. A window is one word between two fixed pieces of ordinary text; how many bytes the
-toxic dictionary saves on it, compared with the ordinary one, is its gap. A document's windows are
-summed up by how many gaps reach each of a few levels and by the largest gap, and a logistic fit on
-labelled rows that the dictionaries have not seen turns that into a score; its threshold is the one
-of the best F1 there, moved to 0.5.
-
-Labels are learnt from a bounded sample (``TOXIC_ROWS`` and ``ORDINARY_ROWS`` rows with the smallest
-hashes, ``TRAIN_CHARS`` characters of each); near copies within it are left out, because a copied
-document would make its chance words look characteristic. Every text is scored whole. Null and empty
-texts get the score of a document without windows. Without labels of both kinds the score is 0.
-Equal texts give equal scores; other columns are never looked at.
+Method. Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of
+toxic text. A text is read in overlapping windows of several words; a window's gap is how many bytes
+shorter it gets when the toxic dictionary stands before the ordinary one than with the ordinary one
+alone. As most of a toxic document is ordinary, the toxic dictionary is trained in rounds: first on
+the windows of each toxic document that the ordinary dictionary compresses worst, then on those with
+the largest gaps under the dictionary of the round before, fewer from round to round. What recurs in
+them across documents ends up in the dictionary, chance neighbours don't.
+
+A document is summed up by how many of its windows reach each of a few gaps and by its largest gap.
+A logistic fit on labelled rows that no dictionary has seen turns that into a score, with the
+threshold of the best F1 on them moved to 0.5. A few widths of windows and
+settings of the trainer are tried (``CANDIDATES``), and the one with the best F1 there is taken.
+
+Labels are learnt from a bounded sample: ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows, those with
+the smallest hashes, and of them as many, in this order, as have ``SAMPLE_CHARS`` characters together;
+their texts are learnt from whole. Rows of the sample that share a fifth of their shingles with rows
+before them are left out, because a copied document would make its chance words look characteristic.
+
+Every text is scored whole. Null and empty texts get the score of a document without windows. Without
+labels of both kinds, or with too few to train a dictionary, the score is 0. Equal texts give equal
+scores; repeated rows are scored each, an empty table gives no rows, other columns are never looked at
+and, unless named in ``keep``, not carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import table
 
 #: The bounded sample; every third row of it calibrates.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1500, 3500, 8000
-#: Words of the ordinary text in both dictionaries, toxic words, times a word must be commoner in toxic text.
-ORDINARY_WORDS, TOXIC_WORDS, TIMES, LEAST = 3000, 1200, 8.0, 4
-LEVEL, KEPT_WINDOWS, LONGEST = 9, 400_000, 24
-GAPS = (2, 3, 4, 5, 6, 8)
-EDGES = ".,!?;:\"'()[]"
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 3500, 48_000_000
+#: Words of a window (they overlap by half), and the lengths of the segments and of their parts that the trainer counts; the best is taken.
+CANDIDATES = ((8, 24, 8), (10, 24, 8), (8, 16, 6), (10, 16, 8))
+#: For each round the windows picked of each toxic document, and the bytes of the dictionary trained on them.
+ROUNDS = ((6, 3000), (6, 3000), (4, 3000), (4, 3000), (2, 2000), (2, 2000))
+#: Ordinary windows that the ordinary dictionary is trained on, and its bytes.
+ORDINARY_WINDOWS, ORDINARY_BYTES = 60_000, 110_000
+LEVEL = 9
+GAPS = (2, 3, 4, 5, 6)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without punctuation at their edges; longer ones in pieces of ``LONGEST``."""
-    out = []
-    for w in text.lower().split():
-        w = w.strip(EDGES)
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+def windows_of(words: list[str], width: int) -> Iterator[bytes]:
+    """Overlapping windows; the last one reaches the end."""
+    step = width // 2
+    for k in range(0, max(1, len(words) - width + step) if words else 0, step):
+        yield " ".join(words[k : k + width]).encode("utf-8", "replace")
 
 
 def without_copies(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -63,41 +68,53 @@ def without_copies(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], i
     return out
 
 
-def characteristic(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Words of toxic documents whose whole, or beginning of 4 to 6 letters, is far commoner there."""
+def _compressor(content: bytes):
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
 
-    def pieces(words: list[str]) -> set[str]:
-        return {p for w in set(words) for p in (f"{w} ", *(w[:k] for k in (4, 5, 6) if len(w) >= k))}
+def _trained(windows: list[bytes], size: int, segment: int, part: int) -> bytes:
+    """A dictionary by zstandard's trainer; none if there is too little to train on."""
+    import zstandard as z
 
-    there, elsewhere = Counter(), Counter()
-    for words in toxic:
-        there.update(pieces(words))
-    for words in ordinary:
-        elsewhere.update(pieces(words))
-    share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
-    good = {p for p, c in there.items() if c >= LEAST and c > TIMES * (elsewhere[p] + 0.5) * share}
-    found = Counter(w for words in toxic for w in set(words) if not good.isdisjoint((f"{w} ", w[:4], w[:5], w[:6])))
-    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:TOXIC_WORDS]]
+    try:
+        return z.train_dictionary(size, windows, k=segment, d=part, f=20, accel=1, level=LEVEL).as_bytes()
+    except z.ZstdError:
+        return b""
 
 
 @dataclass
 class ToxicityModel:
-    ordinary: bytes
-    toxic: bytes
-    context: str
+    """Contents of the two dictionaries, width of the windows, and the logistic fit."""
+
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    width: int = CANDIDATES[0][0]
     weights: np.ndarray | None = None
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     shift: float = 0.0
+    _kept: list = field(default_factory=list, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_kept": []}
 
-    def gaps(self) -> Gaps:
-        return Gaps(self)
+    def gaps(self, words: list[str]) -> np.ndarray:
+        """The gap of each window. What stands last in a dictionary is the cheapest to refer to, so the
+        ordinary text lies at the same distance in both."""
+        if not self._kept:
+            self._kept = [_compressor(self.ordinary), _compressor(self.toxic + self.ordinary)]
+        plain, toxic = (c.compress for c in self._kept)
+        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in windows_of(words, self.width)), np.int64)
 
-    def features(self, gaps: Gaps, words: list[str]) -> np.ndarray:
-        found = np.array([gaps[w] for w in set(words)] or [0])
-        reached = [(found >= g).sum() for g in GAPS]
-        n = math.log1p(len(found))
-        return np.array([*np.log1p(reached), *np.clip(found.max() - np.array([1, 3, 5]), 0, 3), found.max(), reached[2] / len(found), n])
+    def features(self, text: str | None) -> np.ndarray:
+        found = self.gaps((text or "").lower().split())
+        if not len(found):
+            return np.zeros(len(GAPS) + 3)
+        return np.array([*(math.log1p((found >= g).sum()) for g in GAPS), found.max(), (found >= 4).mean(), math.log1p(len(found))])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -106,24 +123,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class Gaps(dict):
-    """window → bytes that the toxic dictionary saves; filled on demand and bounded."""
-
-    def __init__(self, model: ToxicityModel) -> None:
-        import zstandard as z
-
-        kinds = (z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic))
-        self.plain, self.toxic = (z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in kinds)
-        self.context = model.context
-
-    def __missing__(self, word: str) -> int:
-        window = f"{self.context} {word} {self.context}".encode("utf-8", "replace")
-        if len(self) >= KEPT_WINDOWS:
-            self.clear()
-        gap = self[word] = len(self.plain(window)) - len(self.toxic(window))
-        return gap
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic regression by Newton steps, both classes weighing the same; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -138,37 +137,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicityModel:
-    """``share``: how many of all labelled rows are toxic (the sample holds more), for the threshold."""
-    kept = without_copies([(words_of(text), label) for text, label in rows])
-    learn, calibrate = [r for k, r in enumerate(kept) if k % 3], kept[::3]
-    toxic, ordinary = ([w for w, label in learn if label == k] for k in (1, 0))
-    if not toxic or not ordinary or len({label for _, label in calibrate}) < 2:
-        return ToxicityModel(b"", b"", "")
-    said = characteristic(toxic, ordinary)
-    counts = Counter(w for words in ordinary for w in set(words))
-    common = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w not in set(said)][:ORDINARY_WORDS]
-    context = " ".join(common[:12])
-    # what stands last in a dictionary is the cheapest to refer to
-    build = lambda words: f"{' '.join(words)} {context} ".encode()
-    model = ToxicityModel(build(common[::-1]), build(common[::-1] + said[::-1]), context)
-    gaps = model.gaps()
-    x, y = np.array([model.features(gaps, w) for w, _ in calibrate]), np.array([label for _, label in calibrate])
-    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    model.weights = _logistic((x - model.mean) / model.spread, y)
-    p = model.score(x)
-    # F1 as it would be with the true share of toxic rows
-    odds = 1.0 if share is None else ((1 - share) / max(share, 1e-6)) / ((1 - y.mean()) / y.mean())
+def dictionaries(toxic: list[list[str]], ordinary: list[list[str]], width: int, segment: int, part: int) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) contents, trained on texts as lists of words; empty if they can't be trained."""
+    windows = [w for words in ordinary for w in windows_of(words, width)]
+    order = np.random.default_rng(1).permutation(len(windows))[:ORDINARY_WINDOWS]
+    sample = [windows[k] for k in order]
+    plain = _trained(sample, ORDINARY_BYTES, 32, 8) or _trained(sample, max(256, sum(map(len, sample)) // 10), 32, 8)
+    if not plain:
+        return b"", b""
+    texts = [list(windows_of(words, width)) for words in toxic]
+    compress = _compressor(plain).compress
+    alone = [np.array([len(compress(w)) for w in ws]) for ws in texts]
+    worth = [n / np.array([len(w) + 8 for w in ws]) for n, ws in zip(alone, texts, strict=True)]
+    found = b""
+    for picked, size in ROUNDS:
+        sample = [ws[k] for ws, x in zip(texts, worth, strict=True) for k in np.argsort(-x, kind="stable")[:picked]]
+        now = _trained(sample, size, segment, part) or _trained(sample, max(256, sum(map(len, sample)) // 10), segment, part)
+        if not now:
+            break
+        found, compress = now, _compressor(now + plain).compress
+        worth = [n - np.array([len(compress(w)) for w in ws]) for n, ws in zip(alone, texts, strict=True)]
+    return plain, found
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, odds: float) -> tuple[float, float]:
+    """(threshold, F1), false alarms weighing ``odds``."""
     best = 0.5, -1.0
     for t in np.unique(np.round(p, 4)):
         hit, false, lost = (p[y == 1] >= t).sum(), (p[y == 0] >= t).sum() * odds, (p[y == 1] < t).sum()
         f1 = 2 * hit / max(1e-9, 2 * hit + false + lost)
         if f1 > best[1]:
-            below = p[p < t]
-            best = (t + below.max(initial=t - 0.01)) / 2, f1
-    t = min(max(best[0], 1e-4), 1 - 1e-4)
-    model.shift = math.log(t / (1 - t))
-    return model
+            best = (t + p[p < t].max(initial=t - 0.01)) / 2, f1
+    return best
+
+
+def train(rows: list[tuple[str, int]], share: float | None = None, candidates: tuple[tuple[int, int, int], ...] = CANDIDATES) -> ToxicityModel:
+    """``share``: how many of all labelled rows are toxic (the sample holds more), for the threshold."""
+    rows = [(text, text.lower().split(), label) for text, label in rows]
+    kept = without_copies([(words, label) for _, words, label in rows if words])
+    learn, calibrate = [r for k, r in enumerate(kept) if k % 3], kept[::3]
+    toxic, ordinary = ([w for w, label in learn if label == k] for k in (1, 0))
+    y = np.array([label for _, label in calibrate])
+    chosen, best = ToxicityModel(), -1.0
+    if not toxic or not ordinary or len(set(y.tolist())) < 2:
+        return chosen
+    # F1 as it would be with the true share of toxic rows
+    odds = 1.0 if share is None else ((1 - share) / max(share, 1e-6)) / ((1 - y.mean()) / y.mean())
+    for width, segment, part in candidates:
+        plain, found = dictionaries(toxic, ordinary, width, segment, part)
+        if not found:
+            continue
+        model = ToxicityModel(plain, found, width)
+        x = np.array([model.features(" ".join(w)) for w, _ in calibrate])
+        model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+        model.weights = _logistic((x - model.mean) / model.spread, y)
+        t, f1 = best_threshold(model.score(x), y, odds)
+        t = min(max(t, 1e-4), 1 - 1e-4)
+        model.shift = math.log(t / (1 - t))
+        if f1 > best:
+            chosen, best = model, f1
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -180,12 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     low = lambda rows, of: F.pmod(F.col("o"), F.lit(1 << 30)) < int(min(1.0, 4 * rows / max(of, 1)) * (1 << 30))
     pick = [known.where(F.col("toxic") == k).withColumn("o", order).where(low(rows, of)).orderBy("o", id_col).limit(rows) for k, rows, of in ((1, TOXIC_ROWS, n_toxic), (0, ORDINARY_ROWS, n - n_toxic))]
     # at most TOXIC_ROWS + ORDINARY_ROWS rows of three numbers
-    sample = F.broadcast(pick[0].union(pick[1]))
-    text = F.col(text_col).cast("string")
-    begin = F.pmod(F.col("o"), F.greatest(F.lit(1), F.length(text) - TRAIN_CHARS)).cast("int") + 1
-    rows = docs.select(id_col, text.alias(text_col)).where(F.col(text_col).isNotNull()).join(sample, id_col).select("o", "toxic", F.substring(text_col, begin, F.lit(TRAIN_CHARS)).alias("w"))
-    found = rows.groupBy("o").agg(F.min("w").alias("w"), F.max("toxic").alias("toxic")).orderBy("o").collect()
-    return train([(r.w, r.toxic) for r in found], n_toxic / n if n else None)
+    sample = F.broadcast(pick[0].union(pick[1]).select(F.col(id_col).alias("__id"), "o", F.col("toxic").alias("y")))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text IS NOT NULL")
+    # a bounded sample: the window orders at most as many rows as were picked
+    so_far = F.sum(F.length("w")).over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    found = texts.join(sample, "__id").groupBy("o").agg(F.min("__text").alias("w"), F.max("y").alias("y")).withColumn("chars", so_far).where(F.col("chars") <= SAMPLE_CHARS).orderBy("o").select("w", "y").collect()
+    return train([(r.w, r.y) for r in found], n_toxic / n if n else None)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -194,12 +222,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], text
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = model.gaps() if model.weights is not None else None
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 texts = part.column(part.num_columns - 1)
-                scores = model.score(np.array([model.features(gaps, words_of(t.as_py() or "")) for t in texts])) if gaps is not None else np.zeros(len(texts))
+                scores = model.score(np.array([model.features(t.as_py()) for t in texts])) if model.weights is not None else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.round(scores, 9), pa.float64())], [*part.schema.names[:-1], "score"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "score double"]))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -21,21 +22,49 @@ def rows(n, seed):
     return [(make(rng, y := int(rng.random() < 0.2)), y) for _ in range(n)]
 
 
-def test_held_out_accuracy():
+def plain_score(model, text):
+    """Score of one text with new compressors for every window."""
+    import zstandard as z
+
+    words, step, gaps = (text or "").lower().split(), model.width // 2, []
+    for k in range(0, max(1, len(words) - model.width + step) if words else 0, step):
+        window = " ".join(words[k : k + model.width]).encode()
+        size = lambda content: len(z.ZstdCompressor(level=T.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(window))
+        gaps.append(size(model.ordinary) - size(model.toxic + model.ordinary))
+    x = [math.log1p(sum(g >= t for g in gaps)) for t in T.GAPS] + [max(gaps), sum(g >= 4 for g in gaps) / len(gaps), math.log1p(len(gaps))] if gaps else [0.0] * (len(T.GAPS) + 3)
+    logit = sum((v - m) / d * w for v, m, d, w in zip(x, model.mean, model.spread, model.weights)) + model.weights[-1] - model.shift
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_held_out_accuracy_and_plain_scores():
     model = T.train(rows(1200, 1))
-    gaps = model.gaps()
     test = rows(400, 2)
-    scores = model.score(np.array([model.features(gaps, T.words_of(t)) for t, _ in test]))
+    scores = model.score(np.array([model.features(t) for t, _ in test]))
     truth = np.array([y for _, y in test])
     assert ((scores >= 0.5) == truth).mean() > 0.97 and 0 <= scores.min() and scores.max() <= 1
+    for text in [t for t, _ in test[:25]] + ["", None, "one", "a b c d e f g h i j k " * 40]:
+        assert abs(plain_score(model, text) - model.score(model.features(text)[None])[0]) < 1e-6
 
 
-def test_words_and_copies():
-    assert T.words_of("A.  b, " + "x" * 50) == ["a", "b", "x" * 24, "x" * 24, "xx"] and T.words_of("") == []
+def test_windows_and_copies():
+    words = [str(k) for k in range(23)]
+    assert [w.split()[0] for w in T.windows_of(words, 8)] == [b"0", b"4", b"8", b"12", b"16"] and list(T.windows_of([], 8)) == []
+    assert {x for w in T.windows_of(words, 8) for x in w.decode().split()} == set(words)
     a, b = ["w%d" % i for i in range(50)], ["v%d" % i for i in range(50)]
     assert len(T.without_copies([(a, 1), (a[:-1], 1), (b, 0)])) == 2
 
 
+def test_toxic_words_late_in_long_texts(spark):
+    """Whole texts are learnt from: what marks them stands behind 3000 ordinary words."""
+    rng = random.Random(5)
+    long = lambda y: " ".join(make(rng, 0) for _ in range(40)) + (" " + make(rng, 1) if y else "")
+    data = [(i, long(i % 4 == 0), int(i % 4 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    fresh = [(long(k % 2), k % 2) for k in range(60)]
+    assert np.mean([(model.score(model.features(t)[None])[0] >= 0.5) == y for t, y in fresh]) > 0.8
+
+
 def test_query(spark, tmp_path):
     data = rows(700, 3)
     docs = [(i, t, "x") for i, (t, _) in enumerate(data)] + [(8000, None, None), (8001, "", None), (8002, "nincompoop " * 40_000, None), (None, "the", None), (3, data[3][0], "y")]
@@ -55,3 +84,14 @@ def test_without_labels(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [tuple(r) for r in T.op4_toxicity(spark, str(tmp_path)).collect()] == [(1, False, 0.0, 0)]
+
+
+def test_empty_table_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert T.op4_toxicity(spark, str(tmp_path)).collect() == []
+    data = rows(300, 6)
+    docs = spark.createDataFrame([(i, t, 9.0, 5) for i, (t, _) in enumerate(data)], "doc_id long, text string, score double, o int")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert T.score_documents(docs, model, ["doc_id"]).where("score > 1").count() == 0
