@@ -2,13 +2,15 @@
 
 The network reads the UTF-8 bytes of a text from both sides, labels every position with language
 probabilities, and a document's probabilities are the means over its positions. It is trained here,
-in numpy, by backpropagation through time on windows from a bounded sample of labelled rows
-(``TRAIN_ROWS`` rows with the smallest hashes, one window of ``TRAIN_WINDOW`` bytes each).
+in numpy, by backpropagation through time on a bounded sample of labelled rows: the ``TRAIN_ROWS``
+rows with the smallest hashes, and of them as many, in this order, as have ``TRAIN_CHARS`` characters
+together. Their texts are learnt from whole, cut into windows of ``TRAIN_WINDOW`` bytes.
 
 Texts are read whole, cut into segments of at most ``SEGMENT`` bytes that the network reads side by
 side; every byte lies in exactly one segment. A text without a letter (or a null text) is ``und``
 with score 0. Equal texts give equal results wherever they stand, other columns are never looked
-at, and repeated rows are labelled each on their own. Without labelled rows everything is ``und``.
+at, and repeated rows are labelled each on their own. Without labelled rows everything is ``und``;
+an empty table gives no rows. Only the columns named in ``keep`` are carried, so others can't clash.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-#: Bounded sample of labelled rows, bytes of a training window, hidden units of each direction.
-TRAIN_ROWS, TRAIN_WINDOW, HIDDEN, EPOCHS, TRAIN_BATCH, RATE = 3000, 96, 8, 14, 100, 0.02
-#: Bytes of a segment, and segments that are read side by side.
-SEGMENT, SIDE_BY_SIDE = 192, 4096
+#: Bounded sample of labelled rows and of their characters, bytes of a training window, hidden units of each direction.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOW, HIDDEN, TRAIN_BATCH, RATE = 1000, 1_200_000, 96, 8, 100, 0.02
+#: Windows that are read in training, each as often as it takes, but at least so many times.
+TRAIN_READS, LEAST_EPOCHS = 42_000, 4
+#: Bytes of a segment, segments that are read side by side, and characters of the texts that are held for it.
+SEGMENT, SIDE_BY_SIDE, CHARS_AT_ONCE = 192, 2048, 1 << 20
 UNKNOWN = "und"
 
 
@@ -88,26 +92,37 @@ class LanguageModel:
     backward: Gru
     out: np.ndarray  # 2H+1 x languages, the last row is the bias
 
-    def position_probabilities(self, segments: np.ndarray) -> np.ndarray:
-        """Probabilities of every position: positions x rows x languages."""
-        width = segments.shape[1]
+    def position_probabilities(self, segments: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, probabilities: rows x languages) of every position, the last one first.
+
+        The forward states are stored; each backward state is used as soon as it is there.
+        """
+        rows, width = segments.shape
+        hidden = self.backward.candidate.shape[0]
         f, _ = _read(self.forward, segments, range(width))
-        b, _ = _read(self.backward, segments, range(width - 1, -1, -1))
-        hidden = f.shape[2]
-        p = f @ self.out[:hidden]
-        p += b @ self.out[hidden : 2 * hidden]
-        p += self.out[-1]
-        np.exp(p, out=p)
-        p /= p.sum(axis=2, keepdims=True)
-        return p
+        h = np.zeros((rows, hidden), np.float32)
+        for t in range(width - 1, -1, -1):
+            codes = segments[:, t]
+            new = _step(self.backward, h, self.backward.byte[codes])[0]
+            pad = codes == 256
+            if pad.any():
+                new[pad] = h[pad]
+            h = new
+            p = f[t] @ self.out[:hidden]
+            p += h @ self.out[hidden : 2 * hidden]
+            p += self.out[-1]
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            yield t, p
 
     def label_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(summed position probabilities, number of positions) of each text."""
         totals, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for ids, segments in _segments(texts):
-            p = self.position_probabilities(segments)
-            p *= (segments.T != 256)[:, :, None]
-            np.add.at(totals, ids, p.sum(axis=0, dtype=np.float64))
+            pooled = np.zeros((len(ids), len(self.languages)))
+            for t, p in self.position_probabilities(segments):
+                pooled += p * (segments[:, t] != 256)[:, None]
+            np.add.at(totals, ids, pooled)
             np.add.at(counts, ids, (segments != 256).sum(axis=1))
         return totals, counts
 
@@ -170,12 +185,13 @@ def _back(net: Gru, trail: list, d_states: np.ndarray, segments: np.ndarray) ->
     return [d_byte, d_gates, d_candidate]
 
 
-def train(windows: list[bytes], targets: list[str], epochs: int = EPOCHS, seed: int = 7) -> LanguageModel | None:
+def train(windows: list[bytes], targets: list[str], epochs: int | None = None, seed: int = 7) -> LanguageModel | None:
     """Train by Adam on the mean cross-entropy of all positions, each language weighing the same."""
     languages = sorted(set(targets))
     rows = [(w, languages.index(y)) for w, y in zip(windows, targets, strict=True) if w]
     if not rows:
         return None
+    epochs = epochs or max(LEAST_EPOCHS, TRAIN_READS // len(rows))
     rng = np.random.default_rng(seed)
     width = max(len(w) for w, _ in rows)
     data = np.full((len(rows), width), 256, np.int16)
@@ -215,16 +231,34 @@ def train(windows: list[bytes], targets: list[str], epochs: int = EPOCHS, seed:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Train on a bounded sample: the rows with the smallest hashes of (id, text), one window of each."""
+    """Train on a bounded sample: the rows with the smallest hashes of (id, length), their whole texts cut into windows."""
     text = F.col(text_col)
     lettered = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.length(text), F.lit("language"))
     # a threshold first: the tasks together hand on a few times what is wanted, however many they are
     known = labelled.where(F.col(lang_col).isNotNull()).count()
     lettered = lettered.where(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 4 * rows / max(known, 1)) * (1 << 30)))
-    begin = F.pmod(order, F.greatest(F.lit(1), F.length(text) - TRAIN_WINDOW)).cast("int") + 1
-    sample = lettered.select(order.alias("o"), F.substring(text, begin, F.lit(TRAIN_WINDOW)).alias("w"), F.col(lang_col).alias("l")).orderBy("o", "w", "l").limit(rows).collect()
-    return train([r.w.encode()[:TRAIN_WINDOW] for r in sample], [r.l for r in sample])
+    picked = lettered.select(order.alias("o"), F.length(text).alias("n"), text.alias("w"), F.col(lang_col).alias("l"))
+    # a bounded sample: at most ``rows`` rows are ordered by the window
+    sample = picked.orderBy("o", "l", "w").limit(rows).withColumn("chars", F.sum("n").over(Window.orderBy("o", "l", "w").rowsBetween(Window.unboundedPreceding, 0)))
+    found = sample.where(F.col("chars") <= TRAIN_CHARS).select("w", "l").collect()
+    cut = [(raw[k : k + TRAIN_WINDOW], r.l) for r in found for raw in [r.w.encode("utf-8", "replace")] for k in range(0, len(raw), TRAIN_WINDOW)]
+    return train([w for w, _ in cut], [y for _, y in cut])
+
+
+def _slices(texts: pa.Array, rows: int = 1024, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs of rows with about ``chars`` characters at most, or of a single row."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if k > begin and (held + n > chars or k - begin == rows):
+            yield begin, k - begin
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes) - begin
 
 
 def label_documents(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -235,8 +269,8 @@ def label_documents(docs: DataFrame, model: LanguageModel | None, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for begin, size in _slices(batch.column(at)):
+                part = batch.slice(begin, size)
                 texts = part.column(at).to_pylist()
                 found, scores = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])

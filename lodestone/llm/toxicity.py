@@ -18,7 +18,8 @@ the smallest hashes, and of them as many, in this order, as have ``SAMPLE_CHARS`
 their texts are learnt from whole. Rows of the sample that share a fifth of their shingles with rows
 before them are left out, because a copied document would make its chance words look characteristic.
 
-Every text is scored whole. Null and empty texts get the score of a document without windows. Without
+Every text is scored whole. Null and empty texts get the score of a document without windows, which is
+below the threshold. Without
 labels of both kinds, or with too few to train a dictionary, the score is 0. Equal texts give equal
 scores; repeated rows are scored each, an empty table gives no rows, other columns are never looked at
 and, unless named in ``keep``, not carried, so their names can't clash.
@@ -47,6 +48,8 @@ ROUNDS = ((6, 3000), (6, 3000), (4, 3000), (4, 3000), (2, 2000), (2, 2000))
 ORDINARY_WINDOWS, ORDINARY_BYTES = 60_000, 110_000
 LEVEL = 9
 GAPS = (2, 3, 4, 5, 6)
+#: Texts with fewer windows count as so many; the highest score of a text none of whose windows reaches the least gap.
+SHORT, UNTOUCHED = 8, 0.49
 
 
 def windows_of(words: list[str], width: int) -> Iterator[bytes]:
@@ -114,13 +117,15 @@ class ToxicityModel:
         found = self.gaps((text or "").lower().split())
         if not len(found):
             return np.zeros(len(GAPS) + 3)
-        return np.array([*(math.log1p((found >= g).sum()) for g in GAPS), found.max(), (found >= 4).mean(), math.log1p(len(found))])
+        return np.array([*(math.log1p((found >= g).sum()) for g in GAPS), found.max(), (found >= 4).mean(), math.log1p(max(SHORT, len(found)))])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(features))
         z = ((features - self.mean) / self.spread) @ self.weights[:-1] + self.weights[-1] - self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        # without a window that reaches the least gap nothing speaks for toxicity
+        return np.where(features[:, 0] > 0, p, np.minimum(p, UNTOUCHED))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

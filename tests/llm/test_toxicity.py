@@ -31,9 +31,10 @@ def plain_score(model, text):
         window = " ".join(words[k : k + model.width]).encode()
         size = lambda content: len(z.ZstdCompressor(level=T.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(window))
         gaps.append(size(model.ordinary) - size(model.toxic + model.ordinary))
-    x = [math.log1p(sum(g >= t for g in gaps)) for t in T.GAPS] + [max(gaps), sum(g >= 4 for g in gaps) / len(gaps), math.log1p(len(gaps))] if gaps else [0.0] * (len(T.GAPS) + 3)
+    x = [math.log1p(sum(g >= t for g in gaps)) for t in T.GAPS] + [max(gaps), sum(g >= 4 for g in gaps) / len(gaps), math.log1p(max(8, len(gaps)))] if gaps else [0.0] * (len(T.GAPS) + 3)
     logit = sum((v - m) / d * w for v, m, d, w in zip(x, model.mean, model.spread, model.weights)) + model.weights[-1] - model.shift
-    return 1 / (1 + math.exp(-logit))
+    p = 1 / (1 + math.exp(-logit))
+    return p if any(g >= 2 for g in gaps) else min(p, 0.49)
 
 
 def test_held_out_accuracy_and_plain_scores():
