@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import table
 
 #: Bounded sample of labelled rows and of their characters, bytes of a training window, hidden units of each direction.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOW, HIDDEN, TRAIN_BATCH, RATE = 1000, 1_200_000, 96, 8, 100, 0.02
-#: Windows that are read in training, each as often as it takes, but at least so many times.
-TRAIN_READS, LEAST_EPOCHS = 42_000, 4
-#: Bytes of a segment, segments that are read side by side, and characters of the texts that are held for it.
-SEGMENT, SIDE_BY_SIDE, CHARS_AT_ONCE = 192, 2048, 1 << 20
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOW, HIDDEN, TRAIN_BATCH, RATE = 3000, 4_500_000, 96, 8, 100, 0.02
+#: Windows that are read in training, each as often as it takes, but at least so often.
+TRAIN_READS, LEAST_EPOCHS = 42_000, 1
+#: Bytes of a segment, and segments that are read side by side.
+SEGMENT, SIDE_BY_SIDE = 192, 2048
 UNKNOWN = "und"
 
 
@@ -246,21 +247,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return train([w for w, _ in cut], [y for _, y in cut])
 
 
-def _slices(texts: pa.Array, rows: int = 1024, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """(begin, length) of runs of rows with about ``chars`` characters at most, or of a single row."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    begin = held = 0
-    for k, n in enumerate(sizes):
-        if k > begin and (held + n > chars or k - begin == rows):
-            yield begin, k - begin
-            begin, held = k, 0
-        held += n
-    if begin < len(sizes):
-        yield begin, len(sizes) - begin
-
-
 def label_documents(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, then the predicted language and its probability. Row by row, no shuffle."""
     rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
@@ -269,8 +255,7 @@ def label_documents(docs: DataFrame, model: LanguageModel | None, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, size in _slices(batch.column(at)):
-                part = batch.slice(begin, size)
+            for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
                 found, scores = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])

@@ -1,16 +1,20 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Method. Each licence notice is a template of words with a mandatory key phrase. One pass counts in
-how many documents each licence word stands; from these counts come the words' IDF and, for every
-template, its rarest words (always one of its key phrase), which are indexed with their offsets. A
-document looks up the places of its indexed words; each posting gives a place where the template
-would begin, equal beginnings are joined, the key phrase is verified word by word there, and the
-share of the template's IDF that stands at the right offsets is its coverage.
+how many documents each licence word stands, which gives the words' IDF; the two words of highest IDF
+in a template's key phrase are its anchors, and a positional index maps a word to the (template,
+offset) pairs that it anchors. A file looks up the words of highest IDF that it has, so only templates
+whose anchors it holds: every place of an anchor says where the template would begin, and the
+beginnings by the first anchor are intersected with those by the second. At what is left the key
+phrase is verified word by word, and the share of the template's IDF that stands at the right offsets
+is its coverage. A beginning is one 64-bit number, so intersections are linear however often a word
+recurs.
 
 Words are runs of digits, A-Z/a-z and characters beyond ASCII; A-Z count as a-z. Base phrases are
 templates that are all key phrase, so every place of theirs is found. A null or empty text has no
 words and no labels. Everything is done row by row, so repeated or very long rows, and groups of
 copies, need no shuffle; only the counts of the licence words (a fixed vocabulary) reach the driver.
+An empty table gives no rows; columns that aren't named in ``keep`` can't clash.
 """
 
 from __future__ import annotations
@@ -52,8 +56,10 @@ NOTICES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", "released into the public domain"),
 ]
 
-#: Indexed words of a template, and the coverage from which a template counts.
-RARE, ACCEPT = 3, 0.5
+#: The coverage from which a template counts.
+ACCEPT = 0.5
+#: A beginning as one number: template · 2^SHIFT + place + BEFORE (a template may begin before the text does).
+SHIFT, BEFORE = 40, 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -92,14 +98,12 @@ def license_sites(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     all_templates = templates()
     vocabulary = sorted({w for t in all_templates for w in t["words"]})
     idf = word_idf(docs, vocabulary, text_col)
-    postings: dict[str, list[tuple[int, int]]] = {}
+    anchors: tuple[dict[str, list[tuple[int, int]]], ...] = ({}, {})
     for k, t in enumerate(all_templates):
-        rarest = sorted(range(len(t["words"])), key=lambda j: (-idf[t["words"][j]], j))
-        in_key = next(j for j in rarest if t["key_at"] <= j < t["key_at"] + len(t["key"]))
-        for j in [in_key] if t["base"] else sorted({in_key, *rarest[:RARE]}):
+        in_key = range(t["key_at"], t["key_at"] + len(t["key"]))
+        rarest = sorted(in_key, key=lambda j: (-idf[t["words"][j]], j))
+        for postings, j in zip(anchors, [rarest[0], rarest[min(1, len(rarest) - 1)]], strict=True):
             postings.setdefault(t["words"][j], []).append((k, j))
-    indexed = sorted(postings)
-    index = F.create_map(*(x for w in indexed for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("t"), F.lit(j).alias("o")) for k, j in postings[w])))))
     notice = F.array(
         *(
             F.struct(
@@ -110,18 +114,25 @@ def license_sites(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
         )
     )
     w = F.col("__words")
-    places = F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(indexed), i)), lambda i: i.isNotNull())
-    begins = F.flatten(F.transform(places, lambda i: F.transform(F.element_at(index, F.lower(F.get(w, i))), lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("s")))))
+    indexed = sorted({word for postings in anchors for word in postings})
+    places = F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(indexed), F.struct(F.lower(x).alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+
+    def begins(postings: dict[str, list[tuple[int, int]]]) -> Column:
+        index = F.create_map(*(x for word in sorted(postings) for x in (F.lit(word), F.array(*(F.lit((k << SHIFT) + BEFORE - j) for k, j in postings[word])))))
+        known = F.filter("__places", lambda x: x["w"].isin(sorted(postings)))
+        return F.flatten(F.transform(known, lambda x: F.transform(F.element_at(index, x["w"]), lambda code: code + x["i"])))
 
     def site(c: Column) -> Column:
-        t = F.get(notice, c["t"])
-        found = lambda j: F.coalesce(F.translate(F.get(w, c["s"] + j), UPPER, LOWER), F.lit(""))
+        t = F.get(notice, F.shiftright(c, SHIFT).cast("int"))
+        s = (c.bitwiseAND(F.lit((1 << SHIFT) - 1)) - BEFORE).cast("int")
+        found = lambda j: F.coalesce(F.translate(F.get(w, s + j), UPPER, LOWER), F.lit(""))
         covered = F.aggregate(F.transform(t["words"], lambda x, j: F.when(found(j) == x, F.get(t["share"], j)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
         key = F.forall(F.transform(t["key"], lambda x, j: found(t["key_at"] + j) == x), lambda ok: ok)
-        return F.when(key, F.struct(c["s"].cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"), F.size(t["words"]).alias("n_words"), F.round(covered, 6).alias("coverage")))
+        return F.when(key, F.struct(s.cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"), F.size(t["words"]).alias("n_words"), F.round(covered, 6).alias("coverage")))
 
-    sites = F.filter(F.transform(F.array_distinct(F.col("__begins")), site), lambda s: s.isNotNull() & (s["coverage"] >= ACCEPT))
-    rows = docs.select(*keep, document_words(F.col(text_col)).alias("__words")).withColumn("__begins", begins)
+    sites = F.filter(F.transform("__begins", site), lambda s: s.isNotNull() & (s["coverage"] >= ACCEPT))
+    rows = docs.select(*keep, document_words(F.col(text_col)).alias("__words")).withColumn("__places", places)
+    rows = rows.withColumn("__begins", F.array_intersect(begins(anchors[0]), begins(anchors[1])))
     return rows.select(*keep, F.size("__words").cast("long").alias("n_words"), F.array_sort(sites).alias("sites"))
 
 

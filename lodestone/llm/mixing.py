@@ -5,33 +5,41 @@ domains (here the quality mark of ``labels``). Each document gets a nonnegative
 times that it is expected to be drawn; a domain's expected tokens are the sum of rate · tokens · posterior. The rates minimise the squared distance of these totals from
 the targets, plus a small pull towards rate 1, by projected gradient steps. The targets are weights of
 a budget: enough tokens that the heaviest domain keeps ``EPOCHS`` times what it holds, so that a
-mixture thins out the other domains instead of giving up documents of that one. Each step sums the
-domains' expected tokens over all documents on the cluster, and only these few totals reach the
-driver. A document's rate follows from its posteriors and the totals' course alone, so it is
-recomputed from the steps so far, and no state of documents is kept.
+mixture thins out the other domains instead of giving up documents of that one. Documents are first
+summed up by their (rounded) posteriors, as equal posteriors get equal rates; each step sums the
+domains' expected tokens over these cells on the cluster, and only the few totals reach the driver. A
+document's rate follows from its posteriors and the totals' course alone, so it is recomputed from
+the steps, and no state of documents is kept. A descent that hasn't come to rest warns with the
+targets and what was reached.
 
 The rates become whole copies: the integer part, and one more where a hash of the document's id falls
 below the rest. Tokens are runs of characters between white space. Null or empty texts have no tokens
-and take part with rate 1. Without labels all documents have one domain. Repeated rows count each.
+and take part with rate 1. Without labels all documents have one domain. Repeated rows count each; an
+empty table gives no rows. Columns whose names begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import materialize, table
 
-#: Bounded sample of labelled rows, characters of each, hashed features, and texts' words that count at once.
-TRAIN_ROWS, TRAIN_CHARS, FEATURES = 4000, 8000, 1 << 15
-#: Pull towards rate 1, most steps, and the change of a total (share of all tokens) that ends the descent.
-PULL, STEPS, STILL = 1e-3, 60, 1e-5
+#: Bounded sample of labelled rows and of their characters together, hashed features, words kept with theirs.
+TRAIN_ROWS, SAMPLE_CHARS, FEATURES, KEPT_WORDS = 4000, 48_000_000, 1 << 15, 100_000
+#: Pull towards rate 1, the change of a total (share of all tokens) that ends the descent, and the steps
+#: after which rates that still move are an error.
+PULL, STILL, STEPS = 1e-3, 1e-5, 300
+#: Decimals of a posterior; documents of equal posteriors have equal rates, so they are one cell of the descent.
+DECIMALS = 4
 #: Weights of the domains ``q<quality>`` that the mixture aims at.
 TARGET = {"q1": 0.95, "q0": 0.05}
 #: How often the mixture goes through the heaviest domain.
@@ -44,7 +52,7 @@ class FeatureIds(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % FEATURES
         return found
@@ -96,15 +104,17 @@ def train(rows: list[tuple[str, str]], rounds: int = 400) -> DomainModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
-    """Learn the domains from a bounded sample: the labelled rows with the smallest hashes."""
-    known = labels.where(domain.isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(domain).alias("__domain"))
+    """Learn the domains from a bounded sample: whole texts of the labelled rows with the smallest hashes."""
+    known = labels.where(domain.isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(domain).alias("__domain"))
     # a threshold first: the tasks together hand on a few times what is wanted, however many they are
     low = F.pmod(F.col("__o"), F.lit(1 << 30)) < int(min(1.0, 4 * TRAIN_ROWS / max(labels.count(), 1)) * (1 << 30))
     # at most TRAIN_ROWS rows of three short values
-    sample = F.broadcast(known.withColumn("__o", F.xxhash64(F.lit("mixing"), F.col(id_col))).where(low).orderBy("__o", id_col).limit(TRAIN_ROWS))
-    text = F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS)
-    rows = docs.where(F.col(text_col).isNotNull()).join(sample, id_col).groupBy("__o").agg(F.min(text).alias("w"), F.min("__domain").alias("d")).orderBy("__o").collect()
-    return train([(r.w, r.d) for r in rows])
+    sample = F.broadcast(known.withColumn("__o", F.xxhash64(F.lit("mixing"), F.col("__id"))).where(low).orderBy("__o", "__id").limit(TRAIN_ROWS))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text IS NOT NULL")
+    # a bounded sample: the window orders at most TRAIN_ROWS rows
+    so_far = F.sum(F.length("w")).over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.join(sample, "__id").groupBy("__o").agg(F.min("__text").alias("w"), F.min("__domain").alias("d")).withColumn("chars", so_far)
+    return train([(r.w, r.d) for r in rows.where(F.col("chars") <= SAMPLE_CHARS).orderBy("__o").select("w", "d").collect()])
 
 
 def document_domains(docs: DataFrame, model: DomainModel, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -116,11 +126,10 @@ def document_domains(docs: DataFrame, model: DomainModel, keep: list[str], text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = FeatureIds()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, at, rows=256):
                 texts = part.column(at)
                 tokens = pa.array([len((t.as_py() or "").split()) for t in texts], pa.int64())
-                p = np.round(model.posteriors(np.array([model.evidence(ids, t.as_py()) for t in texts])), 6)
+                p = np.round(model.posteriors(np.array([model.evidence(ids, t.as_py()) for t in texts])), DECIMALS)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), tokens, pa.array(list(p), pa.list_(pa.float64()))], [*keep, "__tokens", "__p"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "__tokens long", "__p array<double>"]))
@@ -143,6 +152,7 @@ def solve_rates(domains: DataFrame, weights: np.ndarray, steps: int = STEPS) ->
     divided by its tokens, after which the curvature is at most 1 + PULL, so steps of 1/(1 + PULL) descend.
     """
     n = len(weights)
+    domains = materialize(domains.where("__tokens > 0").groupBy("__p").agg(F.sum("__tokens").alias("__tokens")))
 
     def totals(course: list[list[float]]) -> np.ndarray:
         rows = domains.withColumn("__rate", rate_after(course))
@@ -160,6 +170,8 @@ def solve_rates(domains: DataFrame, weights: np.ndarray, steps: int = STEPS) ->
         before, reached = reached, totals(course)
         if np.abs(reached - before).max() < STILL * total:
             break
+    else:
+        warnings.warn(f"mixing: after {steps} steps {reached.tolist()} tokens of {goal.tolist()} were reached", stacklevel=2)
     return course, reached, goal
 
 
@@ -171,20 +183,20 @@ def with_copies(rows: DataFrame, course: list[list[float]], id_col: str = "doc_i
     return rows.withColumn("__copies", (F.floor("__rate") + (lot < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int"))
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> tuple[DomainModel, DataFrame, list[list[float]]]:
-    """(classifier, stored table of ids, tokens and posteriors, steps). Domains without a weight have weight 0;
+def fit_mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> tuple[DomainModel, DataFrame, list[list[float]]]:
+    """(classifier, stored table of ``keep`` (the ids), tokens and posteriors, steps). Domains without a weight have weight 0;
     if no domain that the labels name has a weight, all have the same."""
     model = fit(docs, labels, domain, id_col, text_col)
     wanted = np.array([weights.get(d, 0.0) for d in model.domains])
-    known = materialize(document_domains(docs, model, [id_col], text_col))
+    known = materialize(document_domains(docs, model, keep or [id_col], text_col))
     course, _, _ = solve_rates(known, wanted if wanted.sum() else np.ones(len(wanted)))
     return model, known, course
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say."""
-    model, _, course = fit_mixture(docs, labels, domain, weights, id_col, text_col)
-    rows = with_copies(document_domains(docs, model, docs.columns, text_col), course, id_col)
+    _, known, course = fit_mixture(docs, labels, domain, weights, id_col, text_col, docs.columns)
+    rows = with_copies(known, course, id_col)
     return rows.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

@@ -7,10 +7,12 @@ before it (pair compatibility). Walking the table from the end gives the ids.
 
 Merges never cross from a non-space character to a space mark, because no piece has a space mark
 inside (checked when the model is loaded), so a text is encoded segment by segment: a run of space
-marks and what follows. Segments recur, and each Python worker keeps a bounded table of them.
+marks and what follows. Segments recur, and each task keeps a bounded table of them, which is
+freed when it ends; only the vocabulary stays in a reused worker.
 
-Null texts count as empty; an empty text has no ids and decodes to the empty text. Texts are encoded
-whole, whatever their length. Repeated rows give repeated results.
+The model must leave texts as they are but for a space mark in front and for every space: this is
+tried when it is loaded. Null texts count as empty; an empty text has no ids and decodes to the empty text. Texts are encoded
+whole, whatever their length. Repeated rows give repeated results, an empty table none.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import table
 
 MARK = "▁"
-#: Segments and pair tests that a worker keeps; beyond that the table starts anew.
-KEPT_SEGMENTS = 300_000
-KEPT_PAIRS = 1_500_000
+#: Segments and pair tests that a task keeps; beyond that the table starts anew.
+KEPT_SEGMENTS = 120_000
+KEPT_PAIRS = 400_000
 
 
 class PieceModel:
@@ -52,6 +55,10 @@ class PieceModel:
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece], self.bytes_of[i] = i, piece.encode()
+        # what a normaliser would change: width, case, ligatures, runs of spaces, blanks at the ends
+        trial = "  Ａé  ﬁ\tK x²\u00a0 "
+        if sp.decode(sp.encode(trial)) != trial or not sp.id_to_piece(sp.encode("a")[0]).startswith(MARK):
+            raise ValueError("the model normalises texts: only models that leave them as they are can be used")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece has a space mark inside: texts can't be cut at space marks")
         order = sorted(self.ids.values(), key=lambda i: -sp.get_score(i))
@@ -196,8 +203,9 @@ class SegmentTable(dict):
 
 
 @lru_cache(maxsize=1)
-def segment_table(path: str) -> SegmentTable:
-    return SegmentTable(PieceModel(path))
+def piece_model(path: str) -> PieceModel:
+    """The vocabulary, loaded once in a worker."""
+    return PieceModel(path)
 
 
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -219,20 +227,23 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = True, id_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = segment_table(model_path)
+        model = piece_model(model_path)
+        segments = SegmentTable(model)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        for batch in batches:
-            # small slices, so that what is held follows the texts of a few rows
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                done = [encode_text(segments, t) for t in part.column(1).to_pylist()]
-                if digests:
-                    columns = [pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), pa.array([sha(ids) for ids, _ in done]), pa.array([sha(text) for _, text in done])]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    columns = [pa.array([list(map(int, ids.split(","))) if ids else [] for ids, _ in done], pa.list_(pa.int32())), pa.array([text for _, text in done], pa.string())]
-                    names = ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, *names])
+        try:
+            for batch in batches:
+                for part in slices(batch, 1, rows=256):
+                    done = [encode_text(segments, t) for t in part.column(1).to_pylist()]
+                    if digests:
+                        columns = [pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), pa.array([sha(ids) for ids, _ in done]), pa.array([sha(text) for _, text in done])]
+                        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                    else:
+                        columns = [pa.array([list(map(int, ids.split(","))) if ids else [] for ids, _ in done], pa.list_(pa.int32())), pa.array([text for _, text in done], pa.string())]
+                        names = ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, *names])
+        finally:
+            segments.clear()
+            model.pairs.clear()
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = rows.schema[0].dataType.simpleString()

@@ -15,6 +15,9 @@ TEXTS = {
     10: "license " * 20_000 + "gnu general public",
     11: "gnu gnu general public license license",
     12: "word-mit-license-mit license",
+    13: "mit " * 200_000 + "license",
+    14: "mit license " * 50_000,
+    15: "apache apache license license apache license",
 }
 
 

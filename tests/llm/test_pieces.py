@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestone.llm.pieces import encode_documents, encode_text, model_path, segment_table
+from lodestone.llm.pieces import SegmentTable, encode_documents, encode_text, model_path, piece_model
 
 sp = pytest.importorskip("sentencepiece")
 
@@ -14,7 +14,7 @@ def library():
 
 
 def same(library, text):
-    ids, decoded = encode_text(segment_table(model_path()), text)
+    ids, decoded = encode_text(SegmentTable(piece_model(model_path())), text)
     want = library.encode(text)
     assert ids == ",".join(map(str, want)), repr(text)
     assert decoded == library.decode(want), repr(text)
