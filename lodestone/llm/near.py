@@ -1,10 +1,13 @@
 """Near-duplicate detection by DartMinHash over word shingles.
 
-Method. A text is the multiset of its shingles of five words; the n-th occurrence of a shingle is a
-cell of weight one. Darts are thrown at every cell by a seeded Poisson process over rank, so equal
-cells get equal darts; each dart falls on one of ``BANDS·ROWS`` coordinates, and a coordinate keeps
-its earliest dart. Two texts agree in a coordinate with the probability of their weighted Jaccard
-similarity. Bands of coordinates are hashed, and texts that share a band are compared exactly.
+Method. A text is a weighted set: its shingles of five words, each weighing as often as it occurs. The
+weight axis of an element is divided into regions by level, [0, 1), [1, 2), [2, 4), [4, 8) and so on.
+Into every region up to the element's weight seeded darts are thrown, a Poisson process over rank as
+dense as the region is wide, each dart at a hashed height; darts above the weight miss. So equal
+elements get equal darts, a heavier one more of them, and an element of weight w costs about log w
+regions. Each dart falls on one of ``BANDS·ROWS`` coordinates, and a coordinate keeps its earliest
+dart. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity. Bands
+of coordinates are hashed, and texts that share a band are compared exactly.
 
 Only texts with different word sequences are compared; copies share a key. In a bucket every text is
 compared with one head first. Where a bucket still holds several components, more heads are taken
@@ -15,7 +18,9 @@ components of the links come from label propagation with pointer jumping, on the
 Words are runs of word characters, lower-cased. A text of fewer than five words has one shingle, all
 its words. Texts without words are copies of each other only where they are equal; a null text is a
 class of its own. A document's class is the smallest id of its component. Rows may repeat, and rows
-that share an id but not the text are classed by their texts.
+that share an id but not the text are classed by their texts. An empty table gives no rows; only the id
+and the text are carried, so other columns can't clash (``keep_one`` carries all; names that begin with
+two underscores are its own).
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ WORD = re.compile(r"\w+")
 MAP_WORDS = 16
 #: Darts that are drawn at once, texts and words whose darts are thrown side by side, texts whose cells are kept for comparing.
 DARTS_AT_ONCE, SIDE_BY_SIDE, WORDS_SIDE_BY_SIDE, KEPT_TEXTS = 1 << 18, 64, 1 << 17, 32
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 150_000
 
 
 # -- darts ---------------------------------------------------------------------------------------
@@ -65,14 +72,14 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return found
 
 
-def shingle_cells(words: list[str], hashes: WordHashes) -> np.ndarray:
-    """One 64-bit cell for each occurrence of a shingle, sorted; the same shingle's occurrences are numbered."""
+def shingle_hashes(words: list[str], hashes: WordHashes) -> np.ndarray:
+    """One 64-bit hash for each occurrence of a shingle, sorted."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.array([hashes[w] for w in words], np.uint64)
@@ -82,31 +89,52 @@ def shingle_cells(words: list[str], hashes: WordHashes) -> np.ndarray:
     for k in range(size):
         total = _mix(total ^ h[k : k + n])
     total.sort()
-    first = np.searchsorted(total, total)
-    return np.sort(_mix(total ^ _mix((np.arange(n) - first).astype(np.uint64))))
+    return total
+
+
+def cells_of(shingles: np.ndarray) -> np.ndarray:
+    """One 64-bit cell for each occurrence, sorted; the same shingle's occurrences are numbered."""
+    first = np.searchsorted(shingles, shingles)
+    return np.sort(_mix(shingles ^ _mix((np.arange(len(shingles)) - first).astype(np.uint64))))
+
+
+def shingle_cells(words: list[str], hashes: WordHashes) -> np.ndarray:
+    return cells_of(shingle_hashes(words, hashes))
 
 
-def cells_of_weights(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of elements with any positive weights, and how much of each cell's weight axis counts."""
-    whole = np.ceil(weights).astype(np.int64)
-    owner = np.repeat(np.arange(len(elements)), whole)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
-    return _mix(elements[owner] ^ _mix(number.astype(np.uint64))), np.minimum(1.0, weights[owner] - number)
+def weighted_set(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, how often each occurs)."""
+    elements, counts = np.unique(shingles, return_counts=True)
+    return elements, counts.astype(np.float64)
 
 
-def dart_signatures(texts: list[np.ndarray], k: int, widths: list[np.ndarray] | None = None) -> np.ndarray:
-    """For each array of cells the id of the earliest dart on each of k coordinates; no cells, all zero.
+def regions_of_weights(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, its width, the share of it below the element's weight) of elements with any positive weights.
 
-    The texts' darts are thrown side by side: up to the rank below which about enough of them fall for
+    Level 0 is [0, 1), level k is [2^(k-1), 2^k).
+    """
+    levels = np.maximum(0, np.ceil(np.log2(np.maximum(weights, 1e-300)))).astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(elements)), levels)
+    level = np.arange(len(owner)) - np.repeat(np.cumsum(levels) - levels, levels)
+    low = np.where(level == 0, 0.0, 2.0 ** (level - 1))
+    width = np.where(level == 0, 1.0, low)
+    return _mix(elements[owner] ^ _mix(level.astype(np.uint64))), width, np.minimum(1.0, (weights[owner] - low) / width)
+
+
+def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each weighted set (elements, weights) the id of the earliest dart on each of k coordinates; an empty set has all zero.
+
+    The sets' darts are thrown side by side: up to the rank below which about enough of them fall for
     every coordinate, and for what is then still bare up to twice that rank.
     """
-    out = np.zeros((len(texts), k), np.uint64)
-    weight = np.array([float(len(c) if widths is None else widths[i].sum()) for i, c in enumerate(texts)])
+    out = np.zeros((len(sets), k), np.uint64)
+    weight = np.array([float(w.sum()) for _, w in sets])
+    regions = [regions_of_weights(e, w) for e, w in sets]
     left, times = np.nonzero(weight)[0], 1.3
     while len(left):
-        sizes = np.array([len(texts[i]) for i in left])
+        sizes = np.array([len(regions[i][0]) for i in left])
         limits = np.repeat(times * (k * math.log(k) + 2 * k) / weight[left], sizes)
-        ids, ranks, owner = _darts(np.concatenate([texts[i] for i in left]), limits, None if widths is None else np.concatenate([widths[i] for i in left]))
+        ids, ranks, owner = _darts(*(np.concatenate([regions[i][j] for i in left]) for j in range(3)), limits)
         slots = np.repeat(np.arange(len(left)), sizes)[owner] * k + ((ids >> np.uint64(7)) % np.uint64(k)).astype(np.int64)
         best = np.full(len(left) * k, np.inf)
         np.minimum.at(best, slots, ranks)
@@ -119,32 +147,28 @@ def dart_signatures(texts: list[np.ndarray], k: int, widths: list[np.ndarray] |
     return out
 
 
-def dart_signature(cells: np.ndarray, k: int, width: np.ndarray | None = None) -> np.ndarray:
-    """The id of the earliest dart on each of k coordinates."""
-    return dart_signatures([cells], k, None if width is None else [width])[0]
-
-
-def _darts(cells: np.ndarray, limit: float | np.ndarray, width: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, rank, number of the cell) of all darts of lower rank than the cell's ``limit``; with ``width`` those within its part of the weight axis.
+def _darts(regions: np.ndarray, widths: np.ndarray, shares: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, rank, number of the region) of all darts of lower rank than the region's limit that hit its share.
 
-    A cell's n-th dart lies a drawn step behind the one before, and its steps are added up in order
-    however many are drawn at once, so a cell has the same darts in any company.
+    A region's n-th dart lies a drawn step behind the one before, the shorter the wider the region, and
+    its steps are added up in order however many are drawn at once, so a region has the same darts in any
+    company.
     """
-    limit = np.broadcast_to(np.asarray(limit, np.float64), cells.shape)
+    reach = limits * widths  # ranks in units of the region's own steps
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    classes = np.ceil(np.log2(np.maximum(limit, 1))).astype(np.int64)
+    classes = np.ceil(np.log2(np.maximum(reach, 1))).astype(np.int64)
     for kind in np.unique(classes):
         alive = np.nonzero(classes == kind)[0]
-        last, n, most = np.zeros(len(alive)), 0, float(limit[alive].max())
+        last, n, most = np.zeros(len(alive)), 0, float(reach[alive].max())
         step = max(1, int(most + 2 * math.sqrt(most)) if most > 2 else 1)
         while len(alive):
             rest = []
             for begin in range(0, len(alive), max(1, DARTS_AT_ONCE // step)):
                 part = slice(begin, begin + max(1, DARTS_AT_ONCE // step))
                 own = alive[part]
-                ids = _mix(cells[own][:, None] ^ _mix(np.arange(n, n + step, dtype=np.uint64))[None, :])
+                ids = _mix(regions[own][:, None] ^ _mix(np.arange(n, n + step, dtype=np.uint64))[None, :])
                 ranks = np.cumsum(np.concatenate([last[part][:, None], -np.log(_uniform(ids))], axis=1), axis=1)[:, 1:]
-                inside = ranks < limit[own][:, None]
+                inside = ranks < reach[own][:, None]
                 found.append((ids[inside], ranks[inside], np.repeat(own, inside.sum(axis=1))))
                 rest.append((own[inside[:, -1]], ranks[inside[:, -1], -1]))
             alive, last = (np.concatenate([x[j] for x in rest]) for j in range(2))
@@ -152,10 +176,9 @@ def _darts(cells: np.ndarray, limit: float | np.ndarray, width: np.ndarray | Non
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
     ids, ranks, owner = (np.concatenate([x[j] for x in found]) for j in range(3))
-    if width is not None:
-        inside = _uniform(_mix(ids)) <= width[owner]
-        ids, ranks, owner = ids[inside], ranks[inside], owner[inside]
-    return ids, ranks, owner
+    hit = (shares[owner] >= 1.0) | (_uniform(_mix(ids)) <= shares[owner])
+    ids, ranks, owner = ids[hit], ranks[hit], owner[hit]
+    return ids, ranks / widths[owner], owner
 
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -190,9 +213,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
 
-    def done(ids: list, keys: list[bytes | None], cells: list[np.ndarray]) -> pa.RecordBatch:
-        bands = [band_hashes(s) if len(c) else [] for s, c in zip(dart_signatures(cells, BANDS * ROWS), cells, strict=True)]
-        maps = pa.array([class_map(c) for c in cells], pa.list_(pa.int64()))
+    def done(ids: list, keys: list[bytes | None], shingles: list[np.ndarray]) -> pa.RecordBatch:
+        bands = [band_hashes(s) if len(c) else [] for s, c in zip(dart_signatures([weighted_set(x) for x in shingles], BANDS * ROWS), shingles, strict=True)]
+        maps = pa.array([class_map(cells_of(x)) for x in shingles], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), maps], ["id", "key", "bands", "map"])
 
     for batch in batches:
@@ -202,7 +225,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = WORD.findall(text.lower()) if text is not None else []
             ids.append(batch.column(0).slice(k, 1))
             keys.append(None if text is None else text_key(words, text))
-            cells.append(shingle_cells(words, hashes))
+            cells.append(shingle_hashes(words, hashes))
             held += len(words)
             if len(keys) == SIDE_BY_SIDE or held >= WORDS_SIDE_BY_SIDE:
                 yield done(ids, keys, cells)
@@ -243,7 +266,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     kept: dict[bytes, np.ndarray] = {}
 
-    def cells_of(key: bytes, text: str) -> np.ndarray:
+    def own_cells(key: bytes, text: str) -> np.ndarray:
         found = kept.pop(key, None)
         if found is None:
             found = shingle_cells(WORD.findall(text.as_py().lower()), hashes)
@@ -253,7 +276,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return found
 
     for batch in batches:
-        keep = [similarity(cells_of(a.as_py(), x), cells_of(b.as_py(), y)) >= SIMILARITY for a, b, x, y in zip(*batch.columns, strict=True)]
+        keep = [similarity(own_cells(a.as_py(), x), own_cells(b.as_py(), y)) >= SIMILARITY for a, b, x, y in zip(*batch.columns, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 

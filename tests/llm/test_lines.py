@@ -12,14 +12,14 @@ def brute(rows, min_docs=L.MIN_DOCS):
         parts = [t[:a], t[a:b], t[b:]]
         if n >= L.FIELDS_FROM:
             return {(n, str(t[: L.DEPTH]), k, str([p for j, p in enumerate(parts) if j != k])) for k in range(3)}
-        return {(n, str(t))} if n >= L.MIN_TOKENS else set()
+        return {(n, str(t))} if t[0] else set()
 
     docs = defaultdict(set)
     for i, text in rows:
         for line in (text or "").split("\n"):
             for k in keys(line):
                 docs[k].add(i)
-    first = {k: min(v) for k, v in docs.items() if len(v) >= min_docs}
+    first = {k: min(v) for k, v in docs.items() if len(v) >= (2 if k[0] > 50 else min_docs)}
     out = []
     for i, text in rows:
         lines = [] if text is None else text.split("\n")

@@ -10,9 +10,9 @@ def run(spark, tmp_path, rows):
     """Text by id, after a comparison with the SQL twin."""
     table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
     pq.write_table(table, tmp_path / "documents.parquet")
-    got, want = compare(spark, L.op5_line_dedup_whole, L.OP5_WHOLE_SQL, str(tmp_path))
+    got, want = compare(spark, L.op5_line_dedup, L.OP5_SQL, str(tmp_path))
     assert got == want
-    return {r.doc_id: r.text for r in L.op5_line_dedup_whole(spark, str(tmp_path)).collect()}
+    return {r.doc_id: r.text for r in L.op5_line_dedup(spark, str(tmp_path)).collect()}
 
 
 def test_short_lines(spark, tmp_path):
@@ -36,3 +36,16 @@ def test_long_lines_of_two_documents(spark, tmp_path):
     assert got == {1: rows[0][1], 2: f"{fifty}\nown c", None: "elsewhere"}
     (tmp_path / "null").mkdir()
     assert run(spark, tmp_path / "null", [rows[0], rows[2]]) == {1: rows[0][1], None: "elsewhere"}
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Each text loses its own lines only, whatever other rows of its id lose."""
+    head = "all rights reserved by the owner"
+    rows = [(k, head) for k in (1, 2, 3)] + [(9, "unique precious first content alpha\n" + head), (9, head + "\nsecond text of nine"), (9, head + "\nsecond text of nine")]
+    rows += [(None, head + "\nnameless"), (None, "nameless other\n" + head), (None, None)]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    got, want = compare(spark, L.op5_line_dedup, L.OP5_SQL, str(tmp_path))
+    assert got == want
+    found = sorted(((r.doc_id or 0), r.text) for r in L.op5_line_dedup(spark, str(tmp_path)).collect() if r.text is not None)
+    assert found == [(0, "nameless"), (0, "nameless other"), (1, head), (2, ""), (3, ""), (9, "second text of nine"), (9, "second text of nine"), (9, "unique precious first content alpha")]

@@ -39,16 +39,27 @@ def test_signature_estimates_weighted_jaccard():
     a, b = rng.uniform(0.1, 4, 60), rng.uniform(0.1, 4, 60)
     a[:15] = 0.0
     true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    sign = lambda w: N.dart_signature(*(lambda c: (c[0], 4000, c[1]))(N.cells_of_weights(elements[w > 0], w[w > 0])))
+    sign = lambda w: N.dart_signatures([(elements[w > 0], w[w > 0])], 4000)[0]
     assert abs((sign(a) == sign(b)).mean() - true) < 0.04
     assert (sign(a) == sign(a[:] * 1.0)).all()
 
 
-def test_few_and_many_cells_agree(monkeypatch):
-    cells = N._mix(np.arange(150, dtype=np.uint64))
-    few = N._darts(cells, 9.0, None)
-    many = N._darts(np.concatenate([cells, N._mix(np.arange(1000, 1060, dtype=np.uint64))]), 9.0, None)
-    assert set(few[0].tolist()) <= set(many[0].tolist()) and abs(len(few[0]) - 150 * 9) < 150
+def test_a_set_has_the_same_darts_in_any_company():
+    rng = np.random.default_rng(3)
+    sets = [(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), None) for n in (3, 40, 900)]
+    sets = [(e, rng.integers(1, 50, len(e)).astype(np.float64)) for e, _ in sets]
+    together = N.dart_signatures(sets, 180)
+    assert all((N.dart_signatures([s], 180)[0] == t).all() for s, t in zip(sets, together))
+    one = np.ones(150)
+    ids, ranks, owner = N._darts(N._mix(np.arange(150, dtype=np.uint64)), one, one, 9.0 * one)
+    assert abs(len(ids) - 150 * 9) < 150 and ranks.max() < 9 and len(set(owner.tolist())) == 150
+
+
+def test_regions_by_level():
+    regions, width, share = N.regions_of_weights(np.array([7, 8], np.uint64), np.array([0.5, 6.0]))
+    assert len(set(regions.tolist())) == 5 and width.tolist() == [1, 1, 1, 2, 4] and share.tolist() == [0.5, 1, 1, 1, 0.5]
+    # heavy elements take few regions
+    assert len(N.regions_of_weights(np.array([1], np.uint64), np.array([1e6]))[0]) == 21
 
 
 @pytest.fixture(scope="module")
