@@ -68,13 +68,14 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text cut, and ``__n_lines`` and ``__n_dropped``."""
     drops = materialize(dropped_lines(docs, min_docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("dropped").alias("__dropped")))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    cut = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     # the hash of the text comes first: an id that many rows share is no hot key
     rows = docs.join(drops.hint("merge"), (F.xxhash64(F.col(text_col)) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left")
-    size = lambda array: F.when(array.isNull(), 0).otherwise(F.size(array)).cast("long")
-    return rows.withColumns({"__n_lines": size(lines), "__n_dropped": size(F.col("__dropped")), text_col: cut}).drop("__doc", "__hash", "__dropped")
+    # the lines are a column of their own, or else a text would be split again for each of its lines
+    rows = rows.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
+    cut = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    size = lambda array: F.when(F.col(array).isNull(), 0).otherwise(F.size(array)).cast("long")
+    return rows.withColumns({"__n_lines": size("__lines"), "__n_dropped": size("__dropped"), text_col: cut}).drop("__doc", "__hash", "__lines", "__dropped")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
