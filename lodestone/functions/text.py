@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and what they are without (ñ counts as n).
-MARKED = "áéíóúàèìòùâêîôûäëïöüãõñçÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÃÕÑÇ"
-PLAIN = "aeiouaeiouaeiouaeiouaoncAEIOUAEIOUAEIOUAEIOUAONC"
+def _marked_letters() -> tuple[str, str]:
+    """The composed Latin letters and what is left of them without marks (ñ counts as n), by decomposition."""
+    found = [(c, unicodedata.normalize("NFD", c)[0]) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", c := chr(k))) > 1]
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+MARKED, PLAIN = _marked_letters()
 
-# Question words that a typed question may carry.
-QUESTION_WORDS = ["que", "cual", "cuales", "como", "cuando", "cuanto", "cuanta", "cuantos", "cuantas", "donde", "quien", "quienes", "por", "para", "puedo"]
+# Question words that a typed question may carry, and two auxiliaries.
+QUESTION_WORDS = ["que", "cual", "cuales", "cuanto", "cuanta", "cuantos", "cuantas", "como", "cuando", "donde", "adonde", "quien", "quienes", "va", "ser"]
 
 # Month names.
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "setiembre", "octubre", "noviembre", "diciembre"]
@@ -52,10 +58,11 @@ def keyword_hits(folded: Column, keywords: list[str]) -> Column:
 
 
 def strip_question_words(text: Column, words: list[str] = QUESTION_WORDS) -> Column:
-    """Drop whole words whose folded form is a question word; everything else keeps its form."""
-    parts = F.split(F.regexp_replace(F.trim(text), r"\s+", " "), " ")
-    bare = lambda w: F.regexp_replace(fold(w, collapse=False), r"[^a-z0-9]", "")
-    return F.array_join(F.filter(parts, lambda w: ~bare(w).isin(words)), " ")
+    """Drop runs of letters and digits whose folded form is a question word; signs and all other runs stay, white space is collapsed."""
+    forms = {c: c + c.upper() + "".join(m for m, p in zip(MARKED, PLAIN, strict=True) if p.lower() == c) for w in words for c in w}
+    any_word = "|".join("".join(f"[{forms[c]}]" for c in w) for w in words)
+    bare = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:{any_word})(?![\p{{L}}\p{{N}}])", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -66,7 +73,7 @@ def sentences(text: Column) -> Column:
 
 def markers(answer: Column) -> Column:
     """Numbers of the markers ``[n]`` in order of place."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,4})\]"), F.lit(1)), lambda n: n.cast("int"))
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda n: n.cast("int"))
 
 
 def clamp(text: Column, limit: int) -> Column:

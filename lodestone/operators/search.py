@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 
-#: Rows of a leg, and queries whose vectors are held at once.
-LEG_LIMIT, QUERY_BLOCK = 50, 2048
+#: Rows of a leg, vectors of a block, and queries whose best rows a task keeps.
+LEG_LIMIT, BLOCK, KEPT_QUERIES = 50, 1024, 50_000
 
 
 # -- lexical -------------------------------------------------------------------------------------
@@ -36,8 +36,9 @@ def lexical_matches(terms: DataFrame, chunks: DataFrame, text_col: str = "text")
     postings = chunks.select("id", F.explode(tokens(F.col(text_col))).alias("lexeme"))
     counted = postings.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("id", "lexeme").agg(F.count("*").alias("tf"))
     hits = counted.join(terms, "lexeme").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.max("total").alias("total"))
-    strict = F.max(F.col("matched") == F.col("total")).over(Window.partitionBy("query_id"))
-    chosen = hits.withColumn("has_strict", strict).where(~F.col("has_strict") | (F.col("matched") == F.col("total")))
+    # summed map-side, one row for each query, so that no task sees all hits of a common word
+    strict = hits.groupBy("query_id").agg(F.max(F.col("matched") == F.col("total")).alias("has_strict"))
+    chosen = hits.join(strict, "query_id").where(~F.col("has_strict") | (F.col("matched") == F.col("total")))
     return chosen.select("query_id", "id", F.when(F.col("has_strict"), 1.0).otherwise(F.col("matched") / F.col("total")).alias("coverage"), "tf", (~F.col("has_strict")).alias("is_fallback"))
 
 
@@ -76,48 +77,63 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def vector_leg(queries: DataFrame, vectors: DataFrame, limit: int = LEG_LIMIT, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the nearest rows by cosine distance (to 9 places), then id.
 
-    Exact: every vector is compared with every query, in blocks of at most ``QUERY_BLOCK`` queries whose
-    vectors travel with the task; each task hands on its best ``limit`` rows of a query.
+    Exact: every vector is compared with every query of the stated set. Both sides are packed into blocks
+    of ``BLOCK`` rows, the blocks are joined, and a task keeps the best ``limit`` rows of each query over
+    all pairs of blocks that it sees. Null vectors take no part.
     """
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").alias("id"), "vector")
     held = vectors.where(F.col("vector").isNotNull()).select("id", "vector")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {held.schema['id'].dataType.simpleString()}, distance double"
-    found = None
-    for k in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).orderBy("query_id").collect()
-        near = held.mapInArrow(_nearest([r.query_id for r in block], _unit(np.array([r.vector for r in block], np.float64)), limit, exclude_self), kinds)
-        found = near if found is None else found.union(near)
-    return ranked(found, [F.col("distance"), F.col("id")], ["query_id"], limit=limit)
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    left = asked.mapInArrow(_pack, f"ids array<{kind(asked)}>, matrix binary").withColumnsRenamed({"ids": "query_ids", "matrix": "query_matrix"})
+    right = held.mapInArrow(_pack, f"ids array<{kind(held)}>, matrix binary")
+    near = right.crossJoin(left).mapInArrow(_nearest(limit, exclude_self), f"query_id {kind(asked)}, id {kind(held)}, distance double")
+    return ranked(near, [F.col("distance"), F.col("id")], ["query_id"], limit=limit)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    if x.ndim < 2:
-        return x.reshape(0, 1)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm == 0, 1, norm)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks: ids in order and the rows' unit vectors as one matrix."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(begin, BLOCK)
+            order = np.argsort(np.array(part.column(0).to_pylist(), dtype=object), kind="stable")
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat.reshape(part.num_rows, -1)[order]
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            ids = pa.array([part.column(0).take(pa.array(order)).to_pylist()], pa.list_(part.schema.types[0]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([(x / np.where(norm == 0, 1, norm)).tobytes()], pa.binary())], ["ids", "matrix"])
 
 
-def _nearest(ids: list, asked: np.ndarray, limit: int, exclude_self: bool):
+def _nearest(limit: int, exclude_self: bool):
+    """Keeps a running best of each query; what is kept is handed on when too many queries have been met."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        kinds = None
+
+        def out() -> pa.RecordBatch:
+            rows = [(q, i, x) for q, pairs in best.items() for x, i in pairs]
+            columns = [pa.array([r[0] for r in rows], kinds[1].value_type), pa.array([r[1] for r in rows], kinds[0].value_type), pa.array([r[2] for r in rows], pa.float64())]
+            best.clear()
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "distance"])
+
         for batch in batches:
-            for begin in range(0, batch.num_rows if len(ids) else 0, 4096):
-                part = batch.slice(begin, 4096)
-                held = np.array(part.column(0).to_pylist(), dtype=object)
-                # ids in order, so that the first of equal distances is the smallest
-                order = np.argsort(held, kind="stable")
-                matrix = _unit(np.array([v.as_py() for v in part.column(1)], np.float64)[order])
-                held = held[order]
-                distance = np.round(1 - asked @ matrix.T, 9) + 0.0  # no negative zero
-                out = ([], [], [])
-                for q, row in enumerate(distance):
-                    best = np.argsort(row, kind="stable")[: limit + 1]
-                    best = [j for j in best if not exclude_self or held[j] != ids[q]][:limit]
-                    out[0].extend([ids[q]] * len(best))
-                    out[1].extend(held[best])
-                    out[2].extend(row[best])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
+            kinds = batch.schema.field("ids").type, batch.schema.field("query_ids").type
+            for row in range(batch.num_rows):
+                ids, matrix, query_ids, query_matrix = (batch.column(n)[row].as_py() for n in ("ids", "matrix", "query_ids", "query_matrix"))
+                held, asked = np.frombuffer(matrix).reshape(len(ids), -1), np.frombuffer(query_matrix).reshape(len(query_ids), -1)
+                distances = np.round(1 - asked @ held.T, 9) + 0.0  # no negative zero
+                wanted = min(len(ids), limit + exclude_self)
+                # all that are no further than the last wanted, so that ties go by id, in whose order the rows are
+                bounds = np.partition(distances, wanted - 1, axis=1)[:, wanted - 1]
+                for q, line, bound in zip(query_ids, distances, bounds, strict=True):
+                    near = np.nonzero(line <= bound)[0]
+                    near = near[np.argsort(line[near], kind="stable")][:wanted]
+                    found = [(float(line[j]), ids[j]) for j in near if not exclude_self or ids[j] != q]
+                    best[q] = sorted([*best[q], *found])[:limit] if q in best else found[:limit]
+                if len(best) > KEPT_QUERIES:
+                    yield out()
+        if best:
+            yield out()
 
     return run
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import MARKED, PLAIN, QUESTION_WORDS, strip_question_words
 from lodestone.operators import fusion, search
 from lodestone.session import table
 
@@ -88,16 +89,7 @@ def weak_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_word_strip(spark: SparkSession, d: str) -> DataFrame:
-    from lodestone.functions.text import QUESTION_WORDS, strip_question_words
-
-    return table(spark, d, "documents").where("lang = 'es'").select("doc_id", strip_question_words(F.col("text"), QUESTION_WORDS).alias("text"))
-
-
-def question_word_strip_all(spark: SparkSession, d: str) -> DataFrame:
-    """As question_word_strip, for documents of every language and of none."""
-    from lodestone.functions.text import QUESTION_WORDS, strip_question_words
-
-    return table(spark, d, "documents").select("doc_id", strip_question_words(F.col("text"), QUESTION_WORDS).alias("text"))
+    return table(spark, d, "documents").select("doc_id", strip_question_words(F.col("text")).alias("text"))
 
 
 def max_score_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +145,7 @@ def knn_hit_at_8(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.bool_or(hit & (F.col("rank") <= 8)).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
-QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, question_word_strip_all, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
+QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
 
 _V = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS doc_id FROM embeddings),
@@ -189,7 +181,6 @@ best AS (SELECT query_id, sentence, arg_max({'id': id, 'score': score}, {'s': sc
 picks AS (SELECT query_id, x.id AS id, max(x.score) AS score, min(sentence) AS sentence FROM best GROUP BY query_id, x.id),
 cut AS (SELECT query_id // 3 AS query_id, id, rank AS pos FROM vec WHERE query_id % 3 = 0 AND rank <= 8),
 fresh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sentence, score DESC, id) AS n FROM picks WHERE NOT EXISTS (FROM cut WHERE cut.query_id = picks.query_id AND cut.id = picks.id) QUALIFY n <= 2)"""
-_FOLD_FROM, _FOLD_TO = "áéíóúàèìòùâêîôûäëïöüãõñçÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÃÕÑÇ", "aeiouaeiouaeiouaeiouaoncAEIOUAEIOUAEIOUAEIOUAONC"
 
 ORACLE = {
     "vector_leg_top50": f"WITH {_V} SELECT * FROM vec",
@@ -206,12 +197,8 @@ round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.
     "weak_flag": f"""WITH {_V}, {_L}, vw AS (SELECT * FROM vec WHERE query_id % 3 <> 0), {_fused([('vector', 'vw', '1.0'), ('lexical', 'lex', 'coverage')], 40)},
 f AS (SELECT query_id, bool_or(vector_rank IS NOT NULL AND lexical_rank IS NOT NULL) AS c, bool_or(lexical_rank IS NOT NULL) AS l FROM fused GROUP BY query_id)
 SELECT item_id AS query_id, NOT coalesce(CASE WHEN item_id % 3 = 0 THEN l ELSE c END, false) AS is_weak FROM benchmark LEFT JOIN f ON query_id = item_id""",
-    "question_word_strip": rf"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '),
-lambda w: regexp_replace(trim(lower(translate(w, '{_FOLD_FROM}', '{_FOLD_TO}'))), '[^a-z0-9]', '', 'g') NOT IN ('que','cual','cuales','como','cuando','cuanto','cuanta','cuantos','cuantas','donde','quien','quienes','por','para','puedo')), ' ') AS text
-FROM documents WHERE lang = 'es'""",
-    "question_word_strip_all": rf"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '),
-lambda w: regexp_replace(trim(lower(translate(w, '{_FOLD_FROM}', '{_FOLD_TO}'))), '[^a-z0-9]', '', 'g') NOT IN ('que','cual','cuales','como','cuando','cuanto','cuanta','cuantos','cuantas','donde','quien','quienes','por','para','puedo')), ' ') AS text
-FROM documents""",
+    "question_word_strip": rf"""SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'),
+lambda w: lower(translate(w, '{MARKED}', '{PLAIN}')) NOT IN ({", ".join(f"'{w}'" for w in QUESTION_WORDS)})), ''), '\s+', ' ', 'g')) AS text FROM documents""",
     "max_score_fuse": """WITH v AS (SELECT vec_id // 10 AS query_id, CAST(vec_id % 10 AS INTEGER) AS index, embedding::DOUBLE[] AS e FROM embeddings),
 r AS (SELECT query_id, index, 0 AS reading, round(e[1], 1) AS score FROM v WHERE index % 3 <> 0 UNION ALL SELECT query_id, index, 1, round(e[2], 1) FROM v),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id, reading ORDER BY score DESC, index) AS pos FROM r),
@@ -232,3 +219,6 @@ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULL
     "knn_hit_at_8": f"""WITH {_V} SELECT query_id, bool_or(c.doc_id = q.doc_id AND rank <= 8) AS hit, min(CASE WHEN c.doc_id = q.doc_id THEN rank END) AS first_rank
 FROM vec JOIN e c USING (id) JOIN e q ON q.id = query_id GROUP BY query_id""",
 }
+
+# the name under which every language was stripped before question_word_strip did so
+QUERIES["question_word_strip_all"], ORACLE["question_word_strip_all"] = QUERIES["question_word_strip"], ORACLE["question_word_strip"]
