@@ -38,11 +38,10 @@ def tokens(text: Column) -> Column:
 
 
 def article_key(label: Column) -> Column:
-    """«Artículo 11 bis» → «11 BIS»; ordinal marks may follow the number; null for other labels."""
-    folded = fold(label)
-    pattern = r"^articulo\s+(\d+)\s*[°º.ª]?\s*(bis|ter|quater|quinquies|[a-z])?\b"
+    """«Artículo 11 bis» → «11 BIS», an ordinal sign may follow the number; null for what is not one numbered article."""
+    folded, pattern = fold(label), r"^articulo (\d+) ?(?:\.?[°º])?(?: (bis|ter|quater|quinquies))?$"
     number, suffix = F.regexp_extract(folded, pattern, 1), F.regexp_extract(folded, pattern, 2)
-    return F.when(number != "", F.trim(F.concat(number.cast("long").cast("string"), F.lit(" "), F.upper(suffix))))
+    return F.when(number != "", F.trim(F.concat(F.regexp_replace(number, r"^0+(?=\d)", ""), F.lit(" "), F.upper(suffix))))
 
 
 def escaped(keyword: str) -> str:
@@ -76,6 +75,11 @@ def markers(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda n: n.cast("int"))
 
 
+def unclosed_markers(answer: Column) -> Column:
+    """Numbers of ``[n`` that no bracket closes: before white space, a sign that no digit follows, or the end."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})(?=\s|[:;—–-]|[.,](?!\d)|$)"), F.lit(1)), lambda n: n.cast("int"))
+
+
 def clamp(text: Column, limit: int) -> Column:
     """At most ``limit`` characters: cut at the last space past the half, or hard, and an ellipsis."""
     cut = F.substring(text, 1, limit)
@@ -86,8 +90,8 @@ def clamp(text: Column, limit: int) -> Column:
 
 def clean_rewrite(text: Column, limit: int = 1000) -> Column:
     """First line without quotes around it, spaces collapsed; null if empty or too long."""
-    line = F.trim(F.regexp_replace(F.split(F.trim(text), r"\n")[0], r"\s+", " "))
-    line = F.trim(F.regexp_replace(line, r"^[\"'«“]+|[\"'»”]+$", ""))
+    line = F.trim(F.split(F.trim(text), r"\n")[0])
+    line = F.regexp_replace(F.trim(F.regexp_replace(line, r"^[\"'«“]+|[\"'»”]+$", "")), r"\s+", " ")
     return F.when((line != "") & (F.length(line) <= limit), line)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, content, retrieval
+from lodestone.plans import analytics, answers, content, evaluation, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, analytics, content]
+MODULES = [retrieval, analytics, content, answers, evaluation]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
