@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, answers, content, evaluation, retrieval, telemetry
+from lodestone.plans import analytics, answers, content, evaluation, pins, retrieval, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, analytics, content, answers, evaluation, telemetry]
+MODULES = [retrieval, analytics, content, answers, evaluation, telemetry, pins]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
