@@ -24,7 +24,7 @@ LOOKED_UP, REFERENCE_CAP, NAMED_CAP = 12, 1, 1
 # Words before a reference that say that it defers a figure.
 FIGURE_WORDS = ("tarifa", "tarifas", "tasa", "tasas", "porcentaje", "porcentajes", "monto", "montos", "cuota", "cuotas", "escala", "tramo", "tramos", "base imponible", "base minima")
 #: A list of numbers behind «artículo(s)» in folded text; what cuts the text before each such place.
-MENTION, CUT = r"articulos? +\d+(?: ?(?:,|y|e) ?\d+)*", "\u0001"
+MENTION, CUT = r"articulos? +\d+[°º]?(?: ?(?:,|y|e) ?\d+[°º]?)*", "\u0001"
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 
 

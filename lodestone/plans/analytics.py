@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.text import PART_STEP, PART_WORDS, sub_parts
 from lodestone.session import table
 
-#: Words of a part, and words from one part's begin to the next.
-PART_WORDS, PART_STEP = 1000, 900
 #: A day's asks of a subject, and how many times as many its umbrella may make.
 DAY_LIMIT, UMBRELLA_TIMES = 3, 3
 
 
-def sub_parts(words: Column) -> Column:
-    """array<struct<part, words>>: windows of ``PART_WORDS`` words, each ``PART_STEP`` behind the last; the window that reaches the end is the last."""
-    n = F.ceil(F.greatest(F.lit(0), F.size(words) - PART_WORDS) / F.lit(PART_STEP)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.alias("part"), F.slice(words, k * PART_STEP + 1, F.lit(PART_WORDS)).alias("words")))
-
-
 def subsplit_1000_900(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.col("text"), " ", -1)
     rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(sub_parts(words)).alias("p"))
@@ -32,9 +25,10 @@ def subsplit_1000_900(spark: SparkSession, d: str) -> DataFrame:
 
 def body_dedupe_rank(spark: SparkSession, d: str) -> DataFrame:
     """Of documents with the same text the one of the longest source name (then the first) stays."""
-    w = Window.partitionBy("text").orderBy(F.desc(F.length("source")), "doc_id")
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", "text")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "source")
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    first = F.min(F.struct((-F.coalesce(F.length("source"), F.lit(-1))).alias("short"), "doc_id", "source"))
+    # digests are summed up before the shuffle, so no text travels and a text of many copies is no hot key
+    return rows.groupBy(F.sha2("text", 256)).agg(first.alias("x")).select("x.doc_id", "x.source")
 
 
 def long_words(spark: SparkSession, d: str) -> DataFrame:
