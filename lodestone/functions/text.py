@@ -67,7 +67,7 @@ def strip_question_words(text: Column, words: list[str] = QUESTION_WORDS) -> Col
 def sentences(text: Column) -> Column:
     """Cut at line ends and behind ``.!?`` before white space and an opening sign, capital or digit."""
     parts = F.split(text, r"\n+|(?<=[.!?])\s+(?=[\p{Lu}\p{N}¿¡«\"(\[])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def markers(answer: Column) -> Column:

@@ -20,3 +20,8 @@ def test_fold_by_decomposition(spark):
 @pytest.mark.parametrize(("seconds", "want"), [(None, "lt_1s"), (float("nan"), "lt_1s"), (float("inf"), "lt_1s"), (float("-inf"), "lt_1s"), (0.99, "lt_1s"), (1.0, "1s_3s"), (29.9, "10s_30s"), (30.0, "gte_30s")])
 def test_latency_classes(spark, seconds, want):
     assert spark.createDataFrame([(seconds,)], "s double").select(bucket(F.col("s"))).first()[0] == want
+
+
+def test_sentences_keep_their_digits_at_any_place(spark):
+    row = spark.sql("SELECT '0 días. 1 mes y 1.  2 años o 2' AS t").select(T.sentences(F.col("t")).alias("s")).first()
+    assert row.s == ["0 días.", "1 mes y 1.", "2 años o 2"]
