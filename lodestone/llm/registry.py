@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.audit import OP13_SQL, op13_filter_audit
 from lodestone.llm.language import op3_language_id
 from lodestone.llm.licenses import op1_license_scan, op1_sql
 from lodestone.llm.lines import OP5_SQL, op5_line_dedup
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_exact_topk": op8_exact_topk,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op13_filter_audit": OP13_SQL}
