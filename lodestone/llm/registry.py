@@ -12,6 +12,7 @@ from lodestone.llm.near import op2_minhash_near_dedup
 from lodestone.llm.pieces import op10_sentencepiece
 from lodestone.llm.topk import OP8_SQL, op8_exact_topk
 from lodestone.llm.toxicity import op4_toxicity
+from lodestone.llm.trie import OP12_SQL, op12_conversation_trie
 from lodestone.llm.urls import op9_url_filters
 
 
@@ -27,9 +28,10 @@ def queries() -> dict:
         "op8_exact_topk": op8_exact_topk,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_license_scan": op1_sql(), "op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op12_conversation_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
