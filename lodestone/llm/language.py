@@ -4,7 +4,9 @@ The network reads the UTF-8 bytes of a text from both sides, labels every positi
 probabilities, and a document's probabilities are the means over its positions. It is trained here,
 in numpy, by backpropagation through time on a bounded sample of labelled rows: the ``TRAIN_ROWS``
 rows with the smallest hashes, and of them as many, in this order, as have ``TRAIN_CHARS`` characters
-together. Their texts are learnt from whole, cut into windows of ``TRAIN_WINDOW`` bytes.
+together. Texts of more than ``1/SHARES`` of these characters come behind all others, and longer ones than
+``TRAIN_CHARS`` are never learnt from, so a labelled text of any length changes only its own row. The
+texts are learnt from whole, cut into windows of ``TRAIN_WINDOW`` bytes.
 
 Texts are read whole, cut into segments of at most ``SEGMENT`` bytes that the network reads side by
 side; every byte lies in exactly one segment. A text without a letter (or a null text) is ``und``
@@ -27,7 +29,7 @@ from lodestone.llm.batches import slices
 from lodestone.session import table
 
 #: Bounded sample of labelled rows and of their characters, bytes of a training window, hidden units of each direction.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOW, HIDDEN, TRAIN_BATCH, RATE = 3000, 4_500_000, 96, 8, 100, 0.02
+TRAIN_ROWS, TRAIN_CHARS, SHARES, TRAIN_WINDOW, HIDDEN, TRAIN_BATCH, RATE = 3000, 4_500_000, 64, 96, 8, 100, 0.02
 #: Windows that are read in training, each as often as it takes, but at least so often.
 TRAIN_READS, LEAST_EPOCHS = 42_000, 1
 #: Bytes of a segment, and segments that are read side by side.
@@ -234,14 +236,14 @@ def train(windows: list[bytes], targets: list[str], epochs: int | None = None, s
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Train on a bounded sample: the rows with the smallest hashes of (id, length), their whole texts cut into windows."""
     text = F.col(text_col)
-    lettered = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    lettered = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) <= TRAIN_CHARS) & text.rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.length(text), F.lit("language"))
     # a threshold first: the tasks together hand on a few times what is wanted, however many they are
     known = labelled.where(F.col(lang_col).isNotNull()).count()
     lettered = lettered.where(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 4 * rows / max(known, 1)) * (1 << 30)))
-    picked = lettered.select(order.alias("o"), F.length(text).alias("n"), text.alias("w"), F.col(lang_col).alias("l"))
+    picked = lettered.select((F.length(text) > TRAIN_CHARS // SHARES).alias("wide"), order.alias("o"), F.length(text).alias("n"), text.alias("w"), F.col(lang_col).alias("l"))
     # a bounded sample: at most ``rows`` rows are ordered by the window
-    sample = picked.orderBy("o", "l", "w").limit(rows).withColumn("chars", F.sum("n").over(Window.orderBy("o", "l", "w").rowsBetween(Window.unboundedPreceding, 0)))
+    sample = picked.orderBy("wide", "o", "l", "w").limit(rows).withColumn("chars", F.sum("n").over(Window.orderBy("wide", "o", "l", "w").rowsBetween(Window.unboundedPreceding, 0)))
     found = sample.where(F.col("chars") <= TRAIN_CHARS).select("w", "l").collect()
     cut = [(raw[k : k + TRAIN_WINDOW], r.l) for r in found for raw in [r.w.encode("utf-8", "replace")] for k in range(0, len(raw), TRAIN_WINDOW)]
     return train([w for w, _ in cut], [y for _, y in cut])

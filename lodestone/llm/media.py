@@ -4,7 +4,9 @@ Images are read from the stored bytes into numpy arrays, resized by integral ima
 a running two-dimensional sum, so every source sample counts by the area that it shares with the
 target cell), stored as NPY tiles and hashed by comparing neighbouring cells.
 
-Null media give null results; a file that can't be read raises ``ValueError`` naming what is wrong.
+Null media give null results; a file that can't be read gives nulls too, and what is wrong in a column
+of its own, so one bad file costs no other. Repeated rows get equal results each, an empty table gives no
+rows, and only the id and the media are carried, so other columns can't clash.
 Large images are summed in bands of rows, so memory follows the band and not the image.
 """
 
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import table
 
 #: Samples of a row of a text stored as an image, and rows that are summed at once.
@@ -194,27 +197,28 @@ def npy_bytes(array: np.ndarray) -> bytes:
 
 
 def media_tiles(images: DataFrame, id_col: str, media_col: str, tile: int = TILE) -> DataFrame:
-    """For each image (id, width, height, channels, tile_npy, dhash); nulls stay null.
+    """For each image (id, width, height, channels, tile_npy, dhash, error); nulls stay null.
 
     ``tile_npy`` is the tile of ``tile``·``tile`` cells as an NPY file, ready for a binary sink.
     """
 
+    def describe(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        try:
+            image = decode(data)
+        except ValueError as why:
+            return (*(None,) * 5, str(why))
+        return image.shape[1], image.shape[0], image.shape[2] if image.ndim == 3 else 1, npy_bytes(area_resize(image, tile, tile)), difference_hash(image), None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                rows = []
-                for data in part.column(1).to_pylist():
-                    if data is None:
-                        rows.append((None,) * 5)
-                        continue
-                    image = decode(data)
-                    rows.append((image.shape[1], image.shape[0], image.shape[2] if image.ndim == 3 else 1, npy_bytes(area_resize(image, tile, tile)), difference_hash(image)))
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [id_col, "width", "height", "channels", "tile_npy", "dhash"])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+        for part in (x for batch in batches for x in slices(batch, 1, rows=64)):
+            rows = [describe(data.as_py()) for data in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [id_col, "width", "height", "channels", "tile_npy", "dhash", "error"])
 
     rows = images.select(id_col, media_col)
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, width int, height int, channels int, tile_npy binary, dhash string")
+    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, width int, height int, channels int, tile_npy binary, dhash string, error string")
 
 
 def store_text(text: str | None) -> tuple[int, bytes]:
@@ -244,11 +248,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out if digests else (*out, media, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows = [describe(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields))], [id_col, *(name for name, _ in fields)])
+        for part in (x for batch in batches for x in slices(batch, 1, rows=256)):
+            rows = [describe(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields))], [id_col, *(name for name, _ in fields)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, " + ", ".join(" ".join(x) for x in fields))

@@ -34,7 +34,7 @@ from lodestone.llm.batches import slices
 from lodestone.session import materialize, table
 
 #: Bounded sample of labelled rows and of their characters together, hashed features, words kept with theirs.
-TRAIN_ROWS, SAMPLE_CHARS, FEATURES, KEPT_WORDS = 4000, 48_000_000, 1 << 15, 100_000
+TRAIN_ROWS, SAMPLE_CHARS, SHARES, FEATURES, KEPT_WORDS = 4000, 48_000_000, 64, 1 << 15, 100_000
 #: Pull towards rate 1, the change of a total (share of all tokens) that ends the descent, and the steps
 #: after which rates that still move are an error.
 PULL, STILL, STEPS = 1e-3, 1e-5, 300
@@ -104,7 +104,11 @@ def train(rows: list[tuple[str, str]], rounds: int = 400) -> DomainModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
-    """Learn the domains from a bounded sample: whole texts of the labelled rows with the smallest hashes."""
+    """Learn the domains from a bounded sample: whole texts of the labelled rows with the smallest hashes.
+
+    Texts of more than ``1/SHARES`` of ``SAMPLE_CHARS`` come behind all others, longer ones than
+    ``SAMPLE_CHARS`` are left out, so a labelled text of any length changes nothing for other rows.
+    """
     known = labels.where(domain.isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(domain).alias("__domain"))
     # a threshold first: the tasks together hand on a few times what is wanted, however many they are
     low = F.pmod(F.col("__o"), F.lit(1 << 30)) < int(min(1.0, 4 * TRAIN_ROWS / max(labels.count(), 1)) * (1 << 30))
@@ -112,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_i
     sample = F.broadcast(known.withColumn("__o", F.xxhash64(F.lit("mixing"), F.col("__id"))).where(low).orderBy("__o", "__id").limit(TRAIN_ROWS))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text IS NOT NULL")
     # a bounded sample: the window orders at most TRAIN_ROWS rows
-    so_far = F.sum(F.length("w")).over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.join(sample, "__id").groupBy("__o").agg(F.min("__text").alias("w"), F.min("__domain").alias("d")).withColumn("chars", so_far)
+    so_far = F.sum(F.length("w")).over(Window.orderBy("wide", "__o").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.join(sample, "__id").groupBy("__o").agg(F.min("__text").alias("w"), F.min("__domain").alias("d")).where(F.length("w") <= SAMPLE_CHARS).withColumn("wide", F.length("w") > SAMPLE_CHARS // SHARES).withColumn("chars", so_far)
     return train([(r.w, r.d) for r in rows.where(F.col("chars") <= SAMPLE_CHARS).orderBy("__o").select("w", "d").collect()])
 
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import materialize, table
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -247,11 +248,11 @@ def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text, number of cells) of texts."""
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
+    for part in (x for batch in batches for x in slices(batch, 0)):
+        texts = part.column(0).to_pylist()
         words = [WORD.findall(t.lower()) for t in texts]
         keys, n = [text_key(w, t) for w, t in zip(words, texts, strict=True)], [max(1, len(w) - SHINGLE + 1) for w in words]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array(n, pa.int64())], ["key", "text", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0), pa.array(n, pa.int64())], ["key", "text", "n"])
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,9 +391,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([text_key(WORD.findall(t.as_py().lower()), t.as_py()) for t in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "__key"])
+        for part in (x for batch in batches for x in slices(batch, at)):
+            keys = pa.array([text_key(WORD.findall(t.as_py().lower()), t.as_py()) for t in part.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], [*part.schema.names, "__key"])
 
     keyed = docs.where(F.col(text_col).isNotNull()).mapInArrow(with_key, spec)
     # nulls within structs are equal; the join deals rows by (id, key), and so no further shuffle is needed to keep one of repeated rows

@@ -14,8 +14,9 @@ threshold of the best F1 on them moved to 0.5. A few widths of windows and
 settings of the trainer are tried (``CANDIDATES``), and the one with the best F1 there is taken.
 
 Labels are learnt from a bounded sample: ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows, those with
-the smallest hashes, and of them as many, in this order, as have ``SAMPLE_CHARS`` characters together;
-their texts are learnt from whole. Rows of the sample that share a fifth of their shingles with rows
+the smallest hashes, and of them as many, in this order, as have ``SAMPLE_CHARS`` characters together, texts of
+more than ``1/SHARES`` of these characters behind all others and longer ones than all of them never, so a
+labelled text of any length changes only its own row; texts are learnt from whole. Rows of the sample that share a fifth of their shingles with rows
 before them are left out, because a copied document would make its chance words look characteristic.
 
 Every text is scored whole. Null and empty texts get the score of a document without windows, which is
@@ -36,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
 from lodestone.session import table
 
 #: The bounded sample; every third row of it calibrates.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 3500, 48_000_000
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS, SHARES = 1500, 3500, 48_000_000, 64
 #: Words of a window (they overlap by half), and the lengths of the segments and of their parts that the trainer counts; the best is taken.
 CANDIDATES = ((8, 24, 8), (10, 24, 8), (8, 16, 6), (10, 16, 8))
 #: For each round the windows picked of each toxic document, and the bytes of the dictionary trained on them.
@@ -216,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(pick[0].union(pick[1]).select(F.col(id_col).alias("__id"), "o", F.col("toxic").alias("y")))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text IS NOT NULL")
     # a bounded sample: the window orders at most as many rows as were picked
-    so_far = F.sum(F.length("w")).over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
-    found = texts.join(sample, "__id").groupBy("o").agg(F.min("__text").alias("w"), F.max("y").alias("y")).withColumn("chars", so_far).where(F.col("chars") <= SAMPLE_CHARS).orderBy("o").select("w", "y").collect()
+    so_far = F.sum(F.length("w")).over(Window.orderBy("wide", "o").rowsBetween(Window.unboundedPreceding, 0))
+    found = texts.join(sample, "__id").groupBy("o").agg(F.min("__text").alias("w"), F.max("y").alias("y")).where(F.length("w") <= SAMPLE_CHARS).withColumn("wide", F.length("w") > SAMPLE_CHARS // SHARES).withColumn("chars", so_far).where(F.col("chars") <= SAMPLE_CHARS).orderBy("o").select("w", "y").collect()
     return train([(r.w, r.y) for r in found], n_toxic / n if n else None)
 
 
@@ -228,8 +230,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, batch.num_columns - 1, rows=256):
                 texts = part.column(part.num_columns - 1)
                 scores = model.score(np.array([model.features(t.as_py()) for t in texts])) if model.weights is not None else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.round(scores, 9), pa.float64())], [*part.schema.names[:-1], "score"])

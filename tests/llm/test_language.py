@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -91,3 +92,54 @@ def test_query(spark, tmp_path):
 def test_no_labels(spark, tmp_path):
     spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in L.op3_language_id(spark, str(tmp_path)).collect()] == [(1, False, "und", 0.0)]
+
+
+def plain_probabilities(model, raw):
+    """Position by position, number by number."""
+    n, hidden = len(raw), model.forward.candidate.shape[0]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(net, order):
+        h, out = [0.0] * hidden, {}
+        for t in order:
+            x = net.byte[raw[t]]
+            z, r = ([sigmoid(sum(h[i] * net.gates[i][j + k] for i in range(hidden)) + x[j + k]) for j in range(hidden)] for k in (0, hidden))
+            c = [math.tanh(sum(r[i] * h[i] * net.candidate[i][j] for i in range(hidden)) + x[2 * hidden + j]) for j in range(hidden)]
+            h = [(1 - z[j]) * h[j] + z[j] * c[j] for j in range(hidden)]
+            out[t] = h
+        return out
+
+    forward, backward = states(model.forward, range(n)), states(model.backward, range(n - 1, -1, -1))
+    total = [0.0] * len(model.languages)
+    for t in range(n):
+        e = [math.exp(sum(v * model.out[i][k] for i, v in enumerate(forward[t] + backward[t])) + model.out[-1][k]) for k in range(len(total))]
+        total = [a + b / sum(e) for a, b in zip(total, e)]
+    return total
+
+
+def test_against_plain_network(model):
+    """A text of several segments is the sum of its segments; each is read by the plain network."""
+    for one in ["für", "the thing ñoca", "x", "schön und keit " * 30]:
+        raw = one.encode()
+        n = -(-len(raw) // L.SEGMENT)
+        size = -(-len(raw) // n)
+        want = np.sum([plain_probabilities(model, raw[k : k + size]) for k in range(0, len(raw), size)], axis=0)
+        totals, counts = model.label_texts([one, "other"])
+        assert counts[0] == len(raw) and np.allclose(totals[0], want, atol=1e-3)
+
+
+def test_long_labelled_text_changes_nothing_else(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_CHARS", 30_000)
+    rng = random.Random(4)
+    rows = [(i, text(rng, y := rng.choice(list(WORDS)), 12), y) for i in range(200)]
+    schema = "doc_id long, text string, lang string"
+    before, after = L.fit(spark.createDataFrame(rows, schema)), L.fit(spark.createDataFrame([*rows, *((300 + k, "the " * 10_000, "xx") for k in range(20))], schema))
+    texts = [t for _, t, _ in rows[:50]]
+    assert before.predict(texts)[0] == after.predict(texts)[0] and np.array_equal(before.out, after.out)
+    only = L.fit(spark.createDataFrame([(1, "the " * 700, "xx"), (2, "und " * 700, "yy")], schema))
+    assert only.languages == ["xx", "yy"]
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert L.op3_language_id(spark, str(tmp_path)).collect() == []

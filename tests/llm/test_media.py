@@ -65,3 +65,12 @@ def test_media_tiles(spark):
     rows = spark.createDataFrame([(1, bytearray(M.encode_bmp(image))), (2, None)], "id long, media binary")
     a, b = M.media_tiles(rows, "id", "media").orderBy("id").collect()
     assert (a.width, a.height, a.channels, a.dhash) == (10, 7, 1, "0" * 16) and b.tile_npy is None
+
+
+def test_media_tiles_bad_files(spark):
+    good = M.encode_pgm(np.arange(64, dtype=np.uint8).reshape(8, 8))
+    rows = spark.createDataFrame([(1, good, "x"), (2, b"P5 8 8 255\n", "x"), (3, b"??", "x"), (3, b"??", "x"), (4, None, "x"), (5, b"", "x")], "id long, media binary, error string")
+    found = {r.id: r for r in M.media_tiles(rows, "id", "media").collect()}
+    assert found[1].error is None and found[1].width == 8 and found[1].tile_npy
+    assert all(found[k].error and found[k].width is None and found[k].tile_npy is None for k in (2, 3, 5)) and found[4].error is None and found[4].width is None
+    assert M.media_tiles(rows.where("false"), "id", "media").collect() == []

@@ -72,3 +72,12 @@ def test_without_labels_and_rows(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r.doc_id for r in M.mixed_documents(docs, labels, M.quality_domain(), M.TARGET).collect()) == [1, 2]
     assert M.mixed_documents(docs.limit(0), labels, F.lit("a"), M.TARGET).count() == 0
+
+
+def test_long_labelled_text_changes_nothing_else(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE_CHARS", 100_000)
+    data = rows(200, 2)
+    labels = spark.createDataFrame([*((i, d) for i, _, d in data), (900, "q1")], "doc_id long, d string")
+    fit = lambda extra: M.fit(spark.createDataFrame([*((i, t) for i, t, _ in data), *extra], "doc_id long, text string"), labels, F.col("d"))
+    before, after = fit([]), fit([(900, "alpha " * 50_000)])
+    assert before.domains == after.domains == ["q0", "q1"] and np.array_equal(before.layer, after.layer)

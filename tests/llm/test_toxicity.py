@@ -96,3 +96,13 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
     model = T.fit(docs, labels)
     assert T.score_documents(docs, model, ["doc_id"]).where("score > 1").count() == 0
+
+
+def test_long_labelled_text_changes_nothing_else(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 400_000)
+    data = rows(300, 7)
+    docs, labels = [(i, t) for i, (t, _) in enumerate(data)], [(i, y) for i, (_, y) in enumerate(data)]
+    long = [(1000 + k, "grumblefoot the ing " * 30_000) for k in range(5)]
+    fit = lambda d, l: T.fit(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(l, "doc_id long, toxic int"))
+    before, after = fit(docs, [*labels, *((i, 1) for i, _ in long)]), fit([*docs, *long], [*labels, *((i, 1) for i, _ in long)])
+    assert before.toxic and before.toxic == after.toxic and np.array_equal(before.weights, after.weights)
