@@ -1,4 +1,4 @@
-"""Lexical and vector legs: for many queries at once, the best rows of a corpus."""
+"""Vector legs and phrases: for many queries at once, the best rows of a corpus."""
 
 from __future__ import annotations
 
@@ -15,45 +15,12 @@ from lodestone.functions.text import tokens
 LEG_LIMIT, BLOCK, KEPT_QUERIES = 50, 1024, 50_000
 
 
-# -- lexical -------------------------------------------------------------------------------------
-
-
-def query_terms(queries: DataFrame, stop_words: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """(query_id, lexeme, total): the distinct lexemes of each query and how many they are."""
-    found = F.array_distinct(tokens(F.col(text_col)))
-    if stop_words:
-        found = F.array_except(found, F.array(*map(F.lit, stop_words)))
-    return queries.select("query_id", found.alias("lexemes")).select("query_id", F.explode("lexemes").alias("lexeme"), F.size("lexemes").alias("total"))
-
-
-def lexical_matches(terms: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, id, coverage, tf, is_fallback) of the rows that a query matches.
-
-    Where any row of the corpus holds all of a query's lexemes, only such rows match, with coverage 1;
-    else rows with any of them do, covering their share. The corpus is joined with the queries by
-    lexeme, so what is shuffled is the postings of lexemes that some query asks for.
-    """
-    postings = chunks.select("id", F.explode(tokens(F.col(text_col))).alias("lexeme"))
-    counted = postings.join(terms.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("id", "lexeme").agg(F.count("*").alias("tf"))
-    hits = counted.join(terms, "lexeme").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.max("total").alias("total"))
-    # summed map-side, one row for each query, so that no task sees all hits of a common word
-    strict = hits.groupBy("query_id").agg(F.max(F.col("matched") == F.col("total")).alias("has_strict"))
-    chosen = hits.join(strict, "query_id").where(~F.col("has_strict") | (F.col("matched") == F.col("total")))
-    return chosen.select("query_id", "id", F.when(F.col("has_strict"), 1.0).otherwise(F.col("matched") / F.col("total")).alias("coverage"), "tf", (~F.col("has_strict")).alias("is_fallback"))
-
-
 def ranked(rows: DataFrame, order: list[Column], by: list[str], name: str = "rank", limit: int | None = LEG_LIMIT) -> DataFrame:
     """Number the rows of each group; with a limit only its first rows stay."""
     out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
-def lexical_leg(queries: DataFrame, chunks: DataFrame, limit: int = LEG_LIMIT, stop_words: list[str] | None = None) -> DataFrame:
-    """(query_id, id, coverage, tf, is_fallback, rank): best coverage, then occurrences, then id."""
-    found = lexical_matches(query_terms(queries, stop_words), chunks)
-    return ranked(found, [F.desc("coverage"), F.desc("tf"), F.col("id")], ["query_id"], limit=limit)
-
-
 def phrase_matches(queries: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """(query_id, id) where the row holds the query's words in order, one behind the other."""
     q = queries.select("query_id", tokens(F.col(text_col)).alias("words")).where(F.size("words") > 0)
@@ -138,25 +105,12 @@ def _nearest(limit: int, exclude_self: bool):
     return run
 
 
-def step_vector_leg(steps: DataFrame, vectors: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
-    """One leg from several sentences of a query: steps (query_id, sentence, vector).
+def step_vector_leg(each: DataFrame, sentences: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
+    """One leg of several sentences: ``each`` is their own leg by sentence, ``sentences`` (query_id, of) names the query ``of`` a sentence.
 
-    The nearest rows of each sentence are numbered; a row takes its best number (of equal numbers the
-    nearer), and these make the leg, so the sentences' first rows come before any second row.
+    A row takes its best number in the sentences' legs (of equal numbers the nearer), and these make the
+    leg, so the sentences' first rows come before any second row.
     """
-    keyed = steps.select(F.struct("query_id", "sentence").alias("query_id"), "vector")
-    flat = keyed.select(F.concat_ws("\u0001", F.col("query_id.query_id").cast("string"), F.col("query_id.sentence").cast("string")).alias("query_id"), "vector")
-    names = keyed.select(F.concat_ws("\u0001", F.col("query_id.query_id").cast("string"), F.col("query_id.sentence").cast("string")).alias("k"), "query_id.*").distinct()
-    each = vector_leg(flat, vectors, limit).join(names.withColumnRenamed("query_id", "q"), F.col("query_id") == F.col("k"))
-    best = each.groupBy("q", "id").agg(F.min(F.struct("rank", "distance")).alias("best")).select(F.col("q").alias("query_id"), "id", F.col("best.rank").alias("sentence_rank"), F.col("best.distance").alias("distance"))
+    best = each.join(sentences, "query_id").groupBy("of", "id").agg(F.min(F.struct("rank", "distance")).alias("best"))
+    best = best.select(F.col("of").alias("query_id"), "id", F.col("best.rank").alias("sentence_rank"), F.col("best.distance").alias("distance"))
     return ranked(best, [F.col("sentence_rank"), F.col("distance"), F.col("id")], ["query_id"], limit=limit)
-
-
-def step_lexical_leg(steps: DataFrame, chunks: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
-    """The same by words: steps (query_id, sentence, text); a row keeps the coverage of its best sentence."""
-    sentences = steps.where(F.col("text").isNotNull()).withColumn("k", F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("sentence").cast("string")))
-    each = lexical_leg(sentences.select(F.col("k").alias("query_id"), "text"), chunks, limit).withColumnRenamed("query_id", "k")
-    each = each.join(sentences.select("k", "query_id"), "k")
-    best = each.groupBy("query_id", "id").agg(F.min(F.struct(F.col("rank").alias("rank"), (-F.col("coverage")).alias("c"), (-F.col("tf")).alias("t"))).alias("best"))
-    best = best.select("query_id", "id", F.col("best.rank").alias("sentence_rank"), (-F.col("best.c")).alias("coverage"), (-F.col("best.t")).alias("tf"))
-    return ranked(best, [F.col("sentence_rank"), F.desc("coverage"), F.desc("tf"), F.col("id")], ["query_id"], limit=limit)

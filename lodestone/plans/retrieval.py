@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import MARKED, PLAIN, QUESTION_WORDS, strip_question_words
-from lodestone.operators import fusion, search
-from lodestone.session import table
+from lodestone.operators import fusion, lexical, search
+from lodestone.session import materialize, table
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -36,19 +36,63 @@ def vector_leg_top50(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_leg(_asked_vectors(spark, d), _vectors(spark, d), exclude_self=True)
 
 
+def _near_and_steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The questions' vector leg and the leg of steps, three questions to a group, from one comparison of vectors."""
+    near = materialize(search.vector_leg(_asked_vectors(spark, d), _vectors(spark, d), search.LEG_LIMIT + 1))
+    plain = search.ranked(near.where("query_id <> id").drop("rank"), [F.col("distance"), F.col("id")], ["query_id"])
+    sentences = near.select("query_id").distinct().withColumn("of", F.floor(F.col("query_id") / 3))
+    return plain, search.step_vector_leg(near.where(F.col("rank") <= search.LEG_LIMIT), sentences)
+
+
 def step_vector_leg(spark: SparkSession, d: str) -> DataFrame:
     """Three sentences for each group of three questions."""
-    steps = _asked_vectors(spark, d).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).alias("sentence"), "vector")
-    return search.step_vector_leg(steps, _vectors(spark, d))
+    return _near_and_steps(spark, d)[1]
+
+
+def _parsed_and_posted(spark: SparkSession, d: str, queries: DataFrame, analyzer: str = "simple") -> tuple[DataFrame, DataFrame]:
+    """Queries with their units, and the postings that they need, made once for all legs."""
+    parsed = materialize(lexical.parse_queries(queries, analyzer))
+    return parsed, materialize(lexical.postings(_chunks(spark, d), analyzer, parsed.select(F.explode("lexemes").alias("lexeme"))))
 
 
 def lexical_leg_strict_or(spark: SparkSession, d: str) -> DataFrame:
-    return search.lexical_leg(_questions(spark, d), _chunks(spark, d))
+    return lexical.lexical_leg(*_parsed_and_posted(spark, d, _questions(spark, d)))
+
+
+def _words_and_steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The questions' lexical leg and the leg of steps from it."""
+    leg = materialize(lexical_leg_strict_or(spark, d))
+    sentences = leg.select("query_id").distinct().withColumn("of", F.floor(F.col("query_id") / 3))
+    return leg, lexical.step_lexical_leg(leg, sentences)
 
 
 def step_lexical_leg(spark: SparkSession, d: str) -> DataFrame:
-    steps = _questions(spark, d).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).alias("sentence"), "text")
-    return search.step_lexical_leg(steps, _chunks(spark, d))
+    return _words_and_steps(spark, d)[1]
+
+
+def _signed_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage's first words as a query: by number plain, with a phrase, with an alternative, with an exclusion, or with all of them."""
+    w = F.split("text", r"\s+")
+    word = lambda k: F.regexp_replace(F.get(w, F.lit(k)), r"[^\p{L}\p{N}]", "")
+    a, b, c, e = (word(k) for k in range(4))
+    forms = [F.concat_ws(" ", a, b), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')), F.concat_ws(" ", a, F.lit("or"), b, c), F.concat_ws(" ", a, b, F.concat(F.lit("-"), c)), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('" -'), c, F.lit(" OR "), b, F.lit(" "), e)]
+    form = F.get(F.array(*forms), (F.col("query_id") % 5).cast("int"))
+    return _questions(spark, d).where(F.size(w) > 3).select("query_id", form.alias("text"))
+
+
+def signed_query_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that satisfy the signed queries, or else hold some of their words, with their cover density."""
+    return lexical.lexical_matches(*_parsed_and_posted(spark, d, _signed_queries(spark, d)))
+
+
+def strict_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Which passages some document satisfies, and the three best documents of each."""
+    return lexical.strict_sentences(*_parsed_and_posted(spark, d, _questions(spark, d)))
+
+
+def stemmed_leg(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical leg over Spanish stems; rows only, as SQL has no stemmer here."""
+    return lexical.lexical_leg(*_parsed_and_posted(spark, d, _questions(spark, d), "spanish"))
 
 
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
@@ -62,10 +106,10 @@ def rrf_two_legs(spark: SparkSession, d: str) -> DataFrame:
 
 def _six_legs(spark: SparkSession, d: str) -> DataFrame:
     """All legs: expansions ask with the next question's words and vector."""
-    v, l = vector_leg_top50(spark, d), lexical_leg_strict_or(spark, d)
+    (v, v_steps), (l, l_steps) = _near_and_steps(spark, d), _words_and_steps(spark, d)
     shifted = lambda leg: leg.withColumn("query_id", F.col("query_id") - 1).where("query_id >= 0")
     scaled = lambda leg: leg.withColumn("weight", F.col("coverage"))
-    return fusion.fuse_legs({"vector": v, "lexical": scaled(l), "vector_expansion": shifted(v), "lexical_expansion": scaled(shifted(l)), "vector_steps": step_vector_leg(spark, d), "lexical_steps": scaled(step_lexical_leg(spark, d))})
+    return fusion.fuse_legs({"vector": v, "lexical": scaled(l), "vector_expansion": shifted(v), "lexical_expansion": scaled(shifted(l)), "vector_steps": v_steps, "lexical_steps": scaled(l_steps)})
 
 
 def rrf_six_legs(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +189,7 @@ def knn_hit_at_8(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.bool_or(hit & (F.col("rank") <= 8)).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
-QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
+QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, signed_query_matches, strict_sentences, stemmed_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
 
 _V = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS doc_id FROM embeddings),
@@ -155,16 +199,45 @@ _SV = """
 sv_each AS (SELECT query_id // 3 AS query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM pairs QUALIFY r <= 50),
 sv_best AS (SELECT query_id, id, min({'r': r, 'd': distance}) AS b FROM sv_each GROUP BY ALL),
 sv AS (SELECT query_id, id, CAST(b.r AS INTEGER) AS sentence_rank, b.d AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b.r, b.d, id) AS INTEGER) AS rank FROM sv_best QUALIFY rank <= 50)"""
-_L = r"""
-terms AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS lexeme, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS total FROM benchmark),
-posts AS (SELECT doc_id AS id, lexeme, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM documents) GROUP BY ALL),
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _lexical(queries: str) -> str:
+    """CTEs from (query_id, text) to ``lexed``: all matches with their cover density. A phrase is its words side by side; queries have no other terms of several words."""
+    w, q, t = (_WORDS.format(x) for x in ("text", "text", "term"))
+    return rf"""
+queries AS ({queries}),
+terms AS (SELECT query_id, unnest(list_distinct({q})) AS lexeme, len(list_distinct({q})) AS total FROM queries),
+toks AS (SELECT id, unnest(w) AS lexeme, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id AS id, {w} AS w FROM documents)),
+posts AS (SELECT id, lexeme, count(*) AS tf FROM toks WHERE lexeme IN (SELECT lexeme FROM terms) GROUP BY ALL),
 hits AS (SELECT query_id, id, count(*) AS matched, sum(tf) AS tf, max(total) AS total FROM posts JOIN terms USING (lexeme) GROUP BY query_id, id),
-strict AS (SELECT *, max(matched = total) OVER (PARTITION BY query_id) AS s FROM hits),
-lexed AS (SELECT query_id, id, CASE WHEN s THEN 1.0 ELSE matched / total END::DOUBLE AS coverage, CAST(tf AS BIGINT) AS tf, NOT s AS is_fallback FROM strict WHERE NOT s OR matched = total),
-lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, tf DESC, id) AS INTEGER) AS rank FROM lexed QUALIFY rank <= 50)"""
+said AS (SELECT query_id, unnest(found) AS term, generate_subscripts(found, 1) AS k FROM (SELECT query_id, regexp_extract_all(text, '-?"[^"]*"|[^\s"]+') AS found FROM queries)),
+parted AS (SELECT *, sum(CASE WHEN lower(term) = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY k) AS branch FROM said),
+units AS (SELECT query_id, branch, k, term LIKE '-%' AS negated, {t} AS w FROM parted WHERE lower(term) <> 'or' AND len({t}) > 0),
+found AS (SELECT u.query_id, u.branch, u.k, u.negated, x.id, x.pos AS b, x.pos + len(u.w) - 1 AS e
+  FROM units u JOIN toks x ON x.lexeme = u.w[1] LEFT JOIN toks y ON y.id = x.id AND y.pos = x.pos + 1 WHERE len(u.w) = 1 OR (len(u.w) = 2 AND y.lexeme = u.w[2])),
+sized AS (SELECT query_id, branch, count(*) AS n FROM units WHERE NOT negated GROUP BY ALL),
+whole AS (SELECT f.query_id, f.branch, f.id FROM found f JOIN sized s USING (query_id, branch) GROUP BY f.query_id, f.branch, f.id, s.n
+  HAVING count(DISTINCT CASE WHEN NOT f.negated THEN f.k END) = s.n AND count(*) FILTER (f.negated) = 0),
+used AS (SELECT f.* FROM found f JOIN whole USING (query_id, branch, id) WHERE NOT f.negated),
+stops AS (SELECT DISTINCT query_id, id, e FROM used),
+lasts AS (SELECT s.query_id, s.id, s.e, u.branch, u.k, max(u.b) AS last FROM stops s JOIN used u ON u.query_id = s.query_id AND u.id = s.id AND u.e <= s.e GROUP BY ALL),
+lefts AS (SELECT l.query_id, l.id, l.e, l.branch, min(last) AS l FROM lasts l JOIN sized z USING (query_id, branch) GROUP BY l.query_id, l.id, l.e, l.branch, z.n HAVING count(*) = z.n),
+covers AS (SELECT query_id, id, l, min(e) AS e FROM (SELECT query_id, id, e, max(l) AS l FROM lefts GROUP BY ALL) GROUP BY query_id, id, l),
+places AS (SELECT DISTINCT query_id, id, unnest(range(b, e + 1)) AS p FROM used),
+dense AS (SELECT query_id, id, sum(0.1::DOUBLE / (2 + e - l - n)) AS rank_cd FROM (SELECT c.query_id, c.id, c.l, c.e, count(*) AS n FROM covers c JOIN places p ON p.query_id = c.query_id AND p.id = c.id AND p.p BETWEEN c.l AND c.e GROUP BY ALL) GROUP BY query_id, id),
+lexed AS (SELECT query_id, id, 1.0::DOUBLE AS coverage, round(rank_cd, 9) AS rank_cd, false AS is_fallback FROM dense
+  UNION ALL SELECT query_id, id, matched::DOUBLE / total, round(tf * 0.1::DOUBLE, 9), true FROM hits WHERE query_id NOT IN (SELECT query_id FROM dense)),
+lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank_cd DESC, id) AS INTEGER) AS rank FROM lexed QUALIFY rank <= 50)"""
+
+
+_L = _lexical("SELECT item_id AS query_id, text FROM benchmark")
 _SL = """
-sl_best AS (SELECT query_id // 3 AS query_id, id, min({'r': rank, 'c': -coverage, 't': -tf}) AS b FROM lex GROUP BY ALL),
-sl AS (SELECT query_id, id, b.r AS sentence_rank, -b.c AS coverage, -b.t AS tf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b.r, b.c, b.t, id) AS INTEGER) AS rank FROM sl_best QUALIFY rank <= 50)"""
+sl_best AS (SELECT query_id // 3 AS query_id, id, min({'r': rank, 'd': -rank_cd, 'c': -coverage}) AS b FROM lex GROUP BY ALL),
+sl AS (SELECT query_id, id, b.r AS sentence_rank, -b.c AS coverage, -b.d AS rank_cd, CAST(row_number() OVER (PARTITION BY query_id ORDER BY b.r, b.d, id) AS INTEGER) AS rank FROM sl_best QUALIFY rank <= 50)"""
+_SIGNED = r"""SELECT query_id, CASE query_id % 5 WHEN 0 THEN concat_ws(' ', a, b) WHEN 1 THEN '"' || a || ' ' || b || '"' WHEN 2 THEN concat_ws(' ', a, 'or', b, c)
+    WHEN 3 THEN concat_ws(' ', a, b, '-' || c) ELSE '"' || a || ' ' || b || '" -' || c || ' OR ' || b || ' ' || e END AS text
+  FROM (SELECT item_id AS query_id, list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) AS w, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS e FROM benchmark) WHERE len(w) > 3"""
 
 
 def _fused(legs: list[str], limit: int) -> str:
@@ -187,6 +260,8 @@ ORACLE = {
     "step_vector_leg": f"WITH {_V}, {_SV} SELECT * FROM sv",
     "lexical_leg_strict_or": f"WITH {_L} SELECT * FROM lex",
     "step_lexical_leg": f"WITH {_L}, {_SL} SELECT * FROM sl",
+    "signed_query_matches": f"WITH {_lexical(_SIGNED)} SELECT * FROM lexed",
+    "strict_sentences": f"WITH {_L} SELECT item_id AS query_id, coalesce(NOT is_fallback, false) AS strict, rank, id, round(coverage, 2) AS coverage FROM benchmark LEFT JOIN (FROM lex WHERE rank <= 3) ON query_id = item_id",
     "phrase_match": r"""WITH d AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents),
 q AS (SELECT item_id AS query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM benchmark)
 SELECT query_id, id FROM q JOIN d ON contains(d.t, q.t) WHERE length(q.t) > 2""",
