@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import MARKED, PLAIN, QUESTION_WORDS, strip_question_words
-from lodestone.operators import fusion, lexical, search
+from lodestone.operators import ann, fusion, lexical, search
 from lodestone.session import materialize, table
 
 
@@ -44,6 +44,34 @@ def _near_and_steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return plain, search.step_vector_leg(near.where(F.col("rank") <= search.LEG_LIMIT), sentences)
 
 
+#: Rows that a cell of the approximate index holds on average, and the recall for which its probes are chosen.
+CELL_ROWS, RECALL = 32, 0.96
+
+
+def _approximate(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """(leg, cells, probes): probes are chosen by other queries than those that are asked."""
+    vectors, asked = materialize(_vectors(spark, d)), _asked_vectors(spark, d)
+    centres = ann.train_cells(vectors, max(1, vectors.count() // CELL_ROWS))
+    index = materialize(ann.build_index(vectors, centres))
+    # a bounded number of vectors with the smallest hashes
+    tried = vectors.join(asked.select(F.col("query_id").alias("id")), "id", "left_anti").orderBy(F.xxhash64("id")).limit(ann.CALIBRATING).select(F.col("id").alias("query_id"), "vector")
+    tried = materialize(tried)
+    probes = ann.probes_for(search.vector_leg(tried, vectors, exclude_self=True), tried, index, centres, RECALL)
+    return ann.ann_leg(asked, index, centres, probes, exclude_self=True), len(centres), probes
+
+
+def ann_leg_top50(spark: SparkSession, d: str) -> DataFrame:
+    return _approximate(spark, d)[0]
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of how many cells a question reads how many, and which share of the exact leg it finds."""
+    leg, cells, probes = _approximate(spark, d)
+    exact = vector_leg_top50(spark, d).select("query_id", "id")
+    hit = exact.join(leg.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hit.groupBy("query_id").agg(F.lit(cells).alias("cells"), F.lit(probes).alias("probes"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
 def step_vector_leg(spark: SparkSession, d: str) -> DataFrame:
     """Three sentences for each group of three questions."""
     return _near_and_steps(spark, d)[1]
@@ -189,7 +217,7 @@ def knn_hit_at_8(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.bool_or(hit & (F.col("rank") <= 8)).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
-QUERIES = {f.__name__: f for f in (vector_leg_top50, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, signed_query_matches, strict_sentences, stemmed_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
+QUERIES = {f.__name__: f for f in (vector_leg_top50, ann_leg_top50, ann_recall, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, signed_query_matches, strict_sentences, stemmed_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
 
 _V = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS doc_id FROM embeddings),
