@@ -70,14 +70,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _number(digits: Column) -> Column:
+    return F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1))
+
+
 def markers(answer: Column) -> Column:
-    """Numbers of the markers ``[n]`` in order of place."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda n: n.cast("int"))
+    """Numbers of the markers ``[n]`` in order of place; what is beyond an int counts as the largest."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), _number)
 
 
 def unclosed_markers(answer: Column) -> Column:
     """Numbers of ``[n`` that no bracket closes: before white space, a sign that no digit follows, or the end."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})(?=\s|[:;—–-]|[.,](?!\d)|$)"), F.lit(1)), lambda n: n.cast("int"))
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)(?=\s|[:;—–-]|[.,](?!\d)|$)"), F.lit(1)), _number)
 
 
 def clamp(text: Column, limit: int) -> Column:

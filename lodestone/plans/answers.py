@@ -252,8 +252,8 @@ SELECT conv_id, turn, CASE WHEN line <> '' AND length(line) <= 1000 THEN line EN
     "sentence_split": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([\p{Lu}\p{N}¿¡«"(\[])', '\1' || chr(10) || '\2', 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence FROM s""",
     "answer_markers": r"""WITH t AS (SELECT conv_id, turn, text || ' [1' || turn || '] [2' || turn || ' [3: [1.500] [4, x [5,5 [12x] [' || turn AS t FROM conversations)
-SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '\[(\d{1,9})\]', 1), lambda x: CAST(x AS INTEGER)), ',') AS closed,
-  array_to_string(list_transform(regexp_extract_all(t, '\[(\d{1,9})(?:\s|[:;—–-]|[.,]\D|[.,]$|$)', 1), lambda x: CAST(x AS INTEGER)), ',') AS unclosed FROM t""",
+SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '\[(\d+)\]', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), 2147483647)), ',') AS closed,
+  array_to_string(list_transform(regexp_extract_all(t, '\[(\d+)(?:\s|[:;—–-]|[.,]\D|[.,]$|$)', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), 2147483647)), ',') AS unclosed FROM t""",
     "figure_mentions": rf"""WITH s AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p, o_orderkey AS k FROM orders),
 f AS (SELECT o_orderkey, regexp_extract_all('Se pagan ₡' || p || ' y ₡ ' || k % 7 || ', es decir ' || k % 13 || ',5 % o ' || k % 13 || ',5 %.', {_FIGURE}) AS a, regexp_extract_all('El monto es ₡' || p, {_FIGURE}) AS b FROM s),
 u AS (SELECT o_orderkey, {_LIST('a')} AS a, b FROM f)

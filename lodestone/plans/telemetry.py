@@ -5,14 +5,16 @@ Fixtures: an event is an ask, an ``error`` event gives one back, its local day i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.plans.analytics import bucket
 from lodestone.session import shared_dir, table
 from lodestone.sources import jsonl
-from lodestone.streaming import quotas
+from lodestone.streaming import markers, quotas, runs
 
 #: Asks that a subject has a day, and how many times as many its network has.
 LIMIT, TIMES = 2, 3
@@ -92,16 +94,49 @@ def rerank_drops(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(kind.alias("drop")).agg(F.count("*").alias("n"))
 
 
-def delta_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Markers of turns that arrive in deltas of seven characters, wherever a delta ends."""
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    """(answer, conv_id, turn, seq, delta): turns in deltas of seven characters."""
     n = F.col("turn").cast("string")
     text = F.concat(F.lit("[1"), n, F.lit("]"), F.col("text"), F.lit(" [2"), n, F.lit("][33] [4"))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 7).cast("int")), lambda k: F.struct(k.alias("seq"), F.substring(F.col("text"), k * 7 + 1, F.lit(7)).alias("delta")))
-    deltas = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text")).where("text IS NOT NULL").select("conv_id", "turn", F.inline(pieces))
-    whole = deltas.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "").alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 7).cast("int")), lambda k: F.struct(k.cast("long").alias("seq"), F.substring(F.col("text"), k * 7 + 1, F.lit(7)).alias("delta")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text")).where("text IS NOT NULL")
+    return rows.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer"), "conv_id", "turn", F.inline(pieces))
+
+
+def delta_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Markers of turns that arrive in deltas, as a batch: the deltas joined."""
+    whole = _deltas(spark, d).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "").alias("text"))
     return whole.select("conv_id", "turn", F.array_join(T.markers(F.col("text")).cast("array<string>"), ",").alias("markers"))
 
 
+def _streamed_in_parts(rows: DataFrame, part: Column, parts: int, stream) -> DataFrame:
+    """Write ``rows`` as one file for each part, in order, and run ``stream`` over the files, one a batch."""
+    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/lodestone/{uuid.uuid4().hex}"
+    rows = rows.withColumn("__part", part)
+    for k in range(parts):
+        rows.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return runs.run_available(stream(source), f"{folder}/out", f"{folder}/state")
+
+
+def marker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream of three batches that keeps unfinished markers as state; deltas of one turn fall into all of them."""
+    deltas = _deltas(spark, d).select("answer", "seq", "delta")
+    found = _streamed_in_parts(deltas, (F.col("seq") % 3).cast("int"), 3, markers.marker_stream)
+    joined = found.groupBy("answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "marker"))), lambda x: x["marker"]), ",").alias("markers"))
+    at = F.split("answer", "/")
+    return joined.select(F.get(at, 0).cast("long").alias("conv_id"), F.get(at, 1).cast("long").alias("turn"), "markers")
+
+
+def quota_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Asks and refunds as a stream of three batches by time, every seventh row a day late; counts in order of arrival."""
+    asks = _asks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = asks.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = F.when(F.col("event_id") % 7 == 0, 86_400_000_000).otherwise(0)
+    batch = F.least(F.lit(2), F.floor((F.unix_micros("ts") + late - (first or 0)) / (((last or 0) - (first or 0)) // 3 + 1)).cast("int"))
+    return _streamed_in_parts(asks, batch, 3, lambda rows: quotas.quota_stream(rows, LIMIT))
+
+
 def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with each conversation as a stream: nothing said, no turn of the assistant, no first turn, gaps, a text twice."""
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.length("text") > 0).alias("said"), F.count_if(F.col("role") == "assistant").alias("answers"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
@@ -131,7 +166,7 @@ def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.manifest_rows(manifest, ["src1", "src3", "src3"])
 
 
-QUERIES = {f.__name__: f for f in (quota_refunds, quota_remaining, quota_retention, late_refunds, subject_digests, stage_timers, ask_outcomes, first_facts, rerank_drops, delta_markers, stream_verdicts, event_stream_lines, jsonl_round_trip, manifest_scan)}
+QUERIES = {f.__name__: f for f in (quota_refunds, quota_remaining, quota_retention, late_refunds, subject_digests, stage_timers, ask_outcomes, first_facts, rerank_drops, delta_markers, marker_stream, quota_stream, stream_verdicts, event_stream_lines, jsonl_round_trip, manifest_scan)}
 
 _ASKS = "a AS (SELECT CAST(user_id AS VARCHAR) AS subject, user_id, event_id, ts, strftime(ts - INTERVAL 6 HOURS, '%Y-%m-%d') AS day, event_type = 'error' AS refund FROM events WHERE user_id IS NOT NULL)"
 
@@ -161,10 +196,16 @@ SELECT ask_id, max(b) FILTER (stage = 0) AS search, max(b) FILTER (stage = 1) AS
 SELECT user_id, arg_min(event_type, i) FILTER (event_type IN ('error', 'signup')) AS first_abort, arg_max(value > 100, i) AS last_dear FROM e GROUP BY user_id""",
     "rerank_drops": """WITH s AS (SELECT event_id AS e, CASE WHEN event_id % 6 = 2 THEN 429 WHEN event_id % 6 = 3 THEN 404 + event_id % 90 WHEN event_id % 9 = 5 THEN 500 + event_id % 100 WHEN event_id % 9 = 7 THEN 302 END AS s FROM events)
 SELECT CASE WHEN e % 4 = 0 THEN 'timeout' WHEN e % 4 = 1 THEN 'network' WHEN s = 429 THEN '429' WHEN s // 100 = 4 THEN '4xx' WHEN s // 100 = 5 THEN '5xx' ELSE 'other_status' END AS "drop", count(*) AS n FROM s GROUP BY 1""",
-    "delta_markers": r"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all('[1' || turn || ']' || text || ' [2' || turn || '][33] [4', '\[(\d{1,9})\]', 1), lambda x: CAST(x AS INTEGER)), ',') AS markers FROM conversations WHERE text IS NOT NULL""",
+    "delta_markers": r"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all('[1' || turn || ']' || text || ' [2' || turn || '][33] [4', '\[(\d+)\]', 1), lambda x: coalesce(TRY_CAST(x AS INTEGER), 2147483647)), ',') AS markers FROM conversations WHERE text IS NOT NULL""",
     "stream_verdicts": """WITH g AS (SELECT conv_id, count(*) FILTER (length(text) > 0) AS said, count(*) FILTER (role = 'assistant') AS answers, min(turn) AS f, max(turn) AS l, count(*) AS n, count(DISTINCT text) AS texts FROM conversations GROUP BY conv_id)
 SELECT conv_id, concat_ws(',', CASE WHEN said = 0 THEN 'empty' END, CASE WHEN answers = 0 THEN 'no_answer' END, CASE WHEN f > 0 THEN 'no_start' END, CASE WHEN l - f + 1 <> n THEN 'gap' END, CASE WHEN texts < said THEN 'repeated' END, CASE WHEN answers * 2 < n - 1 THEN 'one_sided' END) AS faults FROM g""",
     "event_stream_lines": "SELECT event_id, CASE WHEN event_id % 10 > 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 2 AS unparseable FROM events WHERE event_id % 10 >= 2 AND (event_id % 10 = 2 OR props IS NOT NULL)",
     "jsonl_round_trip": "SELECT conv_id AS id, turn, role, text, false AS malformed, count(*) OVER (PARTITION BY conv_id) > 1 AS repeated FROM conversations",
     "manifest_scan": "SELECT source AS doc_key, count(*) AS n FROM documents WHERE source IN ('src1', 'src3') GROUP BY source",
 }
+ORACLE["marker_stream"] = ORACLE["delta_markers"]
+ORACLE["quota_stream"] = f"""WITH RECURSIVE {_ASKS}, t AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM a),
+o AS (SELECT a.*, row_number() OVER (PARTITION BY subject, day ORDER BY least(2, (epoch_us(ts) + CASE WHEN event_id % 7 = 0 THEN 86400000000 ELSE 0 END - first) // ((last - first) // 3 + 1)), ts, event_id) AS i FROM a, t),
+w AS (SELECT subject, day, i, event_id, refund, CAST(CASE WHEN refund THEN 0 ELSE 1 END AS BIGINT) AS count FROM o WHERE i = 1
+  UNION ALL SELECT o.subject, o.day, o.i, o.event_id, o.refund, CAST(CASE WHEN o.refund THEN greatest(0, w.count - 1) ELSE w.count + 1 END AS BIGINT) FROM w JOIN o ON o.subject = w.subject AND o.day = w.day AND o.i = w.i + 1)
+SELECT subject, event_id, day, count, CASE WHEN NOT refund THEN count <= {LIMIT} END AS allowed FROM w"""

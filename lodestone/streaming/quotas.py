@@ -1,21 +1,23 @@
-"""Daily quotas as state: asks count up, refunds count down, a new local day starts anew.
+"""Daily quotas as state: asks count up, refunds count down, every local day has a count of its own.
 
-The streaming form keeps one (day, count) for each subject with ``applyInPandasWithState`` and forgets
-it after ``RETENTION``; the batch form gives the same counts for a whole table by windows. A refund
-takes one off only within the day of its ask, never below zero; late ones change nothing.
+The streaming form keeps the counts of a subject by day and forgets a day by an event-time timer,
+``RETENTION`` behind its end; the batch form gives the same counts for a whole table by windows. A refund takes
+one off its own day, never below zero. A late ask or refund changes only the day that it belongs to; one that is
+later than the retention is dropped. Within a day the stream counts in the order in which batches come, and
+by time within a batch.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: How long a subject's count is kept, and how far events may be late.
-RETENTION = "2 days"
+RETENTION_DAYS = 2
 OUT = "subject string, event_id long, day string, count long, allowed boolean"
 
 
@@ -33,29 +35,43 @@ def counted(events: DataFrame, limit: int) -> DataFrame:
     return rows.select("subject", "event_id", "day", "count", F.when(~F.col("refund"), F.col("count") <= limit).alias("allowed"))
 
 
+class Quota(StatefulProcessor):
+    """Counts by day of one subject."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "day string", "count long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            day = (row.day,)
+            known = self.counts.containsKey(day)
+            count = self.counts.getValue(day)[0] if known else 0
+            count = max(0, count - 1) if row.refund else count + 1
+            self.counts.updateValue(day, (count,))
+            if not known:
+                over = dt.datetime.fromisoformat(row.day).replace(tzinfo=dt.timezone.utc) + dt.timedelta(days=1 + RETENTION_DAYS, hours=6)
+                self.handle.registerTimer(int(over.timestamp() * 1000))
+            yield Row(subject=key[0], event_id=row.event_id, day=row.day, count=count, allowed=None if row.refund else count <= self.limit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        over = dt.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, dt.timezone.utc) - dt.timedelta(days=1 + RETENTION_DAYS, hours=6)
+        day = (over.date().isoformat(),)
+        if self.counts.containsKey(day):
+            self.counts.removeKey(day)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def quota_stream(events: DataFrame, limit: int) -> DataFrame:
-    """The same over a stream of (subject, event_id, ts, day, refund), in order of time within a batch."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        day, count = state.get if state.exists else (None, 0)
-        for batch in batches:
-            out = []
-            for row in batch.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if day is not None and row.day < day:
-                    if row.refund:
-                        continue  # the day that it belongs to is over
-                elif row.day != day:
-                    day, count = row.day, 0
-                count = max(0, count - 1) if row.refund else count + 1
-                out.append((key[0], row.event_id, row.day, count, None if row.refund else count <= limit))
-            yield pd.DataFrame(out, columns=["subject", "event_id", "day", "count", "allowed"])
-        state.update((day, count))
-        state.setTimeoutDuration(2 * 24 * 3600 * 1000)
-
-    return events.groupBy("subject").applyInPandasWithState(run, OUT, "day string, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """The same over a stream of (subject, event_id, ts, day, refund); ``ts`` carries the watermark."""
+    late = events.withWatermark("ts", f"{RETENTION_DAYS} days")
+    return late.groupBy("subject").transformWithState(Quota(limit), OUT, "append", "EventTime")
 
 
 def umbrella(counts: DataFrame, limit: int, times: int = 3) -> DataFrame:
@@ -71,11 +87,8 @@ def umbrella(counts: DataFrame, limit: int, times: int = 3) -> DataFrame:
 
 def browser_family(agent: Column) -> Column:
     """The coarse family of a user agent."""
-    out = F.lit("Other")
-    # the last that is set wins, so the list runs from the weakest sign to the strongest
-    for pattern, name in [(r"Safari/", "Safari"), (r"Chrome/", "Chrome"), (r"Firefox", "Firefox"), (r"SamsungBrowser", "Samsung Internet"), (r"OPR/|Opera", "Opera"), (r"Edg/|Edge/", "Edge")]:
-        out = F.when(agent.rlike(pattern), name).otherwise(out)
-    return out
+    signs = [(r"Edg/|Edge/", "Edge"), (r"OPR/|Opera", "Opera"), (r"SamsungBrowser", "Samsung Internet"), (r"Firefox", "Firefox"), (r"Chrome/", "Chrome"), (r"Safari/", "Safari")]
+    return F.coalesce(*(F.when(agent.rlike(pattern), name) for pattern, name in signs), F.lit("Other"))
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.streaming import quotas as Q
+from lodestone.streaming.runs import run_available
 
 SCHEMA = "subject string, event_id long, ts timestamp, day string, refund boolean"
 
@@ -37,10 +38,18 @@ def test_stream_gives_the_same_counts(spark, tmp_path):
         part = rows[k * 134 : (k + 1) * 134]
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = Q.quota_stream(source, 3).writeStream.format("memory").queryName("quota").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = sorted((tuple(r) for r in spark.table("quota").collect()), key=lambda r: r[1])
-    assert got == brute(rows, 3)
+    run = lambda: sorted((tuple(r) for r in run_available(Q.quota_stream(source, 3), str(tmp_path / "out"), str(tmp_path / "state")).collect()), key=lambda r: r[1])
+    assert run() == brute(rows, 3)
+    # a second start finds nothing new; then late asks and refunds change their own days only
+    assert run() == brute(rows, 3)
+    last = max(t for _, _, t, _, _ in rows)
+    late = [("u1", 1000, last - dt.timedelta(days=1), "x", False), ("u1", 1001, last, "x", False), ("u1", 1002, last - dt.timedelta(days=1, seconds=1), "x", True)]
+    late = [(s, i, t, (t - dt.timedelta(hours=6)).date().isoformat(), r) for s, i, t, _, r in late]
+    too_late = [("u1", 1003, last - dt.timedelta(days=3), "2026-01-01", False)]
+    spark.createDataFrame(late + too_late, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # within a batch by time, and behind all that came before
+    shifted = [(s, i, dt.datetime(2030, 1, 1) + (t - last), day, r) for s, i, t, day, r in late]
+    assert run() == [*brute([*rows, *shifted], 3)]
 
 
 def test_umbrella_counts_what_it_denies(spark):
