@@ -23,8 +23,19 @@ LOOKED_UP, REFERENCE_CAP, NAMED_CAP = 12, 1, 1
 
 # Words before a reference that say that it defers a figure.
 FIGURE_WORDS = ("tarifa", "tarifas", "tasa", "tasas", "porcentaje", "porcentajes", "monto", "montos", "cuota", "cuotas", "escala", "tramo", "tramos", "base imponible", "base minima")
-#: A list of numbers behind «artículo(s)» in folded text; what cuts the text before each such place.
-MENTION, CUT = r"articulos? +\d+[°º]?(?: ?(?:,|y|e) ?\d+[°º]?)*", "\u0001"
+# Ordinals that number an article, and suffixes of a number.
+ORDINALS = {"primero": 1, "segundo": 2, "tercero": 3, "cuarto": 4, "quinto": 5, "sexto": 6, "septimo": 7, "setimo": 7, "octavo": 8, "noveno": 9, "decimo": 10}
+SUFFIXES = ("bis", "ter", "quater", "quinquies")
+# Words that open a subdivision of an article.
+SUBDIVISIONS = ("ambos", "inciso", "incisos", "apartado", "apartados", "aparte", "denominado", "parrafo", "parrafos", "numeral", "numerales", "subinciso", "subincisos", "literal")
+# What a chunk's own document calls itself, by gender.
+OWN_HE, OWN_SHE = ("reglamento", "decreto", "codigo", "titulo", "capitulo"), ("resolucion", "norma")
+# Words behind «de la ley» with which no other law's name goes on.
+NO_NAME = ("y", "e", "o", "u", "que", "se", "en", "a", "al", "el", "la", "los", "las", "con", "como", "cuando", "segun", "citada", "antes", "mencionada", "indicada", "vigente")
+#: Characters before a mention in which such words count, and how far they may stand from it.
+CLAUSE, NEAR = 120, 80
+#: What cuts the text before each mention.
+CUT = "\u0001"
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 
 
@@ -38,24 +49,81 @@ def append_kinds(cut: DataFrame, pins: DataFrame) -> DataFrame:
     return cut.select("query_id", "id", "pos", F.lit(None).cast("string").alias("pin")).unionByName(added)
 
 
-def article_references(chunks: DataFrame) -> DataFrame:
-    """(id, doc_key, article, figure, pos): other articles of its own document that a chunk (id, doc_key, article, text) names.
+def _either(words) -> str:
+    return "(?:" + "|".join(words) + ")"
 
-    A mention that goes on with another instrument («de la Ley …») or a dash names none. ``figure`` tells
-    whether words for an amount stand before it in the same clause.
+
+def _mention() -> tuple[str, str]:
+    """Patterns of one numbered article, and of a list of them behind «artículo(s)», in folded text."""
+    one = rf"(?:\d+(?: ?\.?[°º])?|{_either(ORDINALS)}\b)(?: {_either(SUFFIXES)}\b)?"
+    return one, rf"articulos? {one}(?:(?: ?, ?(?:[ye] )?| [ye] ){one})*"
+
+
+ONE, MENTION = _mention()
+
+
+def _target(tail: Column) -> Column:
+    """Whose article a mention names, from the text behind it: ``own`` document, ``law`` (the document's, or the one that it regulates), or null.
+
+    Of the regulated law ``law_title`` (folded) and ``law_number`` are looked at; without one ``regulates`` is null.
+    """
+    subdivision = rf",? ?{_either(SUBDIVISIONS)}\b(?:[^.;:]|\.(?=\d)){{0,{NEAR}}}?(?= del? )"
+    mark = r" ?\(\*+\)"
+    behind = F.regexp_replace(tail, rf"^(?:{subdivision}|{mark})+", "")
+    rest = F.regexp_replace(behind, r"^,? ?", "")
+    named = F.substring(rest, len("de la ") + 1, 1 << 30)
+    number = F.regexp_extract(named, r"^ley (?:(?:n|no|nro|numero)\.? ?[°º]?\.? ?)?(\d+)", 1)
+    # the law's defined term, and no longer name
+    term = rest.rlike(rf"^de la ley(?:$|[^\p{{L}}\d ]| {_either(NO_NAME)}\b)")
+    regulated = F.when(F.coalesce(F.startswith(named, F.col("law_title")), F.lit(False)), "law").when(number != "", F.when(number == F.col("law_number"), "law")).when(term, "law")
+    return (
+        F.when(behind.rlike(r"^\.?[-—–]"), None)
+        .when(rest.rlike(r"^al? (?:actual )?\d"), None)
+        .when(rest.rlike(r"^de (?:esta|la presente) ley\b"), "law")
+        .when(rest.rlike(rf"^(?:de este|del presente) {_either(OWN_HE)}\b") | rest.rlike(rf"^de (?:esta|la presente) {_either(OWN_SHE)}\b"), "own")
+        .when(F.col("regulates").isNotNull() & rest.rlike(r"^de la ley\b"), regulated)
+        .when(rest.rlike(r"^del? "), None)
+        .otherwise("own")
+    )
+
+
+def article_references(chunks: DataFrame, laws: DataFrame | None = None) -> DataFrame:
+    """(id, doc_key, article, figure, pos): articles of its document, or of the law that this regulates, that a chunk names; its own isn't one.
+
+    chunks: (id, doc_key, article, part, label, text); laws: (doc_key, regulates, title, norma), the law that a
+    document regulates with that law's title and norm, one row for each document. A list names each of its
+    articles; a subdivision or an editorial mark before the instrument is passed over. Another instrument, a
+    range, a heading carried over by a dash, the heading that opens a first part, and preambles name none.
+    ``figure``: words for an amount stand before the mention in its clause. ``pos`` numbers a chunk's references.
     """
-    marked = F.regexp_replace(T.fold(F.col("text")), rf"\b({MENTION})", f"{CUT}$1")
-    parts = chunks.where("text IS NOT NULL").select("id", "doc_key", F.col("article").alias("own"), F.split(marked, CUT).alias("parts"))
-    before = rf"\b(?:{'|'.join(FIGURE_WORDS)})\b[^.;:]{{0,80}}$"
-    one = lambda i: F.struct(F.get("parts", i).alias("clause"), F.get("parts", i - 1).rlike(before).alias("figure"), i.alias("n"))
-    found = parts.where("size(parts) > 1").select("id", "doc_key", "own", F.inline(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), one)))
-    tail = F.regexp_replace("clause", f"^{MENTION}", "")
-    own_law = tail.rlike(r"^,? ?(?:de esta|de la presente|de este|del presente) ")
-    found = found.where(~tail.rlike(r"^\.?[-—–]") & (own_law | ~tail.rlike(r"^,? ?(?:del?|al?) ")))
-    numbers = F.regexp_extract_all(F.regexp_extract("clause", f"^{MENTION}", 0), F.lit(r"(\d+)"), 1)
-    named = found.select("id", "doc_key", "own", "figure", "n", F.posexplode(numbers).alias("k", "number"))
-    named = named.withColumn("article", F.regexp_replace("number", r"^0+(?=\d)", "")).where("own IS DISTINCT FROM article")
-    return named.groupBy("id", "doc_key", "article").agg(F.bool_or("figure").alias("figure"), F.min(F.col("n") * 1000 + F.col("k")).alias("pos"))
+    stem = T.fold(F.regexp_replace("title", r"\s*\(.*$", ""))
+    none = F.lit(None).cast("string")
+    linked = chunks.select("id", "doc_key", "article", "part", "label", "text")
+    if laws is None:
+        linked = linked.withColumns({"regulates": none, "law_title": none, "law_number": none})
+    else:
+        number = F.nullif(F.regexp_extract("norma", r"^Ley (\d+)$", 1), F.lit(""))
+        linked = linked.join(laws.select("doc_key", "regulates", stem.alias("law_title"), number.alias("law_number")), "doc_key", "left")
+    linked = linked.where(F.col("text").isNotNull() & ~F.coalesce(T.fold(F.col("label")).startswith("preambulo"), F.lit(False)))
+    # the header «[title — path — article]» repeats the chunk's own label
+    body = T.fold(F.regexp_replace("text", r"^\[[^\]]*\]\s*", ""))
+    linked = linked.withColumn("parts", F.split(F.regexp_replace(body, rf"\b({MENTION})", f"{CUT}$1"), CUT))
+    # each of the parts before holds a mention of ten characters at least
+    clause = lambda i: F.right(F.array_join(F.slice("parts", F.greatest(F.lit(1), i - CLAUSE // 10), F.least(i, F.lit(CLAUSE // 10 + 1))), ""), F.lit(CLAUSE))
+    words = rf"\b{_either(FIGURE_WORDS)}\b[^.;:]{{0,{NEAR}}}$"
+    one = lambda i: F.struct(F.get("parts", i).alias("clause"), clause(i).rlike(words).alias("figure"), i.alias("n"))
+    opens = (F.get("parts", 0) == "") & (F.coalesce("part", F.lit(0)) == 0)
+    mentions = F.filter(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), one), lambda m: ~(opens & (m["n"] == 1)))
+    found = linked.where("size(parts) > 1").select("id", "doc_key", "regulates", "law_title", "law_number", F.col("article").alias("own"), F.inline(mentions))
+    found = found.withColumn("target", _target(F.regexp_replace("clause", f"^{MENTION}", ""))).where("target IS NOT NULL")
+    listed = F.regexp_extract_all(F.regexp_extract("clause", f"^{MENTION}", 0), F.lit(ONE), F.lit(0))
+    named = found.select("id", "own", F.col("doc_key").alias("from"), F.when(F.col("target") == "law", F.coalesce("regulates", "doc_key")).otherwise(F.col("doc_key")).alias("doc_key"), "figure", "n", F.posexplode(listed).alias("k", "item"))
+    ordinal = F.create_map(*(F.lit(x) for pair in ORDINALS.items() for x in (pair[0], str(pair[1]))))
+    digits, suffix = F.regexp_extract("item", r"^\d+", 0), F.regexp_extract("item", rf" ({_either(SUFFIXES)})$", 1)
+    plain = F.when(digits != "", F.regexp_replace(digits, r"^0+(?=\d)", "")).otherwise(F.element_at(ordinal, F.split("item", " ")[0]))
+    named = named.withColumn("article", F.trim(F.concat(plain, F.lit(" "), F.upper(suffix)))).where(~(F.col("doc_key").eqNullSafe(F.col("from")) & F.col("own").eqNullSafe(F.col("article"))))
+    each = named.groupBy("id", "doc_key", "article").agg(F.bool_or("figure").alias("figure"), F.min(F.struct("n", "k")).alias("at"))
+    return ranked(each, [F.col("at"), F.col("doc_key"), F.col("article")], ["id"], "pos", None).drop("at")
 
 
 def referenced(cut: DataFrame, chunks: DataFrame, references: DataFrame) -> DataFrame:
@@ -84,7 +152,8 @@ def derived_inputs(cut: DataFrame, pool: DataFrame, inputs: DataFrame) -> DataFr
     missing = F.collect_list(F.when(F.col("held").isNull(), F.struct(F.col("input").alias("pos"), "id")))
     whole = asked.groupBy("query_id", "figure").agg(missing.alias("missing"), F.bool_and(F.col("held").isNotNull() | F.col("id").isNotNull()).alias("whole")).where("whole")
     added = whole.select("query_id", "figure", F.inline("missing"))
-    return added.groupBy("query_id", "id").agg(F.min(F.col("figure") * 1000 + F.col("pos")).alias("pos"))
+    first = added.groupBy("query_id", "id").agg(F.min(F.struct("figure", "pos")).alias("at"))
+    return ranked(first, [F.col("at"), F.col("id")], ["query_id"], "pos", None).drop("at")
 
 
 def resolved_figures(answer_set: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -212,14 +212,6 @@ def citation_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("top_score", F.first("score").over(Window.partitionBy("query_id").orderBy("pos"))).select("query_id", "pos", "doc_id", "label", "top_score")
 
 
-def retry_typed(spark: SparkSession, d: str) -> DataFrame:
-    """Weak first searches are asked again as typed; the second result counts only if it isn't weak. The first search reads degraded questions without the vector leg."""
-    weak = retrieval.weak_flag(spark, d)
-    again = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4 == 1).alias("is_weak"))
-    first = retrieval.hydrated_top8(spark, d).select("query_id", "pos", "id")
-    return fusion.retry_as_typed(first, weak, first.withColumn("pos", F.col("pos") + 100), again)
-
-
 def reading_accounting(spark: SparkSession, d: str) -> DataFrame:
     """Readings asked for, returned and dropped with their causes."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("reading"))
@@ -230,7 +222,7 @@ def reading_accounting(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 
-QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, target_places, case_selection, citation_dedupe, retry_typed, reading_accounting)}
+QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, target_places, case_selection, citation_dedupe, reading_accounting)}
 
 _FOLDED = rf"trim(regexp_replace(lower(translate(label, '{T.MARKED}', '{T.PLAIN}')), '\s+', ' ', 'g'))"
 _KEY = r"'^articulo (\d+) ?(?:\.?[°º])?(?: (bis|ter|quater|quinquies))?$'"
@@ -283,7 +275,6 @@ SELECT case_id, bool_or(pos IS NOT NULL) AS hit, bool_and(pos IS NOT NULL) AS al
     "case_selection": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'full', NULL), (2, 'unknown', '99999'), (3, 'skip', '1,3'), (4, 'scoped', '2,4,6')) AS v(lane, mode, ids)",
     "citation_dedupe": f"""WITH f AS ({_twin('hydrated_top8')}), n AS (SELECT query_id, pos, id % 4 AS doc_id, coalesce(d.lang, '') AS label, score, row_number() OVER (PARTITION BY query_id, id % 4, coalesce(d.lang, '') ORDER BY pos) AS n FROM f JOIN documents d ON d.doc_id = f.id)
 SELECT query_id, pos, doc_id, label, first_value(score) OVER (PARTITION BY query_id ORDER BY pos) AS top_score FROM n WHERE n = 1""",
-    "retry_typed": f"""WITH f AS ({_twin('hydrated_top8')}), w AS ({_twin('weak_flag')}) SELECT f.query_id, CASE WHEN w.is_weak AND f.query_id % 4 <> 1 THEN pos + 100 ELSE pos END AS pos, id, coalesce(w.is_weak AND f.query_id % 4 <> 1, false) AS retried FROM f LEFT JOIN w USING (query_id)""",
     "reading_accounting": """WITH a AS (SELECT item_id AS query_id, unnest([0, 1, 2]) AS reading FROM benchmark), n AS (SELECT *, query_id * 3 + reading AS n FROM a)
 SELECT query_id, count(*) AS asked, count(*) FILTER (n % 5 > 1) AS returned, coalesce(string_agg(CASE n % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'timeout' ELSE 'unreadable' END, ',' ORDER BY reading) FILTER (n % 5 <= 1), '') AS dropped FROM n GROUP BY query_id""",
 }

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.plans import answers, retrieval
+from lodestone.operators import pins as operators_pins
+from lodestone.operators import search
+from lodestone.plans import answers, pins, retrieval
 from lodestone.session import table
 
 # Baselines of the gates and how far below them a run may fall.
@@ -79,12 +81,12 @@ def cause_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_reference_census(spark: SparkSession, d: str) -> DataFrame:
-    """Per document key: chunks that name others, references, and those that lead to exactly one chunk."""
-    c = answers._chunks(spark, d)
-    refs = c.select("doc_id", "doc_key", F.explode(F.array(F.col("doc_id") % 7, F.col("doc_id") % 11)).alias("key")).where("doc_id % 3 = 0")
-    keys = c.select("doc_key", T.article_key(F.col("label")).alias("key")).where("key IS NOT NULL").groupBy("doc_key", "key").agg(F.count("*").alias("n"))
-    found = refs.select("doc_id", "doc_key", F.col("key").cast("string").alias("key")).join(keys, ["doc_key", "key"], "left")
-    return found.groupBy("doc_key").agg(F.countDistinct("doc_id").alias("naming"), F.count("*").alias("references"), F.count_if(F.coalesce(F.col("n") == 1, F.lit(False))).alias("resolvable"))
+    """Per document: chunks whose texts name articles, references, and those that lead to exactly one chunk."""
+    cases = pins._cases(spark, d)
+    refs = operators_pins.article_references(cases, pins._laws(spark))
+    keys = cases.where("part = 0 AND article IS NOT NULL").groupBy("doc_key", "article").agg(F.count("*").alias("n"))
+    found = refs.join(keys, ["doc_key", "article"], "left").join(cases.select("id", F.col("doc_key").alias("home")), "id")
+    return found.groupBy(F.col("home").alias("doc_key")).agg(F.countDistinct("id").alias("naming"), F.count("*").alias("references"), F.count_if(F.coalesce(F.col("n") == 1, F.lit(False))).alias("resolvable"))
 
 
 def answer_set_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -131,10 +133,9 @@ def figure_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def withheld_before_limit(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest eight of what isn't withheld (every third label): filtered before the limit, so none is short."""
-    near = retrieval.vector_leg_top50(spark, d).where("id % 3 > 0")
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return near.withColumn("pos", pos).where("pos <= 8").select("query_id", "pos", "id")
+    """The nearest eight of what isn't withheld (every third row is): withheld rows never enter the leg, so no result is short."""
+    served = retrieval._vectors(spark, d).where("id % 3 > 0")
+    return search.vector_leg(retrieval._asked_vectors(spark, d), served, 8, exclude_self=True).select("query_id", F.col("rank").alias("pos"), "id")
 
 
 def corpus_index(spark: SparkSession, d: str) -> DataFrame:
@@ -198,9 +199,8 @@ SELECT case_id, sets, weak_flips, median_jaccard FROM (SELECT case_id, count(DIS
 f AS (SELECT case_id, subset, unnest(ids) AS id FROM dr JOIN s USING (draw)) SELECT case_id, subset, count(DISTINCT id) AS reached FROM f GROUP BY ALL""",
     "cause_classes": """WITH p AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS cause FROM events WHERE user_id IS NOT NULL),
 r AS (SELECT user_id, min(cause) AS cause, count(DISTINCT cause) > 1 AS split FROM p GROUP BY user_id) SELECT cause, count(*) AS requirements, count(*) FILTER (split) AS split FROM r GROUP BY cause""",
-    "cross_reference_census": f"""WITH {answers._CHUNKS}, k AS (SELECT doc_key, {_LABEL_KEY} AS key FROM c), n AS (SELECT doc_key, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL),
-r AS (SELECT doc_id, doc_key, CAST(unnest([doc_id % 7, doc_id % 11]) AS VARCHAR) AS key FROM c WHERE doc_id % 3 = 0)
-SELECT doc_key, count(DISTINCT doc_id) AS naming, count(*) AS "references", count(*) FILTER (n = 1) AS resolvable FROM r LEFT JOIN n USING (doc_key, key) GROUP BY doc_key""",
+    "cross_reference_census": f"""WITH {pins._P}, {pins._REF}, n AS (SELECT doc_key, article, count(*) AS n FROM p WHERE part = 0 AND article IS NOT NULL GROUP BY ALL)
+SELECT p.doc_key, count(DISTINCT r.id) AS naming, count(*) AS "references", count(*) FILTER (n = 1) AS resolvable FROM r JOIN p USING (id) LEFT JOIN n ON n.doc_key = r.doc_key AND n.article = r.article GROUP BY p.doc_key""",
     "answer_set_bars": """WITH s AS (SELECT round(avg(item_id % 8 / 7) - avg(item_id % 10 / 10), 6) AS gain, round(avg(CAST(item_id % 20 > 0 AS INTEGER)), 6) AS same, round(avg(CAST(item_id % 17 > 0 AS INTEGER)), 6) AS hit, max(item_id % 3) AS more FROM benchmark)
 SELECT *, gain >= 0.1 AS r1, same >= 0.9 AS r2, hit >= 0.94 AS r3, more <= 2 AS r4 FROM s""",
     "event_counters": "WITH e AS (SELECT *, strftime(ts - INTERVAL 6 HOURS, '%Y-%m-%d') AS day, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT day, count(*) AS asks, " + ", ".join(f"count(*) FILTER (event_type = '{x}') AS n_{x}" for x in ("click", "error", "login", "purchase", "signup", "view")) + ", count(*) FILTER (k % 2 = 0) AS even, count(*) FILTER (k >= 50) AS upper, count(*) FILTER (k IS NULL) AS without, count(*) FILTER (value > 100) AS dear, count(DISTINCT user_id) AS users, round((count(*) FILTER (event_type = 'error') + count(*) FILTER (k IS NULL)) / count(*), 6) AS error_rate FROM e GROUP BY day",
@@ -208,7 +208,7 @@ SELECT *, gain >= 0.1 AS r1, same >= 0.9 AS r2, hit >= 0.94 AS r3, more <= 2 AS
     "corpus_shares": "SELECT d.n AS documents, l.n AS labels, p.n AS pages, round(l.n / d.n, 6) AS labelled FROM (SELECT count(*) AS n FROM documents) d, (SELECT count(*) AS n FROM labels) l, (SELECT count(*) AS n FROM pages) p",
     "quote_check": "SELECT quote_id, count(doc_id) AS n FROM (VALUES (1, 'All rights reserved'), (2, 'MIT License'), (3, 'never said anywhere')) AS q(quote_id, quote) LEFT JOIN documents ON contains(text, quote) GROUP BY quote_id",
     "figure_first": "WITH c AS (SELECT conv_id, turn, coalesce(regexp_matches(text, '[0-9]'), false) AS figure FROM conversations) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY figure DESC, turn) AS INTEGER) AS pos FROM c QUALIFY pos <= 12",
-    "withheld_before_limit": f"WITH v AS ({retrieval.ORACLE['vector_leg_top50']}) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS pos, id FROM v WHERE id % 3 > 0 QUALIFY pos <= 8",
+    "withheld_before_limit": f"WITH {retrieval._V} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS pos, id FROM pairs WHERE query_id <> id AND id % 3 > 0 QUALIFY pos <= 8",
     "corpus_index": f"WITH {_INDEX} SELECT *, chunks <> parts AS collides FROM ix",
     "repeated_labels": f"""WITH {_INDEX}, r AS (SELECT doc_key, label FROM ix WHERE label IS NOT NULL GROUP BY ALL HAVING count(*) > 1), a AS (SELECT * FROM (VALUES ('doc-1', 'Artículo 0 bis'), ('doc-2', 'artículo 2'), ('doc-9', 'nowhere')) AS a(doc_key, label))
 SELECT doc_key, label, CASE WHEN (doc_key, label) NOT IN (FROM r) THEN 'stale' WHEN (doc_key, label) IN (FROM a) THEN 'allowed' ELSE 'unallowed' END AS state FROM (FROM r UNION FROM a)""",

@@ -20,13 +20,22 @@ INPUTS = [
 ]
 FORMULAS = {1: "a * b", 2: "(a + c) / 2", 3: "-d + e * 3", 4: "d"}
 SERIES = "doc-3"
-_MADE = """concat('Según el artículo ', doc_id % 40, ' y el monto de los Artículos 3, ', doc_id % 7, ' y 012 de esta Ley; la tasa del artículo ', doc_id % 11, ' de la Ley 6826. El porcentaje del ARTÍCULO ', doc_id % 13, ': ', text)"""
+_MADE = """concat('Según el artículo ', doc_id % 40, ' y el monto de los Artículos 3, ', doc_id % 7, ', y 012 de esta Ley; la tasa del artículo ', doc_id % 11, ' inciso b) de la Ley N.º 6826. El porcentaje del ARTÍCULO ', doc_id % 13,
+  ' bis (*) de este Reglamento, el artículo primero; artículos 5 al 9 y el artículo 7 de la Ley: ', text)"""
+
+
+def _laws(spark: SparkSession) -> DataFrame:
+    """Every even document regulates the next one; every fourth of these laws has the number that the texts name."""
+    rows = spark.range(0, 25, 2)
+    name = lambda k: F.concat(F.lit("doc-"), (k % 25).cast("string"))
+    norma = F.when(F.col("id") % 4 == 0, "Ley 6826").otherwise("Ley 1234")
+    return rows.select(name(F.col("id")).alias("doc_key"), name(F.col("id") + 1).alias("regulates"), F.lit("Ley General (texto vigente)").alias("title"), norma.alias("norma"))
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, id, rank, doc_key, article, part, text, withheld)."""
     rows = answers._chunks(spark, d).withColumn("article", T.article_key(F.col("label")))
-    return rows.select(F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id").alias("id"), (F.col("doc_id") * 7 % 20 + 1).alias("rank"), "doc_key", "article", "part", F.expr(_MADE).alias("text"), (F.col("doc_id") % 17 == 0).alias("withheld"))
+    return rows.select(F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id").alias("id"), (F.col("doc_id") * 7 % 20 + 1).alias("rank"), "doc_key", "article", "label", "part", F.expr(_MADE).alias("text"), (F.col("doc_id") % 17 == 0).alias("withheld"))
 
 
 def _cut(cases: DataFrame) -> DataFrame:
@@ -38,12 +47,12 @@ def _inputs(spark: SparkSession) -> DataFrame:
 
 
 def article_references(spark: SparkSession, d: str) -> DataFrame:
-    return pins.article_references(_cases(spark, d)).select("id", "doc_key", "article", "figure", "pos")
+    return pins.article_references(_cases(spark, d), _laws(spark)).select("id", "doc_key", "article", "figure", "pos")
 
 
 def cross_reference_pin(spark: SparkSession, d: str) -> DataFrame:
     cases = _cases(spark, d)
-    return pins.referenced(_cut(cases), cases, pins.article_references(cases).drop("doc_key").join(cases.select("id", "doc_key"), "id"))
+    return pins.referenced(_cut(cases), cases, pins.article_references(cases, _laws(spark)))
 
 
 def derived_input_pin(spark: SparkSession, d: str) -> DataFrame:
@@ -95,14 +104,16 @@ p AS (SELECT doc_id // 20 AS query_id, doc_id AS id, doc_id * 7 % 20 + 1 AS rank
     part, CASE WHEN text IS NOT NULL THEN {_MADE} END AS text, doc_id % 17 = 0 AS withheld FROM k),
 i(figure, kin, input, name, value, doc_key) AS (VALUES {", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in x) + ")" for x in INPUTS)}),
 g AS (SELECT * REPLACE (coalesce(kin, 'figure ' || figure) AS kin) FROM i)"""
-_M = pins.MENTION
-_REF = rf"""m AS (SELECT id, doc_key, article AS own, string_split(regexp_replace({_fold("text")}, '\b({_M})', chr(1) || '\1', 'g'), chr(1)) AS parts FROM p WHERE text IS NOT NULL),
-e AS (SELECT id, doc_key, own, unnest(parts[2:]) AS clause, unnest(parts[1:len(parts) - 1]) AS before, generate_subscripts(parts[2:], 1) AS n FROM m WHERE len(parts) > 1),
-t AS (SELECT *, regexp_replace(clause, '^{_M}', '') AS tail, regexp_matches(before, '\b(?:{"|".join(pins.FIGURE_WORDS)})\b[^.;:]{{0,80}}$') AS figure FROM e),
-o AS (SELECT *, regexp_extract_all(regexp_extract(clause, '^{_M}'), '\d+') AS numbers FROM t
-    WHERE NOT regexp_matches(tail, '^\.?[-—–]') AND (regexp_matches(tail, '^,? ?(de esta|de la presente|de este|del presente) ') OR NOT regexp_matches(tail, '^,? ?(del?|al?) '))),
-u AS (SELECT id, doc_key, own, figure, n, CAST(CAST(unnest(numbers) AS BIGINT) AS VARCHAR) AS article, generate_subscripts(numbers, 1) - 1 AS k FROM o),
-r AS (SELECT id, doc_key, article, bool_or(figure) AS figure, CAST(min(n * 1000 + k) AS INTEGER) AS pos FROM u WHERE own IS DISTINCT FROM article GROUP BY ALL)"""
+# what the made sentences say, told from their numbers: place, article, words of an amount, and whose article it is
+_REF = """r1 AS (SELECT id, doc_key, article AS own, CASE WHEN id % 25 % 2 = 0 THEN 'doc-' || ((id % 25 + 1) % 25) END AS regulates, id % 25 % 4 = 0 AS numbered FROM p WHERE text IS NOT NULL),
+r2 AS (SELECT id, doc_key, own, regulates, numbered, unnest([
+    {'spot': 1, 'article': '' || id % 40, 'figure': false, 'of': 'own'}, {'spot': 2, 'article': '3', 'figure': true, 'of': 'law'}, {'spot': 3, 'article': '' || id % 7, 'figure': true, 'of': 'law'},
+    {'spot': 4, 'article': '12', 'figure': true, 'of': 'law'}, {'spot': 5, 'article': '' || id % 11, 'figure': true, 'of': 'numbered'}, {'spot': 6, 'article': id % 13 || ' BIS', 'figure': true, 'of': 'own'},
+    {'spot': 7, 'article': '1', 'figure': true, 'of': 'own'}, {'spot': 8, 'article': '7', 'figure': false, 'of': 'regulated'}]) AS m FROM r1),
+r3 AS (SELECT id, doc_key AS home, own, m.spot AS spot, m.article AS article, m.figure AS figure, CASE WHEN m.of = 'own' THEN doc_key ELSE coalesce(regulates, doc_key) END AS doc_key
+  FROM r2 WHERE m.of IN ('own', 'law') OR (m.of = 'numbered' AND regulates IS NOT NULL AND numbered) OR (m.of = 'regulated' AND regulates IS NOT NULL)),
+r4 AS (SELECT id, doc_key, article, bool_or(figure) AS figure, min(spot) AS spot FROM r3 WHERE NOT (doc_key = home AND own IS NOT DISTINCT FROM article) GROUP BY ALL),
+r AS (SELECT id, doc_key, article, figure, CAST(row_number() OVER (PARTITION BY id ORDER BY spot) AS INTEGER) AS pos FROM r4)"""
 _CROSS = f"""WITH {_P}, {_REF}, w AS (SELECT p.query_id, r.doc_key, r.article, bool_or(r.figure) AS figure, min((p.rank, r.pos)) AS place FROM p JOIN r USING (id) WHERE p.rank <= 8
         AND NOT EXISTS (FROM p h WHERE h.query_id = p.query_id AND h.rank <= 8 AND h.doc_key = r.doc_key AND h.article = r.article) GROUP BY ALL),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY figure DESC, place, article) AS n FROM w),
@@ -111,7 +122,7 @@ _CROSS = f"""WITH {_P}, {_REF}, w AS (SELECT p.query_id, r.doc_key, r.article, b
 _DERIVED = f"""WITH {_P}, q AS (SELECT DISTINCT query_id FROM p), a AS (SELECT q.query_id, g.*, EXISTS (FROM p WHERE p.query_id = q.query_id AND p.doc_key = g.doc_key AND rank <= 8) AS held,
         (SELECT arg_min(id, rank) FROM p WHERE p.query_id = q.query_id AND p.doc_key = g.doc_key) AS id FROM q, g),
     b AS (SELECT *, bool_or(held) OVER (PARTITION BY query_id, kin) AS reached, bool_and(held OR id IS NOT NULL) OVER (PARTITION BY query_id, figure) AS whole FROM a)
-    SELECT query_id, id, CAST(min(figure * 1000 + input) AS INTEGER) AS pos FROM b WHERE reached AND whole AND NOT held GROUP BY query_id, id"""
+    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS INTEGER) AS pos FROM (SELECT query_id, id, min((figure, input)) AS spot FROM b WHERE reached AND whole AND NOT held GROUP BY query_id, id)"""
 _SERIES = f"""WITH {_P}, s AS (SELECT query_id, bool_or(rank <= 8 AND id % 11 = 0) AS t, bool_or(rank <= 8 AND doc_key = '{SERIES}') AS s, arg_min(id, rank) FILTER (doc_key = '{SERIES}' AND id % 4 > 0) AS pooled FROM p GROUP BY query_id HAVING bool_or(rank <= 8)),
     n AS (SELECT arg_max(id, (id % 50, -id)) AS newest FROM p WHERE doc_key = '{SERIES}' AND id % 4 > 0),
     o AS (SELECT *, CASE WHEN NOT t THEN 'not_triggered' WHEN s THEN 'already_in_set' WHEN coalesce(pooled, newest) IS NULL THEN 'missing' ELSE 'appended' END AS outcome FROM s, n)

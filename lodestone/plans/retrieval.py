@@ -160,6 +160,28 @@ def weak_flag(spark: SparkSession, d: str) -> DataFrame:
     return fusion.weak_queries(_questions(spark, d).select("query_id", (F.col("query_id") % 3 == 0).alias("degraded")), fused)
 
 
+def degraded_search(spark: SparkSession, d: str, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fused, weak) of questions (query_id, text), every third of which is degraded, that is without its vector leg."""
+    v, l = vector_leg_top50(spark, d).where("query_id % 3 <> 0"), lexical.lexical_leg(*_parsed_and_posted(spark, d, questions))
+    fused = materialize(fusion.fuse_legs({"vector": v, "lexical": l.withColumn("weight", F.col("coverage")), "vector_expansion": v.where("false")}))
+    return fused, fusion.weak_queries(questions.select("query_id", (F.col("query_id") % 3 == 0).alias("degraded")), fused)
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """Each second question's first two words stand between question words; the others are four rare words, one of them a question word where it is typed."""
+    words = F.split("text", r"\s+")
+    typed = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("¿Qué es "), F.array_join(F.slice(words, 1, 2), " "), F.lit(" y cuándo?"))).otherwise(F.concat(F.lit("Como "), F.array_join(F.slice(words, 1, 1), " ")))
+    return _questions(spark, d).select("query_id", typed.alias("text"))
+
+
+def retry_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Questions are searched without their question words; where that is weak they are searched again as typed, and the second result counts if it isn't weak."""
+    typed = _typed(spark, d)
+    first, weak = degraded_search(spark, d, typed.select("query_id", strip_question_words(F.col("text")).alias("text")))
+    again, still_weak = degraded_search(spark, d, typed.join(weak.where("is_weak"), "query_id", "left_semi"))
+    return fusion.retry_as_typed(first.select("query_id", "pos", "id"), weak, again.select("query_id", "pos", "id"), still_weak)
+
+
 def question_word_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", strip_question_words(F.col("text")).alias("text"))
 
@@ -217,7 +239,7 @@ def knn_hit_at_8(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.bool_or(hit & (F.col("rank") <= 8)).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
-QUERIES = {f.__name__: f for f in (vector_leg_top50, ann_leg_top50, ann_recall, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, signed_query_matches, strict_sentences, stemmed_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
+QUERIES = {f.__name__: f for f in (vector_leg_top50, ann_leg_top50, ann_recall, step_vector_leg, lexical_leg_strict_or, step_lexical_leg, signed_query_matches, strict_sentences, stemmed_leg, phrase_match, rrf_two_legs, rrf_six_legs, hydrated_top8, weak_flag, retry_typed, question_word_strip, max_score_fuse, doc_cap, step_pick_merge, pin1_append, slot_displace, k_draw_merge, knn_hit_at_8)}
 
 _V = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS doc_id FROM embeddings),
@@ -283,6 +305,19 @@ picks AS (SELECT query_id, x.id AS id, max(x.score) AS score, min(sentence) AS s
 cut AS (SELECT query_id // 3 AS query_id, id, rank AS pos FROM vec WHERE query_id % 3 = 0 AND rank <= 8),
 fresh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sentence, score DESC, id) AS n FROM picks WHERE NOT EXISTS (FROM cut WHERE cut.query_id = picks.query_id AND cut.id = picks.id) QUALIFY n <= 2)"""
 
+def _retry_sql() -> str:
+    """Both searches of every question; the stripped form is what the made question leaves without its question words."""
+    made = lambda even, odd: rf"SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN {even} ELSE {odd} END AS text FROM (SELECT item_id, string_split_regex(text, '\s+') AS w FROM benchmark)"
+    two, one = "array_to_string(w[1:2], ' ')", "w[1]"
+    legs = _fused([("vector", "vw", "1.0"), ("lexical", "lex", "coverage")], 40)
+    search = lambda q: f"""(WITH {_lexical(q)}, vw AS (SELECT * FROM vec WHERE query_id % 3 <> 0), {legs},
+    g AS (SELECT query_id, bool_or(vector_rank IS NOT NULL AND lexical_rank IS NOT NULL) AS c, bool_or(lexical_rank IS NOT NULL) AS l FROM fused GROUP BY query_id)
+    SELECT b.item_id AS query_id, f.pos, f.id, NOT coalesce(CASE WHEN b.item_id % 3 = 0 THEN g.l ELSE g.c END, false) AS is_weak FROM benchmark b LEFT JOIN fused f ON f.query_id = b.item_id LEFT JOIN g ON g.query_id = b.item_id)"""
+    return f"""WITH {_V}, f AS MATERIALIZED {search(made(f"'¿ es ' || {two} || ' y ?'", one))}, t AS MATERIALIZED {search(made(f"'¿Qué es ' || {two} || ' y cuándo?'", f"'Como ' || {one}"))},
+r AS (SELECT DISTINCT query_id FROM f WHERE is_weak AND query_id IN (SELECT query_id FROM t WHERE NOT is_weak))
+SELECT query_id, pos, id, false AS retried FROM f WHERE id IS NOT NULL AND query_id NOT IN (FROM r) UNION ALL SELECT query_id, pos, id, true FROM t WHERE id IS NOT NULL AND query_id IN (FROM r)"""
+
+
 ORACLE = {
     "vector_leg_top50": f"WITH {_V} SELECT * FROM vec",
     "step_vector_leg": f"WITH {_V}, {_SV} SELECT * FROM sv",
@@ -300,6 +335,7 @@ round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.
     "weak_flag": f"""WITH {_V}, {_L}, vw AS (SELECT * FROM vec WHERE query_id % 3 <> 0), {_fused([('vector', 'vw', '1.0'), ('lexical', 'lex', 'coverage')], 40)},
 f AS (SELECT query_id, bool_or(vector_rank IS NOT NULL AND lexical_rank IS NOT NULL) AS c, bool_or(lexical_rank IS NOT NULL) AS l FROM fused GROUP BY query_id)
 SELECT item_id AS query_id, NOT coalesce(CASE WHEN item_id % 3 = 0 THEN l ELSE c END, false) AS is_weak FROM benchmark LEFT JOIN f ON query_id = item_id""",
+    "retry_typed": _retry_sql(),
     "question_word_strip": rf"""SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'),
 lambda w: lower(translate(w, '{MARKED}', '{PLAIN}')) NOT IN ({", ".join(f"'{w}'" for w in QUESTION_WORDS)})), ''), '\s+', ' ', 'g')) AS text FROM documents""",
     "max_score_fuse": """WITH v AS (SELECT vec_id // 10 AS query_id, CAST(vec_id % 10 AS INTEGER) AS index, embedding::DOUBLE[] AS e FROM embeddings),
