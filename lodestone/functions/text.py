@@ -84,6 +84,57 @@ def unclosed_markers(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)(?=\s|[:;—–-]|[.,](?!\d)|$)"), F.lit(1)), _number)
 
 
+def renumber_markers(text: Column, ordinals: Column, streaming: bool = False) -> Column:
+    """Markers ``[n]`` as ``[ordinals[n - 1]]``: a run of markers says each ordinal once, and the blanks before it go.
+
+    A marker without an ordinal (none, null or 0) is deleted. With ``streaming`` a marker that is still being written
+    at the text's end is hidden.
+    """
+    run = r"[ \t]*(?:\[\d+\])+"
+
+    def written(found: Column) -> Column:
+        kept = F.array_distinct(F.filter(F.transform(markers(found), lambda n: F.when(n > 0, F.get(ordinals, n - 1))), lambda k: k > 0))
+        return F.array_join(F.transform(kept, lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("]"))), "")
+
+    between, runs = F.split(text, run, -1), F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), written)
+    out = F.array_join(F.zip_with(between, runs, lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), "")
+    return F.regexp_replace(out, r"[ \t]*\[\d*\z", "") if streaming else out
+
+
+def drop_unbacked_markers(text: Column, sources: Column) -> Column:
+    """A numbered answer without the markers beyond its ``sources``."""
+    return renumber_markers(text, F.when(sources > 0, F.sequence(F.lit(1), sources)).otherwise(F.array().cast("array<int>")))
+
+
+def first_json_object(text: Column) -> Column:
+    """From the first brace to the one that closes it; braces within strings, and escaped quotes, don't count. Null without a whole object."""
+    begin = F.instr(text, "{")
+    body = F.substring(text, begin, F.length(text))
+    state = F.struct(*(F.lit(v).alias(n) for n, v in (("depth", 0), ("quoted", False), ("escaped", False), ("at", 0), ("end", 0))))
+
+    def step(s: Column, c: Column) -> Column:
+        quote, inside = (c == '"') & ~s["escaped"], s["quoted"] & ~s["escaped"]
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        at = s["at"] + 1
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (inside & (c == "\\")).alias("escaped"),
+            at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"),
+        )
+
+    end = F.aggregate(F.split(body, ""), state, step, lambda s: s["end"])
+    return F.when((begin > 0) & (end > 0), F.substring(body, F.lit(1), end))
+
+
+def judge_verdict(reply: Column) -> Column:
+    """struct<verdict, reason, error> of a reply with a JSON verdict ``pass`` or ``fail``; else why there is none. A reason that is no string is empty."""
+    found = first_json_object(reply)
+    parsed = F.try_parse_json(found)
+    field = lambda name: F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
+    ok = F.coalesce(field("verdict").isin("pass", "fail"), F.lit(False))
+    error = F.when(found.isNull(), "no_object").when(parsed.isNull(), "malformed").when(~ok, "bad_verdict")
+    return F.struct(F.when(ok, field("verdict")).alias("verdict"), F.when(ok, F.coalesce(field("reason"), F.lit(""))).alias("reason"), error.alias("error"))
+
+
 def clamp(text: Column, limit: int) -> Column:
     """At most ``limit`` characters: cut at the last space past the half, or hard, and an ellipsis."""
     cut = F.substring(text, 1, limit)

@@ -57,6 +57,26 @@ def answer_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.markers(text).cast("array<string>"), ",").alias("closed"), F.array_join(T.unclosed_markers(text).cast("array<string>"), ",").alias("unclosed"))
 
 
+def renumbered_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with runs of markers, rewritten to the ordinals of three of five sources, and with those beyond two dropped."""
+    n = F.col("turn").cast("string")
+    text = F.concat(F.lit("x  [1][3] [2]"), "text", F.lit(" \t[5][4][1], [9][0] y["), n, F.lit("] [2"))
+    ordinals = F.array(*map(F.lit, (2, 1, 2, 0, 3)))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.renumber_markers(text, ordinals).alias("whole"), T.renumber_markers(text, ordinals, streaming=True).alias("shown"), T.drop_unbacked_markers(text, F.lit(2)).alias("backed"))
+    return rows.select("conv_id", "turn", *(F.md5(c).alias(c) for c in ("whole", "shown", "backed")))
+
+
+_REPLY = r"""CASE turn % 6 WHEN 0 THEN concat('Sure: {"verdict":"pass","reason":"a } in {a string} \\" quoted"} then {x} ', text) WHEN 1 THEN 'nothing { here' WHEN 2 THEN concat('{"verdict": "fail", "reason": {"a": 1}}', text)
+  WHEN 3 THEN concat('{"verdict": "maybe"} {"verdict": "pass"} ', text) WHEN 4 THEN '{"verdict": "pass", }' ELSE concat('json {"verdict":"fail","nested":{"b":{}},"reason":"x"}}', text) END"""
+
+
+def json_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of replies with prose around, braces in strings, several objects and broken ones."""
+    reply = F.expr(_REPLY)
+    rows = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.first_json_object(reply).alias("object"), T.judge_verdict(reply).alias("v"))
+    return rows.select("conv_id", "turn", "object", "v.verdict", "v.reason", "v.error")
+
+
 def figure_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Amounts and percentages of a sentence, each once, and those that its source doesn't have."""
     price, k = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey")
@@ -222,7 +242,7 @@ def reading_accounting(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 
-QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, target_places, case_selection, citation_dedupe, reading_accounting)}
+QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, renumbered_answers, json_verdicts, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, target_places, case_selection, citation_dedupe, reading_accounting)}
 
 _FOLDED = rf"trim(regexp_replace(lower(translate(label, '{T.MARKED}', '{T.PLAIN}')), '\s+', ' ', 'g'))"
 _KEY = r"'^articulo (\d+) ?(?:\.?[°º])?(?: (bis|ter|quater|quinquies))?$'"
@@ -277,4 +297,12 @@ SELECT case_id, bool_or(pos IS NOT NULL) AS hit, bool_and(pos IS NOT NULL) AS al
 SELECT query_id, pos, doc_id, label, first_value(score) OVER (PARTITION BY query_id ORDER BY pos) AS top_score FROM n WHERE n = 1""",
     "reading_accounting": """WITH a AS (SELECT item_id AS query_id, unnest([0, 1, 2]) AS reading FROM benchmark), n AS (SELECT *, query_id * 3 + reading AS n FROM a)
 SELECT query_id, count(*) AS asked, count(*) FILTER (n % 5 > 1) AS returned, coalesce(string_agg(CASE n % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'timeout' ELSE 'unreadable' END, ',' ORDER BY reading) FILTER (n % 5 <= 1), '') AS dropped FROM n GROUP BY query_id""",
+    "renumbered_answers": r"""WITH t AS (SELECT conv_id, turn, text AS x, '' || turn AS n FROM conversations),
+w AS (SELECT conv_id, turn, 'x[2]' AS a, '[1]' || x AS b, '[3][2], y' || CASE n WHEN '1' THEN '[2]' WHEN '2' THEN '[1]' WHEN '3' THEN '[2]' WHEN '5' THEN '[3]' ELSE '' END AS c,
+   'x[1]' || '[2]' || x || '[1], y' || CASE WHEN n IN ('1', '2') THEN '[' || n || ']' ELSE '' END || ' [2' AS backed FROM t)
+SELECT conv_id, turn, md5(a || b || c || ' [2') AS whole, md5(a || b || c) AS shown, md5(backed) AS backed FROM w""",
+    "json_verdicts": r"""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '{"verdict":"pass","reason":"a } in {a string} \" quoted"}' WHEN 2 THEN '{"verdict": "fail", "reason": {"a": 1}}' WHEN 3 THEN '{"verdict": "maybe"}'
+  WHEN 4 THEN '{"verdict": "pass", }' WHEN 5 THEN '{"verdict":"fail","nested":{"b":{}},"reason":"x"}' END AS object,
+  CASE turn % 6 WHEN 0 THEN 'pass' WHEN 2 THEN 'fail' WHEN 5 THEN 'fail' END AS verdict, CASE turn % 6 WHEN 0 THEN 'a } in {a string} " quoted' WHEN 2 THEN '' WHEN 5 THEN 'x' END AS reason,
+  CASE turn % 6 WHEN 1 THEN 'no_object' WHEN 3 THEN 'bad_verdict' WHEN 4 THEN 'malformed' END AS error FROM conversations WHERE text IS NOT NULL""",
 }

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +27,41 @@ def test_latency_classes(spark, seconds, want):
 def test_sentences_keep_their_digits_at_any_place(spark):
     row = spark.sql("SELECT '0 días. 1 mes y 1.  2 años o 2' AS t").select(T.sentences(F.col("t")).alias("s")).first()
     assert row.s == ["0 días.", "1 mes y 1.", "2 años o 2"]
+
+
+def test_renumber_markers(spark):
+    cases = {"a [1][2]": "a[2][1]", "a  [1] [3] b": "a[2][2] b", "[4] x": " x", "x [9]": "x", "x [0].": "x.", "[1][1][3][2]": "[2][1]", "no": "no", "": "", "a\n[1]": "a\n[2]", "[12x] [1": "[12x] [1"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.renumber_markers(F.col("t"), F.array(*map(F.lit, (2, 1, 2, 0)))).alias("out"))
+    assert {r.t: r.out for r in df.collect()} == cases
+    row = spark.range(1).select(T.renumber_markers(F.lit("a [1] b [1"), F.array(F.lit(1)), streaming=True).alias("s"), T.drop_unbacked_markers(F.lit("a [1][2] [3]"), F.lit(2)).alias("d"), T.drop_unbacked_markers(F.lit("a [1]"), F.lit(0)).alias("z"), T.renumber_markers(F.lit(None).cast("string"), F.array(F.lit(1))).alias("n")).first()
+    assert tuple(row) == ("a[1] b", "a[1][2]", "a", None)
+
+
+def test_first_json_object(spark):
+    def plain(t):
+        at, depth, quoted, skip = t.find("{"), 0, False, False
+        for k in range(max(at, 0), len(t) if at >= 0 else 0):
+            c = t[k]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return t[at : k + 1]
+        return None
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice('{}"\\ax') for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["", "}{", '{"a": "}"}', '{"a": "\\\\"} }']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.first_json_object(F.col("t")).alias("o"))
+    for r in df.collect():
+        assert r.o == plain(r.t), r.t
+
+
+def test_judge_verdict(spark):
+    cases = {'{"verdict": "pass", "reason": "ok"}': ("pass", "ok", None), '{"verdict": "fail", "reason": 3}': ("fail", "", None), '{"verdict": "fail"}': ("fail", "", None), '{"verdict": true}': (None, None, "bad_verdict"), "{verdict}": (None, None, "malformed"), "pass": (None, None, "no_object"), '{"verdict": ["pass"]}': (None, None, "bad_verdict")}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.judge_verdict(F.col("t")).alias("v"))
+    assert {r.t: tuple(r.v) for r in df.collect()} == cases
