@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, answers, chunking, content, evaluation, pins, retrieval, telemetry
+from lodestone.plans import analytics, answers, chunking, content, evaluation, pins, repair, retrieval, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, analytics, content, answers, evaluation, telemetry, pins, chunking]
+MODULES = [retrieval, analytics, content, answers, evaluation, telemetry, pins, chunking, repair]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
