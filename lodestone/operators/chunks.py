@@ -28,15 +28,20 @@ def article_label(p: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(p, x, 1), F.lit("")) for x in (ARTICLE, TRANSITORY)))
 
 
+def caption_shaped(caption: Column) -> Column:
+    """A short line that begins with a capital and doesn't break off."""
+    words = F.size(F.split(caption, r"\s+"))
+    fits = F.when(caption.rlike("[a-záéíóúñü]"), (words <= CAPTION_WORDS) & ~caption.rlike(DANGLING)).otherwise(words <= CAPITAL_CAPTION_WORDS)
+    return caption.rlike("^[A-ZÁÉÍÓÚÑÜ]") & fits
+
+
 def heading_level(p: Column) -> Column:
     """0 for a title, 1 for a chapter, 2 for a section, null for what is no heading line.
 
     Behind word and ordinal stands nothing or a caption: a short line that begins with a capital and doesn't break off.
     """
     caption = F.trim(F.regexp_extract(p, HEADING, 2))
-    words = F.size(F.split(caption, r"\s+"))
-    fits = F.when(caption.rlike("[a-záéíóúñü]"), (words <= CAPTION_WORDS) & ~caption.rlike(DANGLING)).otherwise(words <= CAPITAL_CAPTION_WORDS)
-    sound = p.rlike(HEADING) & ((caption == "") | (caption.rlike("^[A-ZÁÉÍÓÚÑÜ]") & fits))
+    sound = p.rlike(HEADING) & ((caption == "") | caption_shaped(caption))
     return F.when(sound, F.instr(F.lit("".join(LEVELS)), F.upper(F.substring(p, 1, 1))) - 1)
 
 
