@@ -6,12 +6,15 @@ the star schema for generic joins.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.text import PART_STEP, PART_WORDS, sub_parts
-from lodestone.session import table
+from lodestone.session import shared_dir, table
+from lodestone.sources import versions
 
 #: A day's asks of a subject, and how many times as many its umbrella may make.
 DAY_LIMIT, UMBRELLA_TIMES = 3, 3
@@ -155,6 +158,20 @@ def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
     return old.join(new, "doc_id", "left_anti").unionByName(new)
 
 
+def committed_replacement(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after four runs: all sources, one source's replaced, one that was killed before its commit, and one source retired."""
+    path, schema = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}", "doc_key string, doc_id long, n long"
+    rows = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("doc_key"), "doc_id", F.col("n_chars").cast("long").alias("n"))
+    keys = rows.select("doc_key").distinct()
+    versions.replace_documents(rows, keys, path, "first")
+    second = rows.where("doc_key = 'src1' AND doc_id % 2 = 0").withColumn("n", F.col("n") + 1)
+    versions.replace_documents(second, keys.where("doc_key = 'src1'"), path, "second")
+    versions.write_run(rows.withColumn("n", F.lit(0).cast("long")), path, "killed")
+    versions.replace_documents(rows.where("false"), keys.where("doc_key = 'src3'").withColumn("retired", F.lit(True)), path, "last")
+    versions.replace_documents(rows.where("false"), keys, path, "second")  # was committed before
+    return versions.current_rows(spark, path, schema)
+
+
 def retire_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents marked toxic go."""
     gone = table(spark, d, "labels").where("toxic = 1").select("doc_id")
@@ -177,7 +194,7 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_name", F.round(F.coalesce("r", F.lit(0.0)), 0).alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (subsplit_1000_900, body_dedupe_rank, long_words, bigram_counts, fold_text, last3_turns_bounded, census_groups, satisfiability, majority_vote, exposure_tally, medians_three_ways, latency_bucket, rollup_30m, local_days, quota_day_window, quota_umbrella, outcome_counts, jaccard_stability, upsert_documents, retire_documents, distinct_on_order, revenue_by_nation)}
+QUERIES = {f.__name__: f for f in (subsplit_1000_900, body_dedupe_rank, long_words, bigram_counts, fold_text, last3_turns_bounded, census_groups, satisfiability, majority_vote, exposure_tally, medians_three_ways, latency_bucket, rollup_30m, local_days, quota_day_window, quota_umbrella, outcome_counts, jaccard_stability, upsert_documents, committed_replacement, retire_documents, distinct_on_order, revenue_by_nation)}
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _CLAMP = lambda n: f"CASE WHEN length(text) <= {n} THEN text ELSE concat(rtrim(CASE WHEN position(' ' IN left(text, {n})) > 0 AND {n} - position(' ' IN reverse(left(text, {n}))) + 1 > {n // 2} THEN left(text, {n} - position(' ' IN reverse(left(text, {n})))) ELSE left(text, {n}) END), '…') END"
@@ -206,6 +223,7 @@ SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(len(w[part * {PART_STEP} + 1
     "outcome_counts": "SELECT count(*) AS asks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0) AS even, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events",
     "jaccard_stability": "WITH s AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events WHERE user_id IS NOT NULL GROUP BY user_id) SELECT a.user_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON b.user_id = a.user_id + 1",
     "upsert_documents": "SELECT doc_id, CASE WHEN lang = 'de' THEN 'xx' ELSE lang END AS lang, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
+    "committed_replacement": "SELECT source AS doc_key, doc_id, CASE WHEN source = 'src1' THEN n_chars + 1 ELSE n_chars END AS n FROM documents WHERE source IS NOT NULL AND source <> 'src3' AND (source <> 'src1' OR doc_id % 2 = 0)",
     "retire_documents": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)",
     "distinct_on_order": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
     "revenue_by_nation": "WITH r AS (SELECT c_nationkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) SELECT n_name, round(coalesce(r, 0), 0) AS revenue FROM nation LEFT JOIN r ON n_nationkey = c_nationkey",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import evaluation as measures
 from lodestone.operators import pins as operators_pins
 from lodestone.operators import search
 from lodestone.plans import answers, pins, retrieval
@@ -26,9 +27,7 @@ def requirement_delta(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "benchmark").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run"), n.alias("case_id"), (n % 5 + 1).alias("declared"))
     misses = F.when(F.col("run") == "a", F.col("case_id") % 4).otherwise(F.col("case_id") % 7)
     runs = runs.withColumn("misses", F.when((F.col("case_id") % 9 == 0) & (F.col("run") == "b"), None).otherwise(misses))
-    sums = runs.where("misses IS NOT NULL").groupBy("run").agg(F.sum(F.greatest(F.lit(0), F.col("declared") - F.col("misses"))).alias("stated"), F.sum("declared").alias("total"))
-    share = F.round(F.col("stated") / F.col("total"), 6)
-    return sums.withColumn("coverage", share).withColumn("delta", F.round(share - F.max(F.when(F.col("run") == "a", share)).over(Window.partitionBy()), 6))
+    return measures.requirement_coverage(runs, "a")
 
 
 def central_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -36,19 +35,15 @@ def central_coverage(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("item_id")
     cases = table(spark, d, "benchmark").select(n.alias("case_id"), F.when(n % 2 == 0, F.concat(F.lit("claim "), (n % 6).cast("string"))).alias("central"),
         F.array(F.concat(F.lit("claim "), (n % 4).cast("string"))).alias("missing"), F.array(F.concat(F.lit("claim "), (n % 3).cast("string"), F.lit(" (x: absent)"))).alias("literals"))
-    missed = F.array_contains("missing", F.col("central")) | F.exists("literals", lambda x: F.startswith(x, F.concat("central", F.lit(" ("))))
-    named = F.concat("missing", F.transform("literals", lambda x: F.regexp_replace(x, r" \([^()]*: (?:absent|present but uncited)\)$", "")))
-    stale = F.filter(named, lambda x: ~x.isin("claim 0", "claim 1", "claim 2"))
-    rows = cases.where("central IS NOT NULL").select("case_id", missed.alias("missed"), F.size(stale).alias("stale"))
-    return rows.agg(F.count_if(~F.col("missed")).alias("stated"), F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("missed"), F.col("case_id")))), ",").alias("missed"), F.sum("stale").alias("stale_misses"))
+    declared = spark.createDataFrame([(f"claim {k}",) for k in range(3)], "claim string")
+    return measures.central_misses(cases, declared)
 
 
 def gate_floors(spark: SparkSession, d: str) -> DataFrame:
     """Each gate's floor (baseline less margin) and whether the run's figure holds it."""
     rows = table(spark, d, "benchmark").agg(F.count_if(F.col("item_id") % 10 > 0).alias("tier_1"), F.round(F.count_if(F.col("item_id") % 6 > 0) / F.count("*"), 6).alias("tier_2"), F.lit(69).alias("groundedness"), F.lit(24).alias("robustness"))
-    found = rows.select(F.explode(F.create_map(*(x for g in GATES for x in (F.lit(g), F.col(g).cast("double"))))).alias("gate", "value"))
-    floors = spark.createDataFrame([(g, b - m) for g, (b, m) in GATES.items()], "gate string, floor double")
-    return found.join(floors, "gate").select("gate", "value", "floor", (F.col("value") >= F.col("floor")).alias("passed"))
+    figures = rows.select(F.explode(F.create_map(*(x for g in GATES for x in (F.lit(g), F.col(g).cast("double"))))).alias("gate", "value"))
+    return measures.gates(figures, spark.createDataFrame([(g, b, m) for g, (b, m) in GATES.items()], "gate string, baseline double, margin double"))
 
 
 def _draws(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +70,8 @@ def draw_subsets(spark: SparkSession, d: str) -> DataFrame:
 
 def cause_classes(spark: SparkSession, d: str) -> DataFrame:
     """Why a requirement is missed: a part's cause is 1 (not in the corpus), 2 (not found) or 3 (not said), the requirement's the least of its parts'."""
-    cause = F.when(F.col("event_type") == "error", 1).when(F.col("value") < 50, 2).otherwise(3)
-    by = table(spark, d, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.min(cause).alias("cause"), (F.countDistinct(cause) > 1).alias("split"))
-    return by.groupBy("cause").agg(F.count("*").alias("requirements"), F.count_if("split").alias("split"))
+    parts = table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("requirement"), F.coalesce(F.col("event_type") != "error", F.lit(True)).alias("in_corpus"), F.coalesce(F.col("value") >= 50, F.lit(True)).alias("found"))
+    return measures.requirement_causes(parts).groupBy("cause").agg(F.count("*").alias("requirements"), F.count_if("split").alias("split"))
 
 
 def cross_reference_census(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +87,7 @@ def answer_set_bars(spark: SparkSession, d: str) -> DataFrame:
     """Four bars that a new answer set must clear against the old: mean share + 0.1, same picks, hits, and at most two rows more."""
     n = F.col("item_id")
     rows = table(spark, d, "benchmark").select((n % 10 / 10).alias("old"), (n % 8 / 7).alias("new"), (n % 20 > 0).alias("same"), (n % 17 > 0).alias("hit"), (n % 3).alias("more"))
-    sums = rows.agg(F.round(F.avg("new") - F.avg("old"), 6).alias("gain"), F.round(F.avg(F.col("same").cast("int")), 6).alias("same"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit"), F.max("more").alias("more"))
-    return sums.withColumns({"r1": F.col("gain") >= 0.1, "r2": F.col("same") >= 0.9, "r3": F.col("hit") >= 0.94, "r4": F.col("more") <= 2})
+    return measures.answer_set_bars(rows)
 
 
 def event_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +181,7 @@ ORACLE = {
 s AS (SELECT run, CAST(sum(greatest(0, n % 5 + 1 - misses)) AS BIGINT) AS stated, CAST(sum(n % 5 + 1) AS BIGINT) AS total FROM r GROUP BY run)
 SELECT run, stated, total, round(stated / total, 6) AS coverage, round(round(stated / total, 6) - (SELECT round(stated / total, 6) FROM s WHERE run = 'a'), 6) AS delta FROM s""",
     "central_coverage": """WITH m AS (SELECT item_id AS n, item_id % 6 = item_id % 4 OR item_id % 6 = item_id % 3 AS missed, CAST(item_id % 4 > 2 AS INTEGER) AS stale FROM benchmark WHERE item_id % 2 = 0)
-SELECT count(*) FILTER (NOT missed) AS stated, count(*) AS total, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (missed), '') AS missed, CAST(sum(stale) AS BIGINT) AS stale_misses FROM m""",
+SELECT n AS case_id, missed, CAST(stale AS BIGINT) AS stale FROM m""",
     "gate_floors": """WITH v AS (SELECT count(*) FILTER (item_id % 10 > 0) AS t1, round(count(*) FILTER (item_id % 6 > 0) / count(*), 6) AS t2 FROM benchmark),
 g AS (SELECT 'groundedness' AS gate, 69.0::DOUBLE AS value, 73.0::DOUBLE - 4 AS floor FROM v UNION ALL SELECT 'tier_1', t1, 92.0::DOUBLE - 4 FROM v UNION ALL SELECT 'tier_2', t2, 0.84::DOUBLE FROM v UNION ALL SELECT 'robustness', 24, 27.0::DOUBLE - 2 FROM v)
 SELECT gate, value, floor, value >= floor AS passed FROM g""",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import evaluation as measures
 from lodestone.plans.analytics import bucket
 from lodestone.session import shared_dir, table
 from lodestone.sources import jsonl
@@ -65,16 +66,16 @@ def subject_digests(spark: SparkSession, d: str) -> DataFrame:
 def stage_timers(spark: SparkSession, d: str) -> DataFrame:
     """Time of each stage of an ask summed over its retries, then classed; a stage that never ran is null."""
     names = ["search", "rerank", "write"]
-    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 5).alias("ask_id"), F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 3).cast("int")).alias("stage"), F.greatest(F.lit(0.0), F.col("value") / 10).alias("seconds")).where("seconds > 2")
-    sums = rows.groupBy("ask_id", "stage").agg(F.sum("seconds").alias("seconds"))
-    return sums.groupBy("ask_id").pivot("stage", names).agg(F.first(bucket(F.round("seconds", 6))))
+    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 5).alias("ask_id"), F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 3).cast("int")).alias("stage"), F.greatest(F.lit(0.0), F.col("value") / 10).alias("seconds"))
+    sums = measures.stage_sums(rows, names)
+    return sums.select("ask_id", *(F.when(F.col(n).isNotNull(), bucket(F.col(n))).alias(n) for n in names))
 
 
 def ask_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes by precedence: failed (charged or given back), degraded unless the reader left, answered, declined."""
     e = F.col("event_id")
     facts = table(spark, d, "events").select("event_type", (F.col("event_type") == "error").alias("failed"), (e % 2 == 0).alias("kept"), (e % 3 == 0).alias("degraded"), F.when(e % 4 == 0, "client").when(e % 4 == 1, "deadline").alias("abort"), (e % 5 > 0).alias("answered"))
-    outcome = F.when(F.col("failed"), F.when(F.col("kept"), "charged_error").otherwise("refunded_error")).when(F.col("degraded") & ~F.col("abort").eqNullSafe("client"), "degraded").when(F.col("answered"), "ok").otherwise("declined")
+    outcome = measures.ask_outcome(*map(F.col, ("failed", "kept", "degraded", "abort", "answered")))
     return facts.groupBy("event_type", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -90,8 +91,7 @@ def rerank_drops(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     cause = F.when(e % 4 == 0, "timeout").when(e % 4 == 1, "network").otherwise("http")
     status = F.when(e % 6 == 2, 429).when(e % 6 == 3, 404 + e % 90).when(e % 9 == 5, 500 + e % 100).when(e % 9 == 7, 302)
-    kind = F.when(cause != "http", cause).when(status == 429, "429").when(status.between(400, 499), "4xx").when(status.between(500, 599), "5xx").otherwise("other_status")
-    return table(spark, d, "events").groupBy(kind.alias("drop")).agg(F.count("*").alias("n"))
+    return table(spark, d, "events").groupBy(measures.drop_class(cause, status).alias("drop")).agg(F.count("*").alias("n"))
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,7 @@ SELECT event_id, user_id // 10 AS "group", day, umbrella_count, umbrella_count <
     "late_refunds": f"WITH {_ASKS}, b AS (SELECT *, lag(day) OVER (PARTITION BY subject ORDER BY ts, event_id) AS ask_day FROM a) SELECT event_id, day, coalesce(ask_day = day, false) AS applies FROM b WHERE refund",
     "subject_digests": f"""WITH {_ASKS}, f AS (SELECT event_id, ['Edge', 'Chrome', 'Safari', 'Firefox', 'Opera', 'Samsung Internet', 'Other'][CAST(event_id % 7 + 1 AS INTEGER)] AS family, day, '10.0.0.' || user_id % 256 AS network FROM a)
 SELECT event_id, family, 'anon:' || sha256({_pad(0x5C)} || from_hex(sha256({_pad(0x36)} || encode(day || '|' || network || '|' || family)))) AS subject FROM f""",
-    "stage_timers": """WITH r AS (SELECT event_id // 5 AS ask_id, event_id % 3 AS stage, sum(value / 10) AS s FROM events WHERE value / 10 > 2 GROUP BY ALL),
+    "stage_timers": """WITH r AS (SELECT event_id // 5 AS ask_id, event_id % 3 AS stage, sum(CASE WHEN value / 10 > 0 THEN value / 10 ELSE 0 END) AS s FROM events GROUP BY ALL),
 b AS (SELECT ask_id, stage, CASE WHEN isinf(s) OR isnan(s) OR round(s, 6) < 1 THEN 'lt_1s' WHEN round(s, 6) < 3 THEN '1s_3s' WHEN round(s, 6) < 10 THEN '3s_10s' WHEN round(s, 6) < 30 THEN '10s_30s' ELSE 'gte_30s' END AS b FROM r)
 SELECT ask_id, max(b) FILTER (stage = 0) AS search, max(b) FILTER (stage = 1) AS rerank, max(b) FILTER (stage = 2) AS write FROM b GROUP BY ask_id""",
     "ask_outcomes": """SELECT event_type, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'charged_error' ELSE 'refunded_error' END WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN 'degraded' WHEN event_id % 5 > 0 THEN 'ok' ELSE 'declined' END AS outcome, count(*) AS n FROM events GROUP BY ALL""",

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources import jsonl as J
 from lodestone.sources import tables as S
+from lodestone.sources import versions as V
 
 
 def test_lines(spark, tmp_path):
@@ -44,3 +45,24 @@ def test_write_only_if_changed(spark, tmp_path):
     rows = lambda n, stamp: spark.createDataFrame([("a", n, stamp), ("b", 1, stamp)], "doc_key string, n long, at string")
     assert S.write_if_changed(rows(1, "x"), path, ("at",)) and not S.write_if_changed(rows(1, "y"), path, ("at",))
     assert S.write_if_changed(rows(2, "y"), path, ("at",)) and spark.read.parquet(path).where("at = 'y'").count() == 2
+
+
+def test_runs_are_seen_from_their_commit_on(spark, tmp_path):
+    path, schema = str(tmp_path / "chunks"), "doc_key string, n long"
+    rows = lambda *xs: spark.createDataFrame(list(xs), schema)
+    docs = lambda *xs: spark.createDataFrame(list(xs), "doc_key string, retired boolean, stamp string")
+    now = lambda: sorted(tuple(r) for r in V.current_rows(spark, path, schema).collect())
+    assert now() == []
+    assert V.replace_documents(rows(("a", 1), ("a", 2), ("b", 3)), docs(("a", False, "t1"), ("b", False, "t1")), path, "one")
+    assert now() == [("a", 1), ("a", 2), ("b", 3)]
+    # killed before its commit: nothing changes, and the same run can be done again
+    V.write_run(rows(("a", 8), ("c", 8)), path, "two")
+    assert now() == [("a", 1), ("a", 2), ("b", 3)]
+    assert V.replace_documents(rows(("a", 9)), docs(("a", False, "t2")), path, "two")
+    assert now() == [("a", 9), ("b", 3)]
+    # a committed run isn't written twice, whatever it brings
+    assert not V.replace_documents(rows(("a", 10)), docs(("a", False, "t3")), path, "two") and now() == [("a", 9), ("b", 3)]
+    # a document without rows, and one that is retired
+    assert V.replace_documents(rows(), docs(("a", False, "t4"), ("b", True, None)), path, "10")
+    assert now() == [] and [tuple(r) for r in V.current_documents(spark, path).collect()] == [("a", "10", "t4")]
+    assert V.replace_documents(rows(("b", 5)), spark.createDataFrame([("b",), ("b",)], "doc_key string"), path, "9") and now() == [("b", 5)]
