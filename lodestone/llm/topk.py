@@ -118,7 +118,8 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = 5, id_col: str = "v
     schema = "query_id long, rank int, vec_id long, score long"
     if not n_queries:
         return vectors.sparkSession.createDataFrame([], schema)
-    spread = max(1, n // BLOCK)
+    # each part of the candidates meets a copy of every block of queries, so there are no more parts than tasks can use
+    spread = max(1, min(n // BLOCK, 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     candidates = _pack(rows.select("c_id", "v"), BLOCK, ["c_id"]).select(F.col("n").alias("c_n"), F.col("vectors").alias("c_vectors"), "c_id", F.pmod(F.xxhash64("c_id"), F.lit(spread)).alias("part"))
     candidates = materialize(candidates)
     # no score lies beyond the sum of a query's components times the largest component of all
