@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -44,16 +45,23 @@ def article_key(label: Column) -> Column:
     return F.when(number != "", F.trim(F.concat(F.regexp_replace(number, r"^0+(?=\d)", ""), F.lit(" "), F.upper(suffix))))
 
 
-def escaped(keyword: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in keyword)
+def _parted(text: str | Column) -> str | Column:
+    """A blank on either side of every sign that is neither a blank nor an ASCII word character, and at both ends."""
+    if isinstance(text, str):
+        return " " + re.sub(r"([^a-zA-Z0-9_ ])", r" \1 ", text) + " "
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"([^a-zA-Z0-9_ ])", " $1 "), F.lit(" "))
+
+
+def keyword_counts(folded: Column, keywords: list[list[str]]) -> Column:
+    """For each list how many of its keywords stand in a folded text between signs that are no ASCII word characters."""
+    lists = [F.array(*(F.lit(_parted(k)) for k in words)) for words in keywords]
+    # the text is parted once, whatever the number of keywords
+    counted = F.transform(F.array(_parted(folded)), lambda t: F.array(*(F.size(F.filter(words, lambda k: F.contains(t, k))) for words in lists)))
+    return F.get(counted, 0)
 
 
 def keyword_hits(folded: Column, keywords: list[str]) -> Column:
-    """How many of the keywords stand in a folded text between signs that are no ASCII word characters."""
-    out = F.lit(0)
-    for k in keywords:
-        out = out + F.coalesce(folded.rlike(rf"(?:^|[^a-zA-Z0-9_]){escaped(k)}(?:[^a-zA-Z0-9_]|$)"), F.lit(False)).cast("int")
-    return out
+    return F.get(keyword_counts(folded, [keywords]), 0)
 
 
 def strip_question_words(text: Column, words: list[str] = QUESTION_WORDS) -> Column:

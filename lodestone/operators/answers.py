@@ -29,7 +29,7 @@ def ordinals(answers: DataFrame, sources: DataFrame, key: list[str], numbers: st
 def classify(folded: Column, classes: dict[str, list[str]], first_wins: bool) -> Column:
     """The class with the most keywords in a folded text; of equals the first, or the last. Null without any hit."""
     names = list(classes) if first_wins else list(reversed(classes))
-    hits = F.array(*(T.keyword_hits(folded, classes[n]) for n in names))
+    hits = T.keyword_counts(folded, [classes[n] for n in names])
     best = F.array_max(hits)
     return F.when(best > 0, F.element_at(F.array(*map(F.lit, names)), F.array_position(hits, best).cast("int")))
 
