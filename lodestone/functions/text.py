@@ -158,14 +158,24 @@ def clean_rewrite(text: Column, limit: int = 1000) -> Column:
     return F.when((line != "") & (F.length(line) <= limit), line)
 
 
+# Beginnings of real words that start with a doubled syllable.
+REDUPLICATED = r"^(?:vivi|sese|dada|rara|caca|queque|coco|papa|mama|nene|bebe|cucu|chacha|titi)"
+ADDRESS = r"https?://\S+|www\.\S+|\S+@\S+|\S+\.(?:cr|com|org|net)\S*"
+
+
 def typo_runs(text: Column) -> Column:
-    """Words with a tripled letter, a doubled first letter (but ll), or a start of 2 to 4 letters said twice.
+    """Words with a tripled letter, a doubled first letter (but ll), or a start of 2 to 4 letters said twice, each once, in order.
 
-    Roman numerals, words in capitals and addresses are left out.
+    Roman numerals, words in capitals, addresses and real words that start like that are left out.
     """
-    words = F.regexp_extract_all(text, F.lit(r"(?<![\w.@/:-])[\p{L}]{3,}(?![\w@/:-]|\.\w)"), F.lit(0))
-    odd = r"(?i)(\p{L})\1\1|^(?!ll)(\p{L})\2|^(\p{L}{2,4})\3"
-    return F.filter(words, lambda w: w.rlike(odd) & ~w.rlike(r"^[IVXLCDM]+$|^\p{Lu}+$"))
+    words = F.regexp_extract_all(F.regexp_replace(text, f"(?i){ADDRESS}", " "), F.lit(r"(\p{L}+)"), F.lit(1))
+
+    def odd(word: Column) -> Column:
+        low = F.lower(word)
+        twice = low.rlike(r"^(\p{L}{2,4})\1\p{L}") & ~low.rlike(REDUPLICATED)
+        return (low.rlike(r"(\p{L})\1\1") | low.rlike(r"^(?!ll)(\p{L})\1") | twice) & ~low.rlike(r"^[ivxlcdm]+$") & ~((F.length(word) > 1) & (word == F.upper(word)))
+
+    return F.array_distinct(F.filter(words, odd))
 
 
 def figures(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import fusion
+from lodestone.operators import fusion, targets
 from lodestone.plans import retrieval
 from lodestone.session import table
 
@@ -77,6 +77,14 @@ def json_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "object", "v.verdict", "v.reason", "v.error")
 
 
+_TYPOS = "concat(text, ' deeeclarar ppagado llano dedeclarar vivienda iii XXX CCSS a@ppago.cr www.sseguro.cr ', CASE WHEN doc_id % 2 = 0 THEN 'eel' ELSE 'papas' END)"
+
+
+def typo_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Words that look like slips of the pen, each once, in order; documents without a text have none."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.typo_runs(F.coalesce(F.expr(_TYPOS), F.lit(""))), ",").alias("runs"))
+
+
 def figure_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Amounts and percentages of a sentence, each once, and those that its source doesn't have."""
     price, k = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey")
@@ -184,30 +192,29 @@ _TARGETS = """t AS (SELECT item_id AS case_id, target, concat('doc-', (item_id *
 _MATCH = "c.doc_key = t.doc_key AND (t.article IS NULL OR lower(c.label) = lower(t.article)) AND (t.path IS NULL OR list_contains([c.lang, c.source], t.path))"
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, target, doc_id): the chunks that a target is satisfied by."""
-    c = _chunks(spark, d).select("doc_id", F.col("doc_key"), F.lower("label").alias("label"), F.array("lang", "source").alias("holds"))
-    same = F.col("article").isNull() | (F.col("label") == F.lower("article"))
-    return _targets(spark, d).join(c, "doc_key").where(same & (F.col("path").isNull() | F.coalesce(F.array_contains("holds", F.col("path")), F.lit(False)))).select("case_id", "target", "doc_id")
+def _holding(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("doc_id", "doc_key", "label", F.array("lang", "source").alias("holds"))
 
 
 def target_census(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks satisfy each target; none makes it unsatisfiable."""
-    found = _matches(spark, d).groupBy("case_id", "target").agg(F.count("*").alias("n"))
-    return _targets(spark, d).join(found, ["case_id", "target"], "left").select("case_id", "target", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("unsatisfiable"))
+    return targets.target_counts(_targets(spark, d), _holding(spark, d))
 
 
 def target_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Satisfied targets of all, their share, and the unsatisfied ones as a sorted list."""
-    name = F.concat(F.lpad(F.col("case_id").cast("string"), 6, "0"), F.lit("/"), F.col("target").cast("string"))
-    rows = target_census(spark, d).agg(F.count_if(~F.col("unsatisfiable")).alias("satisfied"), F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("unsatisfiable"), name))), ",").alias("unsatisfied"))
+    """Satisfied targets of all, and their share."""
+    rows = target_census(spark, d).agg(F.count_if(~F.col("unsatisfiable")).alias("satisfied"), F.count("*").alias("total"))
     return rows.withColumn("ratio", F.round(F.col("satisfied") / F.col("total"), 6))
 
 
+def unsatisfied_targets(spark: SparkSession, d: str) -> DataFrame:
+    return target_census(spark, d).where("unsatisfiable").select("case_id", "target")
+
+
 def target_places(spark: SparkSession, d: str) -> DataFrame:
     """Of each case: whether any and whether every target is in the answer set of eight, the first rank, and where that is."""
-    fused = retrieval.hydrated_top8(spark, d).select(F.col("query_id").alias("case_id"), F.col("id").alias("doc_id"), "pos")
-    held = _targets(spark, d).join(_matches(spark, d).join(fused, ["case_id", "doc_id"]).groupBy("case_id", "target").agg(F.min("pos").alias("pos")), ["case_id", "target"], "left")
+    fused = retrieval.hydrated_top8(spark, d).select(F.col("query_id").alias("case_id"), F.col("id").alias("doc_id"), "pos").join(_holding(spark, d), "doc_id")
+    held = targets.target_places(_targets(spark, d), fused)
     rows = held.groupBy("case_id").agg(F.bool_or(F.col("pos").isNotNull()).alias("hit"), F.bool_and(F.col("pos").isNotNull()).alias("all_reached"), F.min("pos").alias("first_rank"))
     return rows.withColumn("place", F.when(F.col("first_rank") <= 3, "top").when(F.col("first_rank").isNotNull(), "cut").otherwise("missed"))
 
@@ -242,7 +249,7 @@ def reading_accounting(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 
-QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, renumbered_answers, json_verdicts, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, target_places, case_selection, citation_dedupe, reading_accounting)}
+QUERIES = {f.__name__: f for f in (article_keys, text_guard, rewrite_clean, sentence_split, answer_markers, renumbered_answers, json_verdicts, typo_runs, figure_mentions, number_format, long_dates, fiscal_days, dated_facts, account_age, error_classes, citation_projection, prompt_context, label_forms, null_defaults, blank_queries, target_census, target_summary, unsatisfied_targets, target_places, case_selection, citation_dedupe, reading_accounting)}
 
 _FOLDED = rf"trim(regexp_replace(lower(translate(label, '{T.MARKED}', '{T.PLAIN}')), '\s+', ' ', 'g'))"
 _KEY = r"'^articulo (\d+) ?(?:\.?[°º])?(?: (bis|ter|quater|quinquies))?$'"
@@ -289,7 +296,8 @@ SELECT answer_set, md5(string_agg('[' || i || '] ' || body, chr(10) || chr(10) O
     "null_defaults": f"WITH {_CHUNKS}, f AS ({_twin('rrf_two_legs')}) SELECT query_id, id AS \"chunkId\", doc_key AS \"docKey\", label AS articulo, coalesce(nullif(source, 'src0'), '{{}}') AS source, vector_rank AS \"vectorRank\", lexical_rank AS \"lexicalRank\" FROM f JOIN c ON c.doc_id = f.id",
     "blank_queries": f"WITH f AS (SELECT query_id, count(*) AS n FROM ({_twin('lexical_leg_strict_or')}) GROUP BY query_id) SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_found, item_id % 5 = 0 OR n IS NULL AS is_weak FROM benchmark LEFT JOIN f ON query_id = item_id",
     "target_census": f"WITH {_CHUNKS}, {_TARGETS} SELECT case_id, target, count(c.doc_id) AS n, count(c.doc_id) = 0 AS unsatisfiable FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target",
-    "target_summary": f"WITH {_CHUNKS}, {_TARGETS}, n AS (SELECT case_id, target, count(c.doc_id) AS n FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target) SELECT count(*) FILTER (n > 0) AS satisfied, count(*) AS total, coalesce(string_agg(lpad(CAST(case_id AS VARCHAR), 6, '0') || '/' || target, ',' ORDER BY lpad(CAST(case_id AS VARCHAR), 6, '0') || '/' || target) FILTER (n = 0), '') AS unsatisfied, round(count(*) FILTER (n > 0) / count(*), 6) AS ratio FROM n",
+    "target_summary": f"WITH {_CHUNKS}, {_TARGETS}, n AS (SELECT case_id, target, count(c.doc_id) AS n FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target) SELECT count(*) FILTER (n > 0) AS satisfied, count(*) AS total, round(count(*) FILTER (n > 0) / count(*), 6) AS ratio FROM n",
+    "unsatisfied_targets": f"WITH {_CHUNKS}, {_TARGETS} SELECT case_id, target FROM t WHERE NOT EXISTS (FROM c WHERE {_MATCH})",
     "target_places": f"""WITH {_CHUNKS}, {_TARGETS}, f AS ({_twin('hydrated_top8')}), p AS (SELECT case_id, target, min(f.pos) AS pos FROM t LEFT JOIN (c JOIN f ON f.id = c.doc_id) ON f.query_id = t.case_id AND {_MATCH} GROUP BY case_id, target)
 SELECT case_id, bool_or(pos IS NOT NULL) AS hit, bool_and(pos IS NOT NULL) AS all_reached, min(pos) AS first_rank, CASE WHEN min(pos) <= 3 THEN 'top' WHEN min(pos) IS NOT NULL THEN 'cut' ELSE 'missed' END AS place FROM p GROUP BY case_id""",
     "case_selection": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'full', NULL), (2, 'unknown', '99999'), (3, 'skip', '1,3'), (4, 'scoped', '2,4,6')) AS v(lane, mode, ids)",
@@ -305,4 +313,10 @@ SELECT conv_id, turn, md5(a || b || c || ' [2') AS whole, md5(a || b || c) AS sh
   WHEN 4 THEN '{"verdict": "pass", }' WHEN 5 THEN '{"verdict":"fail","nested":{"b":{}},"reason":"x"}' END AS object,
   CASE turn % 6 WHEN 0 THEN 'pass' WHEN 2 THEN 'fail' WHEN 5 THEN 'fail' END AS verdict, CASE turn % 6 WHEN 0 THEN 'a } in {a string} " quoted' WHEN 2 THEN '' WHEN 5 THEN 'x' END AS reason,
   CASE turn % 6 WHEN 1 THEN 'no_object' WHEN 3 THEN 'bad_verdict' WHEN 4 THEN 'malformed' END AS error FROM conversations WHERE text IS NOT NULL""",
+    # RE2 has no back-references: the doubled beginnings are compared letter by letter
+    "typo_runs": rf"""WITH w AS (SELECT doc_id, list_distinct_in_order AS w FROM (SELECT doc_id, {_LIST("ws")} AS list_distinct_in_order FROM (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce({_TYPOS}, ''), '(?i){T.ADDRESS}', ' ', 'g'), '\p{{L}}+') AS ws FROM documents))),
+k AS (SELECT doc_id, list_filter(w, lambda v: NOT regexp_matches(lower(v), '^[ivxlcdm]+$') AND NOT (length(v) > 1 AND v = upper(v)) AND (
+    len(list_filter(range(1, length(v) - 1), lambda i: lower(v)[i] = lower(v)[i + 1] AND lower(v)[i] = lower(v)[i + 2])) > 0 OR (length(v) > 1 AND lower(v)[1] = lower(v)[2] AND lower(v)[1] <> 'l')
+    OR (NOT regexp_matches(lower(v), '{T.REDUPLICATED}') AND len(list_filter([2, 3, 4], lambda n: length(v) > 2 * n AND lower(v)[1:n] = lower(v)[n + 1:2 * n])) > 0))) AS runs FROM w)
+SELECT doc_id, array_to_string(runs, ',') AS runs FROM k""",
 }

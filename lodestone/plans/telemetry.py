@@ -63,6 +63,15 @@ def subject_digests(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "family", F.concat(F.lit("anon:"), quotas.hmac_sha256(SECRET, F.concat_ws("|", "day", "network", "family"))).alias("subject"))
 
 
+_ADDRESS = """CASE event_id % 6 WHEN 0 THEN concat('10.0.', event_id % 256, '.7') WHEN 1 THEN concat('2001:DB8:0:', event_id % 10, '::1') WHEN 2 THEN concat('::ffff:10.1.2.', event_id % 256)
+  WHEN 3 THEN 'fe80::1%eth0' WHEN 4 THEN concat('2001:0db8::', event_id % 10, ':0:0:1') ELSE 'unknown' END"""
+
+
+def quota_networks(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the network that they count against."""
+    return table(spark, d, "events").groupBy(quotas.quota_network(F.expr(_ADDRESS)).alias("network")).agg(F.count("*").alias("n"))
+
+
 def stage_timers(spark: SparkSession, d: str) -> DataFrame:
     """Time of each stage of an ask summed over its retries, then classed; a stage that never ran is null."""
     names = ["search", "rerank", "write"]
@@ -166,7 +175,7 @@ def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.manifest_rows(manifest, ["src1", "src3", "src3"])
 
 
-QUERIES = {f.__name__: f for f in (quota_refunds, quota_remaining, quota_retention, late_refunds, subject_digests, stage_timers, ask_outcomes, first_facts, rerank_drops, delta_markers, marker_stream, quota_stream, stream_verdicts, event_stream_lines, jsonl_round_trip, manifest_scan)}
+QUERIES = {f.__name__: f for f in (quota_refunds, quota_remaining, quota_retention, late_refunds, subject_digests, quota_networks, stage_timers, ask_outcomes, first_facts, rerank_drops, delta_markers, marker_stream, quota_stream, stream_verdicts, event_stream_lines, jsonl_round_trip, manifest_scan)}
 
 _ASKS = "a AS (SELECT CAST(user_id AS VARCHAR) AS subject, user_id, event_id, ts, strftime(ts - INTERVAL 6 HOURS, '%Y-%m-%d') AS day, event_type = 'error' AS refund FROM events WHERE user_id IS NOT NULL)"
 
@@ -209,3 +218,4 @@ o AS (SELECT a.*, row_number() OVER (PARTITION BY subject, day ORDER BY least(2,
 w AS (SELECT subject, day, i, event_id, refund, CAST(CASE WHEN refund THEN 0 ELSE 1 END AS BIGINT) AS count FROM o WHERE i = 1
   UNION ALL SELECT o.subject, o.day, o.i, o.event_id, o.refund, CAST(CASE WHEN o.refund THEN greatest(0, w.count - 1) ELSE w.count + 1 END AS BIGINT) FROM w JOIN o ON o.subject = w.subject AND o.day = w.day AND o.i = w.i + 1)
 SELECT subject, event_id, day, count, CASE WHEN NOT refund THEN count <= {LIMIT} END AS allowed FROM w"""
+ORACLE["quota_networks"] = f"""SELECT CASE event_id % 6 WHEN 1 THEN '2001:db8:0:' || event_id % 10 || '::/64' WHEN 2 THEN '10.1.2.' || event_id % 256 WHEN 3 THEN 'fe80:0:0:0::/64' WHEN 4 THEN '2001:db8:0:0::/64' ELSE {_ADDRESS} END AS network, count(*) AS n FROM events GROUP BY 1"""

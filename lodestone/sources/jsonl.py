@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +20,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, id_col: str = "id")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> str:
-    """Write lines of JSON to a new folder: the path, or the path with the first free numeric suffix."""
-    spark = rows.sparkSession
+    """Write lines of JSON to a new folder: the path, or the path with the first numeric suffix that isn't taken when it is written."""
     target, n = path, 0
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    while hadoop(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop(target)):
+    while True:
+        try:
+            rows.write.mode("errorifexists").json(target)
+            return target
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
         n += 1
         target = f"{path}-{n}"
-    rows.write.json(target)
-    return target
 
 
 def manifest_rows(manifest: DataFrame, allowed: list[str] | None, key: str = "doc_key") -> DataFrame:

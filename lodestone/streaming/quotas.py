@@ -91,6 +91,28 @@ def browser_family(agent: Column) -> Column:
     return F.coalesce(*(F.when(agent.rlike(pattern), name) for pattern, name in signs), F.lit("Other"))
 
 
+def quota_network(address: Column) -> Column:
+    """What an address is counted as: itself for IPv4, the /64 for IPv6 in one spelling, the IPv4 address that is mapped in it; anything else as it is."""
+    bare = F.lower(F.split(address, "%")[0])
+    octets = [F.regexp_extract(bare, r"^.*:(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int") for k in range(1, 5)]
+    dotted = bare.rlike(r":\d{1,3}(?:\.\d{1,3}){3}$")
+    sound = ~dotted | (F.greatest(*octets) <= 255)
+    pair = lambda a, b: F.lower(F.hex(a * 256 + b))
+    text = F.when(dotted, F.concat(F.regexp_replace(bare, r"[\d.]+$", ""), pair(*octets[:2]), F.lit(":"), pair(*octets[2:]))).otherwise(bare)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    short = F.contains(text, F.lit("::"))
+    left, right = groups(F.split(text, "::")[0]), F.when(short, groups(F.get(F.split(text, "::"), 1))).otherwise(F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n))
+    all_groups = F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    one = r"[0-9a-f]{1,4}"
+    is_v6 = sound & F.when(short, text.rlike(rf"^(?:{one}(?::{one})*)?::(?:{one}(?::{one})*)?$") & (n < 8)).otherwise(text.rlike(rf"^{one}(?::{one}){{7}}$"))
+    number = lambda k: F.conv(F.get(all_groups, k), 16, 10).cast("int")
+    mapped = (F.array_join(F.slice(all_groups, 1, 5), "") == "00000") & (F.get(all_groups, 5) == "ffff")
+    v4 = F.concat_ws(".", *(part.cast("string") for k in (6, 7) for part in (F.shiftright(number(k), 8), number(k) % 256)))
+    return F.when(~F.coalesce(is_v6, F.lit(False)), address).when(mapped, v4).otherwise(F.concat(F.array_join(F.slice(all_groups, 1, 4), ":"), F.lit("::/64")))
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """Hexadecimal HMAC-SHA256 of a text; the two padded keys are constants of the plan."""
     import hashlib

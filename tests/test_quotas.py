@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import ipaddress
 import random
 
 from pyspark.sql import functions as F
@@ -64,3 +65,21 @@ def test_digest_and_families(spark):
     row = spark.range(1).select(*(Q.hmac_sha256(k, F.lit("día|10.0.0.1|Edge")).alias(f"h{j}") for j, k in enumerate((b"key", b"x" * 100))), Q.browser_family(F.lit("Chrome/1 Safari/2 Edg/3")).alias("f"), Q.browser_family(F.lit("")).alias("o")).first()
     assert [row.h0, row.h1] == [hmac.new(k, "día|10.0.0.1|Edge".encode(), hashlib.sha256).hexdigest() for k in (b"key", b"x" * 100)]
     assert (row.f, row.o) == ("Edge", "Other")
+
+
+def test_networks(spark):
+    rng = random.Random(5)
+    addresses = ["1.2.3.4", "unknown", "", None, "::", "::1", "fe80::1%eth0", "::ffff:1.2.3.4", "::FFFF:0102:0304", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "::ffff:1.2.3.999", "1:2:3:4:5:6:1.2.3.4", "g::1", "::ffff:0:1.2.3.4", "1::", ":1", "1:"]
+    addresses += [str(ipaddress.IPv6Address(rng.getrandbits(128) & ((1 << rng.choice([16, 64, 128])) - 1))) for _ in range(60)] + [ipaddress.IPv6Address(rng.getrandbits(128)).exploded.upper() for _ in range(20)]
+
+    def plain(a):
+        try:
+            v6 = ipaddress.IPv6Address((a or "").split("%")[0])
+        except ValueError:
+            return a
+        if v6.ipv4_mapped:
+            return str(v6.ipv4_mapped)
+        return ":".join(f"{int(g, 16):x}" for g in v6.exploded.split(":")[:4]) + "::/64"
+
+    df = spark.createDataFrame([(a,) for a in addresses], "a string")
+    assert {r.a: r.n for r in df.select("a", Q.quota_network(F.col("a")).alias("n")).collect()} == {a: plain(a) for a in addresses}

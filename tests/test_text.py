@@ -65,3 +65,9 @@ def test_judge_verdict(spark):
     cases = {'{"verdict": "pass", "reason": "ok"}': ("pass", "ok", None), '{"verdict": "fail", "reason": 3}': ("fail", "", None), '{"verdict": "fail"}': ("fail", "", None), '{"verdict": true}': (None, None, "bad_verdict"), "{verdict}": (None, None, "malformed"), "pass": (None, None, "no_object"), '{"verdict": ["pass"]}': (None, None, "bad_verdict")}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.judge_verdict(F.col("t")).alias("v"))
     assert {r.t: tuple(r.v) for r in df.collect()} == cases
+
+
+def test_typo_runs(spark):
+    cases = {"deeeclarar ppagado llama dedeclarar vivienda sesenta pagagado iii XXX CCSS": ["deeeclarar", "ppagado", "dedeclarar"], "a@ppago.cr www.ppago.cr http://x.y/ppago ppago.com": [], "Ppagado ppagado Ppagado": ["Ppagado", "ppagado"], "dado dada papa": [], "": []}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.typo_runs(F.col("t")).alias("r"))
+    assert {r.t: r.r for r in df.collect()} == cases
