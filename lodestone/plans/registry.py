@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, answers, chunking, content, evaluation, pins, repair, retrieval, routing, telemetry
+from lodestone.plans import analytics, answers, chunking, content, evaluation, ingestion, pins, repair, retrieval, routing, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, analytics, content, answers, evaluation, telemetry, pins, chunking, repair, routing]
+MODULES = [retrieval, analytics, content, answers, evaluation, telemetry, pins, chunking, repair, routing, ingestion]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
