@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import gates
+from lodestone.operators import gates, layouts
 from lodestone.plans import pins
 from lodestone.session import table
 from lodestone.sources import history
@@ -70,7 +70,28 @@ def event_log_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", line.alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_gates, binary_pins, kept_articles, keep_list_problems, excerpts, question_history, event_log_lines)}
+_WRAPPED = "CASE n % 6 WHEN 0 THEN concat('    Ventas de hasta 90% y más      ', n % 7, '%') WHEN 1 THEN '' WHEN 2 THEN '        sujetas' WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE concat('x', line) END ELSE line END"
+
+
+def wrapped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with table rows whose left cell goes on behind a blank line, in every second document with nothing below."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return layouts.wrapped_rows(lines.select("doc_id", "n", F.expr(_WRAPPED).alias("line"))).select("doc_id", "n", F.md5("line").alias("line"))
+
+
+_ROW = "concat(rpad('fila {0}', 12, ' '), rpad(concat(doc_id % 100, ',5%'), 12, ' '), rpad(concat(doc_id % 7, '%'), 9, ' '), '{0}')"
+_GRID = f"concat('Antes: ', doc_id, chr(10), chr(10), 'Encabezado de esta tabla, que no parte columnas', chr(10), {_ROW.format(1)}, chr(10), {_ROW.format(2)}, chr(10), {_ROW.format(3)}, chr(10), chr(10), text)"
+
+
+def grid_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts behind a table of four columns; every fourth text is said to have five."""
+    labels = F.when(F.col("doc_id") % 4 > 0, F.array(*map(F.lit, "abcd"))).otherwise(F.array(*map(F.lit, "abcde")))
+    # the text itself is parted by single blanks, so the table is the only grid
+    rows = table(spark, d, "documents").where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", r"[^\S\n]+", " "))
+    return layouts.grid_texts(rows.select("doc_id", F.expr(_GRID).alias("text"), labels.alias("labels"))).select("doc_id", F.md5("text").alias("text"), "problem")
+
+
+QUERIES = {f.__name__: f for f in (wrapped_rows, grid_texts, evidence_gates, binary_pins, kept_articles, keep_list_problems, excerpts, question_history, event_log_lines)}
 
 _KEPT = f"""{pins._P}, l AS (SELECT doc_key, key, min(label) AS label, count(*) AS times FROM (SELECT 'doc-' || item_id % 10 AS doc_key, ' ' || item_id % 30 || CASE WHEN item_id % 4 = 0 THEN '  bis' ELSE '' END AS label, item_id % 30 || CASE WHEN item_id % 4 = 0 THEN ' bis' ELSE '' END AS key FROM benchmark) GROUP BY doc_key, key)"""
 ORACLE = {
@@ -87,4 +108,11 @@ SELECT doc_id, CASE WHEN marks = 1 THEN md5('Inicio' || chr(10) || text) END AS
     "question_history": """WITH r AS (SELECT conv_id * 100 + turn AS id, conv_id % 7 AS user_id, turn % 4 AS created_at, coalesce(text, '') || '[1][2]' AS answer FROM conversations WHERE (conv_id * 100 + turn) % 10 <> 0)
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS pos, id, md5(answer) AS answer FROM r WHERE user_id BETWEEN 1 AND 3""",
     "event_log_lines": """SELECT event_id, 'ask: {"event_id":' || event_id || CASE WHEN event_type IS NOT NULL THEN ',"outcome":"' || event_type || '"' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN ',"drops":' || event_id % 9 ELSE '' END || '}' AS line FROM events""",
+    "wrapped_rows": rf"""WITH x AS (SELECT doc_id, n, {_WRAPPED} AS line FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+y AS (SELECT *, lead(line, 2) OVER w IS NOT NULL AND n % 6 = 0 AND trim(coalesce(lead(line, 3) OVER w, '')) = '' AS fits FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+z AS (SELECT *, coalesce(lag(fits) OVER w, false) OR coalesce(lag(fits, 2) OVER w, false) AS taken FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+SELECT doc_id, n, md5(CASE WHEN fits THEN '    Ventas de hasta 90% y más sujetas   ' || n % 7 || '%' ELSE line END) AS line FROM z WHERE NOT taken""",
+    "grid_texts": rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '[\t\r\f\v \x{{a0}}]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN {_GRID} ELSE 'Antes: ' || doc_id || chr(10) || chr(10) || chr(10) || 'Columnas de la tabla: a | b | c | d.' || chr(10) || chr(10)
+  || {" || ".join(f"'a: fila {k} | b: ' || doc_id % 100 || ',5% | c: ' || doc_id % 7 || '% | d: {k}.' || chr(10) || chr(10)" for k in (1, 2, 3))} || chr(10) || text END) AS text, CASE WHEN doc_id % 4 = 0 THEN 'no_grid' END AS problem FROM t""",
 }
