@@ -23,4 +23,5 @@ def test_without_the_training_data_operators(tmp_path):
     for k, gone in enumerate((["lodestone/llm", "corpus_pipeline.py"], ["lodestone/llm"])):
         _copy(tmp_path / str(k), gone)
         n, m, has = _listed(tmp_path / str(k))
-        assert int(n) >= 50 and n == m and has == "False"
+        # three queries have no SQL twin
+        assert int(n) >= 150 and int(n) == int(m) + 3 and has == "False"
