@@ -19,6 +19,10 @@ TRANSITORY = r"^(TRANSITORIO\s+[IVXLCDM\d]+(?:\s+(?:BIS|TER))?|Transitorio\s+[IV
 INLINE = r"(?:ART[ÍI]CULO|Art[íi]culo)\s+\d+(?:\s*(?:bis|ter|BIS|TER))?\s*[.\-–—°]|(?:TRANSITORIO|Transitorio)\s+[IVXLCDM\d]+\s*[.\-–—°]"
 HEADING = r"^(T[ÍI]TULO|T[íi]tulo|CAP[ÍI]TULO|Cap[íi]tulo|SECCI[ÓO]N|Secci[óo]n)\s+(?:[IVXLCDM]+l*|\d+|[ÚU]NIC[OA]|[ÚU]nic[oa])(?:[.\-–—°:\s]+([\s\S]*))?$"
 DANGLING = r"(?:^|\s)(?:al?|ambos|ante|bajo|como|con|contra|de|del?|desde|durante|el|en|entre|est[aeo]s?|hacia|hasta|las?|los?|mediante|o|para|por|que|se|según|sin|sobre|sus?|tras|u|una?|y)$|[.,:;]$"
+# Formulas that enact, how recitals open, and a sentence of twelve words.
+ENACTING = "DECRETA|ACUERDA|RESUELVE|DISPONE|ORDENA|EMITE|ADOPTA"
+RECITALS = r"(?:\bConsiderandos?\s*:|\bResultandos?\s*:|\bCon\s+fundamento\s+en\b|\bEn\s+uso\s+de\s+(?:las|sus)\b|\bEn\s+ejercicio\s+de\s+(?:las|sus)\b)"
+RECITAL_PROSE = r"(?:\S+\s+){11,}\S*\.(?:\s|$)"
 CAPTION_WORDS, CAPITAL_CAPTION_WORDS = 20, 40
 LEVELS = ("T", "C", "S")
 
@@ -50,16 +54,36 @@ def split_inline(p: Column) -> Column:
     return F.filter(F.transform(F.split(p, rf"(?<!^)(?={INLINE})"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _placed(paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs with ``level`` and ``label`` of what they open, ``chunk`` (boundaries so far) and ``edges`` (of the document)."""
+    rows = paragraphs.withColumns({"level": heading_level(F.col("p")), "label": article_label(F.col("p"))}).withColumn("edge", F.col("level").isNotNull() | F.col("label").isNotNull())
+    so_far = Window.partitionBy("doc_id").orderBy("n")
+    return rows.withColumns({"chunk": F.sum(F.col("edge").cast("int")).over(so_far), "edges": F.sum(F.col("edge").cast("int")).over(Window.partitionBy("doc_id"))})
+
+
+def preambles(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, body): the recitals before a document's first boundary, up to the last enacting formula.
+
+    They begin at their opening words; front matter without any that has no long sentence is a title block and
+    gives none. Documents without a boundary have no front matter.
+    """
+    front = _placed(paragraphs).where("chunk = 0 AND edges > 0").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]), " ").alias("front"))
+    enacted = rf"(?is)^(.*)\b(?:{ENACTING})N?\s*:"
+    recitals = F.when(F.col("front").rlike(enacted), F.regexp_extract("front", enacted, 1)).otherwise(F.col("front"))
+    rows = front.select("doc_id", recitals.alias("r")).withColumn("at", F.regexp_instr("r", F.lit(f"(?i){RECITALS}")))
+    body = F.trim(F.when(F.col("at") > 0, F.substring(F.col("r"), F.col("at"), F.length("r"))).when(F.col("r").rlike(RECITAL_PROSE), F.col("r")))
+    return rows.select("doc_id", body.alias("body")).where("body <> ''")
+
+
 def structural_chunks(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, chunk, label, path, body): what stands between two boundaries, headings left out.
 
-    What stands before the first boundary is front matter and goes, unless the document has no boundary.
+    What stands before the first boundary is front matter and goes (see ``preambles``), unless the document has no boundary.
     ``path`` lists the headings in effect, each ended by one of its own or a higher level.
     """
-    rows = paragraphs.withColumns({"level": heading_level(F.col("p")), "label": article_label(F.col("p"))}).withColumn("edge", F.col("level").isNotNull() | F.col("label").isNotNull())
     so_far = Window.partitionBy("doc_id").orderBy("n")
     opened = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct("n", "p")), ignorenulls=True).over(so_far) for k in range(len(LEVELS))}
-    placed = rows.withColumns({"chunk": F.sum(F.col("edge").cast("int")).over(so_far), "edges": F.sum(F.col("edge").cast("int")).over(Window.partitionBy("doc_id")), **opened})
+    placed = _placed(paragraphs).withColumns(opened)
     # a heading is in effect while no higher one came after it
     after = lambda k, *of: F.greatest(F.lit(-1), *(F.coalesce(F.col(f"h{x}.n"), F.lit(-1)) for x in of))
     path = F.array_compact(F.array(F.col("h0.p"), F.when(F.col("h1.n") > after(1, 0), F.col("h1.p")), F.when(F.col("h2.n") > after(2, 0, 1), F.col("h2.p"))))

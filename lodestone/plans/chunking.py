@@ -44,6 +44,16 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk", "label", F.array_join("path", "|").alias("path"), "part", F.md5("content").alias("digest"))
 
 
+_FRONT = """CASE n WHEN 0 THEN 'Ley de prueba' WHEN 1 THEN CASE doc_id % 4 WHEN 0 THEN 'Considerando: que' WHEN 1 THEN 'Con' WHEN 2 THEN 'Visto' ELSE 'En uso de las facultades' END
+  WHEN 2 THEN CASE doc_id % 4 WHEN 1 THEN concat('fundamento en las leyes, ', line) ELSE line END WHEN 3 THEN 'el artículo 5 dispone: nada' WHEN 4 THEN 'Por tanto, DECRETAN:' WHEN 5 THEN concat('Artículo 1.- ', line) ELSE line END"""
+
+
+def preambles(spark: SparkSession, d: str) -> DataFrame:
+    """Recitals of documents of six lines and more; two of four open by words, the others by a long sentence or not at all."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return chunks.preambles(lines.select("doc_id", "n", F.expr(_FRONT).alias("p"))).select("doc_id", F.md5("body").alias("body"))
+
+
 def fixed_label_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents without articles of their own: one label for all parts."""
     body = F.trim(F.array_join(F.split("text", "\n", -1), " "))
@@ -57,7 +67,7 @@ def chunk_content(spark: SparkSession, d: str) -> DataFrame:
     return chunks.carries_content(table(spark, d, "documents"), _parts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (heading_grammar, inline_headings, structural_chunks, fixed_label_chunks, chunk_content)}
+QUERIES = {f.__name__: f for f in (heading_grammar, inline_headings, structural_chunks, preambles, fixed_label_chunks, chunk_content)}
 
 # -- the same in SQL -----------------------------------------------------------------------------
 
@@ -88,4 +98,8 @@ ORACLE = {
         SELECT doc_id, CAST(part AS INTEGER) AS part, md5('[Ley ' || doc_id || ' — Acta] ' || {_SLICE}) AS digest FROM q""",
     "chunk_content": rf"""WITH {_PARTS}, y AS (SELECT doc_id, count(*) AS parts, bool_or(trim(regexp_replace(content, '^\[[^\]]*\]\s*', '')) <> '') AS carries FROM r GROUP BY doc_id)
         SELECT doc_id, coalesce(parts, 0) AS parts, CASE WHEN parts IS NULL THEN 'no_chunks' WHEN NOT carries THEN 'only_headers' END AS problem FROM documents LEFT JOIN y USING (doc_id)""",
+    "preambles": rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, string_agg({_FRONT}, ' ' ORDER BY n) FILTER (n < 4) || ' Por tanto,' AS r FROM l GROUP BY doc_id HAVING max(n) >= 5),
+g AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(r, length('Ley de prueba ') + 1) WHEN 1 THEN substr(r, length('Ley de prueba ') + 1) WHEN 3 THEN substr(r, length('Ley de prueba ') + 1) WHEN 2 THEN CASE WHEN regexp_matches(r, '{chunks.RECITAL_PROSE}') THEN r END END AS body FROM f)
+SELECT doc_id, md5(body) AS body FROM g WHERE body IS NOT NULL""",
 }

@@ -36,3 +36,18 @@ def test_without_structure_all_text_stays_and_long_bodies_are_cut(spark):
 def test_inline_articles_are_cut_and_keep_their_digits(spark):
     row = _rows(spark, ["Objeto 10 Artículo 8- 1234 según el Artículo 9 de la ley"]).select(chunks.split_inline(F.col("p")).alias("x")).first()
     assert row.x == ["Objeto 10", "Artículo 8- 1234 según el Artículo 9 de la ley"]
+
+
+def test_preambles(spark):
+    long = "una frase de recitales que tiene más de doce palabras y acaba con punto."
+    docs = [
+        (["LEY", "Considerando:", "Que sí.", "DECRETA:", "Artículo 1.- x"], "Considerando: Que sí."),
+        (["LEY", "Con", "fundamento en la ley", "el artículo 5 dispone:", "algo", "Por tanto, ACUERDAN :", "Artículo 1.- x"], "Con fundamento en la ley el artículo 5 dispone: algo Por tanto,"),
+        (["LEY", "N° 5", "Artículo 1.- x"], None),
+        (["LEY", long, "CAPÍTULO I", "Artículo 1.- x"], "LEY " + long),
+        (["Considerando:", "sin artículos"], None),
+        (["DECRETA:", "Artículo 1.- x"], None),
+        (["Artículo 1.- x", "Considerando: no"], None),
+    ]
+    df = spark.createDataFrame([(k, n, p) for k, (d, _) in enumerate(docs) for n, p in enumerate(d)], "doc_id int, n int, p string")
+    assert {r.doc_id: r.body for r in chunks.preambles(df).collect()} == {k: b for k, (_, b) in enumerate(docs) if b}
