@@ -14,7 +14,8 @@ Words are runs of digits, A-Z/a-z and characters beyond ASCII; A-Z count as a-z.
 templates that are all key phrase, so every place of theirs is found. A null or empty text has no
 words and no labels. Everything is done row by row, so repeated or very long rows, and groups of
 copies, need no shuffle; only the counts of the licence words (a fixed vocabulary) reach the driver.
-An empty table gives no rows; columns that aren't named in ``keep`` can't clash.
+An empty table gives no rows; columns that aren't named in ``keep`` can't clash, and those that are must not begin with
+two underscores.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ lower end on, at most k of a block, and orders them by score and id.
 Rows are taken as they are: a repeated candidate row takes a place for each repetition; a repeated
 query id is one query (its smallest vector). A query's own id is never among its candidates. Vectors
 that are null or hold null or non-finite components take no part. Vectors of different lengths are
-padded with zeros. Ties go to the smaller id. Empty tables give no rows.
+padded with zeros. Ties go to the smaller id. Empty tables give no rows. Only
+the id and the vector are carried, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -54,3 +54,15 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_text_and_clashing_columns(spark, folder):
+    """A text of a megabyte and columns named like the operators' own go through all stages."""
+    rng = random.Random(3)
+    long = "\n".join(make(rng, ["the", "ing", "er", "on", "wh"], 12) for _ in range(14_000))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").selectExpr("*", "'x' AS score", "1 AS o", "2 AS n", "'y' AS key", "3 AS copies", "'z' AS w")
+    docs = docs.union(spark.createDataFrame([(900, long, "en", "s", len(long), "x", 1, 2, "y", 3, "z")], docs.schema))
+    docs.write.parquet(f"{folder}/clash/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{folder}/clash/labels.parquet")
+    found = {r.doc_id: r for r in P.run(spark, f"{folder}/clash").collect()}
+    assert set(found) == {*range(60), 900} and found[900].n_tokens > 100_000
