@@ -109,7 +109,7 @@ def _deltas(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("[1"), n, F.lit("]"), F.col("text"), F.lit(" [2"), n, F.lit("][33] [4"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 7).cast("int")), lambda k: F.struct(k.cast("long").alias("seq"), F.substring(F.col("text"), k * 7 + 1, F.lit(7)).alias("delta")))
     rows = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text")).where("text IS NOT NULL")
-    return rows.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer"), "conv_id", "turn", F.inline(pieces))
+    return rows.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer"), "conv_id", "turn", (F.floor((F.length("text") - 1) / 7) + 1).alias("of"), F.inline(pieces))
 
 
 def delta_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +130,10 @@ def _streamed_in_parts(rows: DataFrame, part: Column, parts: int, stream) -> Dat
 
 def marker_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same by a stream of three batches that keeps unfinished markers as state; deltas of one turn fall into all of them."""
-    deltas = _deltas(spark, d).select("answer", "seq", "delta")
-    found = _streamed_in_parts(deltas, (F.col("seq") % 3).cast("int"), 3, markers.marker_stream)
+    # thirds of a turn in order, but every seventh delta a batch early
+    batch = F.greatest(F.lit(0), F.floor(F.col("seq") * 3 / F.col("of")) - F.when(F.col("seq") % 7 == 6, 1).otherwise(0)).cast("int")
+    deltas = _deltas(spark, d).select("answer", "seq", "delta", batch.alias("batch"))
+    found = _streamed_in_parts(deltas, F.col("batch"), 3, markers.marker_stream)
     joined = found.groupBy("answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "marker"))), lambda x: x["marker"]), ",").alias("markers"))
     at = F.split("answer", "/")
     return joined.select(F.get(at, 0).cast("long").alias("conv_id"), F.get(at, 1).cast("long").alias("turn"), "markers")

@@ -33,17 +33,22 @@ class Markers(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         tail, after, place = self.at.get() if self.at.exists() else ("", 0, 0)
-        for row in sorted(rows, key=lambda r: r.seq):
-            if row.seq < after:
-                continue  # a delta that was sent twice
-            self.early.updateValue((row.seq,), (row.delta or "",))
-        while self.early.containsKey((after,)):
-            found, tail = step(tail, self.early.getValue((after,))[0])
-            self.early.removeKey((after,))
+        # a delta that was sent twice counts once; only what comes too early is written to the state
+        come = {row.seq: row.delta or "" for row in rows if row.seq >= after}
+        while after in come or self.early.containsKey((after,)):
+            if after in come:
+                delta = come.pop(after)
+            else:
+                delta = self.early.getValue((after,))[0]
+                self.early.removeKey((after,))
+            found, tail = step(tail, delta)
             after += 1
             for marker in found:
                 yield Row(answer=key[0], place=place, marker=marker)
                 place += 1
+        for seq, delta in come.items():
+            if seq > after:
+                self.early.updateValue((seq,), (delta,))
         self.at.update((tail, after, place))
 
     def close(self) -> None:
