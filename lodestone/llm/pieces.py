@@ -7,8 +7,8 @@ before it (pair compatibility). Walking the table from the end gives the ids.
 
 Merges never cross from a non-space character to a space mark, because no piece has a space mark
 inside (checked when the model is loaded), so a text is encoded segment by segment: a run of space
-marks and what follows. Segments recur, and each task keeps a bounded table of them, which is
-freed when it ends; only the vocabulary stays in a reused worker.
+marks and what follows. Segments recur, and each Python worker keeps a bounded table of them from task to
+task, until another operator works in it; then only the vocabulary stays.
 
 The model must leave texts as they are but for a space mark in front and for every space: this is
 tried when it is loaded. Null texts count as empty; an empty text has no ids and decodes to the empty text. Texts are encoded
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import slices
+from lodestone.llm.batches import kept, slices
 from lodestone.session import table
 
 MARK = "▁"
-#: Segments and pair tests that a task keeps; beyond that the table starts anew.
-KEPT_SEGMENTS = 120_000
-KEPT_PAIRS = 400_000
+#: Segments and pair tests that a worker keeps; beyond that the table starts anew.
+KEPT_SEGMENTS = 250_000
+KEPT_PAIRS = 1_000_000
 
 
 class PieceModel:
@@ -81,7 +81,6 @@ class PieceModel:
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.late = {i for i in self.halves if self._late(i)}
-        self.pairs: dict[int, bool] = {}
 
     def _late(self, i: int) -> bool:
         """A half is ranked behind the whole, so ranks don't tell the order of merges."""
@@ -143,10 +142,10 @@ class PieceModel:
             else:
                 until, on_tie, b = rank[b], True, undo_b[0]
 
-    def _known(self, text: str) -> list[int]:
+    def _known(self, text: str, pairs: dict[int, bool]) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary, without runs of marks."""
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        pairs, bad = self.pairs, 0
+        bad = 0
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
         for end, (i, n) in self.automaton.iter(text):
@@ -169,18 +168,18 @@ class PieceModel:
             end -= size[end]
         return [self.ids[p] for p in self.merged(text)] if bad else out[::-1]
 
-    def segment_ids(self, text: str) -> list[int]:
-        """Ids of one segment; characters outside the vocabulary become bytes."""
+    def segment_ids(self, text: str, pairs: dict[int, bool]) -> list[int]:
+        """Ids of one segment; characters outside the vocabulary become bytes. ``pairs`` remembers which tokens may stand side by side."""
         if text.startswith(MARK * 2):
             return [j for p in self.merged(text) for j in ((self.ids[p],) if p in self.ids else map(self.byte_ids.__getitem__, p.encode()))]
         ids, out, begin = self.ids, [], 0
         for k, c in enumerate(text):
             if c not in ids:
                 if begin < k:
-                    out += self._known(text[begin:k])
+                    out += self._known(text[begin:k], pairs)
                 out += map(self.byte_ids.__getitem__, c.encode())
                 begin = k + 1
-        return out + self._known(text[begin:]) if begin < len(text) else out
+        return out + self._known(text[begin:], pairs) if begin < len(text) else out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
@@ -190,10 +189,10 @@ class SegmentTable(dict):
     """segment → (ids joined by commas, decoded segment), filled on demand and bounded."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model = model
+        self.model, self.pairs = model, {}
 
     def __missing__(self, text: str) -> tuple[str, str]:
-        ids = self.model.segment_ids(text)
+        ids = self.model.segment_ids(text, self.pairs)
         found = ",".join(map(str, ids)), self.model.decode(ids)
         if len(text) <= 64:
             if len(self) >= KEPT_SEGMENTS:
@@ -228,22 +227,17 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = True, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        segments = SegmentTable(model)
+        segments = kept("pieces", lambda: SegmentTable(model))
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        try:
-            for batch in batches:
-                for part in slices(batch, 1, rows=256):
-                    done = [encode_text(segments, t) for t in part.column(1).to_pylist()]
-                    if digests:
-                        columns = [pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), pa.array([sha(ids) for ids, _ in done]), pa.array([sha(text) for _, text in done])]
-                        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                    else:
-                        columns = [pa.array([list(map(int, ids.split(","))) if ids else [] for ids, _ in done], pa.list_(pa.int32())), pa.array([text for _, text in done], pa.string())]
-                        names = ["ids", "decoded"]
-                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, *names])
-        finally:
-            segments.clear()
-            model.pairs.clear()
+        for part in (x for batch in batches for x in slices(batch, 1, rows=256, keep="pieces")):
+            done = [encode_text(segments, t) for t in part.column(1).to_pylist()]
+            if digests:
+                columns = [pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), pa.array([sha(ids) for ids, _ in done]), pa.array([sha(text) for _, text in done])]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            else:
+                columns = [pa.array([list(map(int, ids.split(","))) if ids else [] for ids, _ in done], pa.list_(pa.int32())), pa.array([text for _, text in done], pa.string())]
+                names = ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, *names])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = rows.schema[0].dataType.simpleString()
