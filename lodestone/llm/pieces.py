@@ -32,8 +32,8 @@ from lodestone.session import table
 
 MARK = "▁"
 #: Segments and pair tests that a worker keeps; beyond that the table starts anew.
-KEPT_SEGMENTS = 250_000
-KEPT_PAIRS = 1_000_000
+KEPT_SEGMENTS = 300_000
+KEPT_PAIRS = 1_200_000
 
 
 class PieceModel:
