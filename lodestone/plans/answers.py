@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import fusion, targets
 from lodestone.plans import retrieval
-from lodestone.session import table
+from lodestone.session import materialize, table
 
 # The viewer that a versioned law is shown in.
 VIEWER = "https://sinalevi.go.cr/ResultadosNormativa/Informacion"
@@ -202,9 +202,15 @@ def target_census(spark: SparkSession, d: str) -> DataFrame:
 
 
 def target_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Satisfied targets of all, and their share."""
-    rows = target_census(spark, d).agg(F.count_if(~F.col("unsatisfiable")).alias("satisfied"), F.count("*").alias("total"))
-    return rows.withColumn("ratio", F.round(F.col("satisfied") / F.col("total"), 6))
+    """Satisfied targets of all, their share, and which aren't: a row for each of those, with the totals (one row without a name if there is none)."""
+    # a row each, since one list of them all would be made in one task
+    census = materialize(target_census(spark, d).select("case_id", "target", "unsatisfiable").distinct())
+    totals = census.agg(F.count_if(~F.col("unsatisfiable")).alias("satisfied"), F.count("*").alias("total"))
+    totals = totals.withColumn("ratio", F.coalesce(F.round(F.try_divide("satisfied", "total"), 6), F.lit(float("nan"))))
+    case = F.col("case_id").cast("string")
+    name = F.concat(F.coalesce(F.lpad(case, F.greatest(F.length(case), F.lit(6)), F.lit("0")), F.lit("")), F.lit("/"), F.col("target").cast("string"))
+    names = census.where("unsatisfiable").select(name.alias("unsatisfied")).union(totals.where("satisfied = total").select(F.lit("")))
+    return names.crossJoin(F.broadcast(totals)).select("satisfied", "total", "unsatisfied", "ratio")
 
 
 def unsatisfied_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +302,10 @@ SELECT answer_set, md5(string_agg('[' || i || '] ' || body, chr(10) || chr(10) O
     "null_defaults": f"WITH {_CHUNKS}, f AS ({_twin('rrf_two_legs')}) SELECT query_id, id AS \"chunkId\", doc_key AS \"docKey\", label AS articulo, coalesce(nullif(source, 'src0'), '{{}}') AS source, vector_rank AS \"vectorRank\", lexical_rank AS \"lexicalRank\" FROM f JOIN c ON c.doc_id = f.id",
     "blank_queries": f"WITH f AS (SELECT query_id, count(*) AS n FROM ({_twin('lexical_leg_strict_or')}) GROUP BY query_id) SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_found, item_id % 5 = 0 OR n IS NULL AS is_weak FROM benchmark LEFT JOIN f ON query_id = item_id",
     "target_census": f"WITH {_CHUNKS}, {_TARGETS} SELECT case_id, target, count(c.doc_id) AS n, count(c.doc_id) = 0 AS unsatisfiable FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target",
-    "target_summary": f"WITH {_CHUNKS}, {_TARGETS}, n AS (SELECT case_id, target, count(c.doc_id) AS n FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target) SELECT count(*) FILTER (n > 0) AS satisfied, count(*) AS total, round(count(*) FILTER (n > 0) / count(*), 6) AS ratio FROM n",
+    "target_summary": f"""WITH {_CHUNKS}, {_TARGETS}, n AS (SELECT case_id, target, count(c.doc_id) AS n FROM t LEFT JOIN c ON {_MATCH} GROUP BY case_id, target),
+s AS (SELECT count(*) FILTER (n > 0) AS satisfied, count(*) AS total, round(count(*) FILTER (n > 0) / count(*), 6) AS ratio FROM n),
+u AS (SELECT coalesce(lpad(CAST(case_id AS VARCHAR), CAST(greatest(length(CAST(case_id AS VARCHAR)), 6) AS INTEGER), '0'), '') || '/' || target AS unsatisfied FROM n WHERE n = 0)
+SELECT satisfied, total, coalesce(unsatisfied, '') AS unsatisfied, ratio FROM s LEFT JOIN u ON true""",
     "unsatisfied_targets": f"WITH {_CHUNKS}, {_TARGETS} SELECT case_id, target FROM t WHERE NOT EXISTS (FROM c WHERE {_MATCH})",
     "target_places": f"""WITH {_CHUNKS}, {_TARGETS}, f AS ({_twin('hydrated_top8')}), p AS (SELECT case_id, target, min(f.pos) AS pos FROM t LEFT JOIN (c JOIN f ON f.id = c.doc_id) ON f.query_id = t.case_id AND {_MATCH} GROUP BY case_id, target)
 SELECT case_id, bool_or(pos IS NOT NULL) AS hit, bool_and(pos IS NOT NULL) AS all_reached, min(pos) AS first_rank, CASE WHEN min(pos) <= 3 THEN 'top' WHEN min(pos) IS NOT NULL THEN 'cut' ELSE 'missed' END AS place FROM p GROUP BY case_id""",
