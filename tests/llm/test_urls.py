@@ -87,3 +87,63 @@ def test_long_labelled_urls_end(spark):
     rules = U.mine_rules(df.select(U.url_parts(F.col("url")).alias("parts"), "bad")).collect()
     assert time.time() - began < 60 and rules and all(len(r.parts) == 1 for r in rules)
     assert {r.label for r in rules} == {U.BAD, U.GOOD}
+
+
+def plain_rules(rows):
+    """{(parts, bad): confidence} from (parts, bad): every combination of parts with 20 urls of a label is looked at."""
+    of, bads = {}, sum(1 << i for i, (_, bad) in enumerate(rows) if bad)
+    for i, (parts, _) in enumerate(rows):
+        for p in parts:
+            of[p] = of.get(p, 0) | 1 << i
+    order, todo, shown = sorted(of), [((), (1 << len(rows)) - 1)], {}
+    while todo:
+        parts, cover = todo.pop()
+        for p in order:
+            both = cover & of[p]
+            if (not parts or p > parts[-1]) and max((both & bads).bit_count(), (both & ~bads).bit_count()) >= 20:
+                shown[parts + (p,)] = both
+                todo.append((parts + (p,), both))
+    rules, share = {}, bads.bit_count() / len(rows)
+    for parts, cover in shown.items():
+        for bad, base in ((True, share), (False, 1 - share)):
+            n, hit = cover.bit_count(), (cover & bads if bad else cover & ~bads).bit_count()
+            c, z = hit / n, U.SURE
+            low = (c + z * z / (2 * n) - z * math.sqrt(c * (1 - c) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if hit >= 20 and c >= 0.5 and low >= U.LIFT * base:
+                rules[parts, bad] = c
+    less = lambda p: (s for k in range(1, len(p)) for s in combinations(p, k))
+    return {(p, y): round(c, 9) for (p, y), c in rules.items() if not any(rules.get((s, y), -1) >= c for s in less(p))}
+
+
+def mined_rules(spark, rows):
+    mined = U.mine_rules(spark.createDataFrame(rows, "parts array<string>, bad boolean")).collect()
+    assert len({r.rule_id for r in mined}) == len(mined) and all(r.key in r.parts for r in mined)
+    return {(tuple(r.parts), r.label == U.BAD): round(r.confidence, 9) for r in mined}
+
+
+def test_parts_that_tell_only_together_are_found_beyond_the_telling_ones(spark):
+    """Thirteen words of each url tell a little; x and y tell nothing alone, and together most."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(360):
+        x, y = rng.random() < 0.5, rng.random() < 0.5
+        bad = rng.random() < (0.9 if x == y else 0.1)
+        words = [f"w{k}{int(rng.random() < (0.7 if bad else 0.3))}" for k in range(13)]
+        rows.append(([f"x{int(x)}", f"y{int(y)}", *words], bad))
+    want = plain_rules(rows)
+    assert {(("x1", "y1"), True), (("x0", "y1"), False)} <= set(want)
+    assert mined_rules(spark, rows) == want
+
+
+def test_rules_of_any_length_and_items_of_the_same_urls(spark, monkeypatch):
+    """Five words are bad all together only; a and b stand in the same urls; the rules don't depend on what FP-growth combines."""
+    rows = []
+    for i in range(32 * 40):
+        words = [f"w{k}" for k in range(5) if i >> k & 1]
+        rows.append((words + ["every"] + ["a", "b"] * (i % 3 > 0), len(words) == 5 and i % 5 > 0 or i % 31 == 0))
+    want = plain_rules(rows)
+    assert any(p == ("w0", "w1", "w2", "w3", "w4") for p, _ in want)
+    assert mined_rules(spark, rows) == want
+    for most in (1, 3):
+        monkeypatch.setattr(U, "MOST_PARTS", most)
+        assert mined_rules(spark, rows) == want
