@@ -30,7 +30,7 @@ BLOCK, QUERY_BLOCK, BITS, FEW = 1024, 512, 8, 64
 
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: the vectors as one int64 matrix, every other column as one int64 array."""
+    """Blocks of rows: the vectors as one matrix of the smallest integers that hold it (their bytes come first), every other column as one int64 array."""
 
     def block(rows: list[list]) -> pa.RecordBatch:
         vectors = rows[0]
@@ -38,7 +38,9 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> I
         matrix = np.zeros((len(vectors), width), np.int64)
         for k, v in enumerate(vectors):
             matrix[k, : len(v)] = v
-        arrays = [pa.array([len(vectors)], pa.int32()), pa.array([matrix.tobytes()], pa.binary())]
+        least, most = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+        kind = next(x for x in (np.int16, np.int32, np.int64) if np.iinfo(x).min <= least and most <= np.iinfo(x).max)
+        arrays = [pa.array([len(vectors)], pa.int32()), pa.array([bytes([kind().itemsize]) + matrix.astype(kind).tobytes()], pa.binary())]
         arrays += [pa.array([np.array(c, np.int64).tobytes()], pa.binary()) for c in rows[1:]]
         return pa.RecordBatch.from_arrays(arrays, ["n", "vectors", *names])
 
@@ -73,9 +75,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
     for batch in batches:
         for k in range(batch.num_rows):
             row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
-            out = {name: np.frombuffer(value, np.int64) for name, value in row.items() if isinstance(value, bytes)}
+            out = {name: np.frombuffer(value, np.int64) for name, value in row.items() if isinstance(value, bytes) and not name.endswith("vectors")}
             for n, m in (("n", "vectors"), ("c_n", "c_vectors")):
-                out[m] = out[m].reshape(row[n], -1)
+                out[m] = np.frombuffer(row[m], f"i{row[m][0]}", offset=1).reshape(row[n], -1)
             yield out
 
 
@@ -132,7 +134,9 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = 5, id_col: str = "v
     def pairs(queries: DataFrame) -> DataFrame:
         """Every block of candidates beside every block of queries, dealt by the candidates' part."""
         blocks = _pack(queries.repartition(max(1, n_queries // QUERY_BLOCK), "query_id"), QUERY_BLOCK, ["query_id", "lo", "hi", "shift"])
-        return blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))).join(candidates, "part").drop("part")
+        copies = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+        # Spark takes the copies to be as small as the stored queries and would send them all through the driver
+        return copies.hint("merge").join(candidates, "part").drop("part")
 
     while True:
         counts = pairs(state).mapInArrow(lambda b: _count(b, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))

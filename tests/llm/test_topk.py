@@ -43,3 +43,17 @@ def test_query_filters_unsound_vectors(spark, tmp_path):
     rows = [(0, [0.5, -0.25], 1), (1, [math.nan, 1.0], 1), (2, [math.inf, 1.0], 1), (3, [None, 1.0], 1), (4, None, 1), (5, [0.1, 0.1], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [tuple(r) for r in topk.op8_exact_topk(spark, str(tmp_path)).collect()] == [(0, 1, 5, 128 * 25 - 64 * 25)]
+
+
+def test_copies_of_queries_never_pass_through_the_driver(spark):
+    """There are as many copies of the queries as parts of the candidates; Spark's estimate doesn't see that."""
+    df = spark.createDataFrame([(i, [i, 1]) for i in range(60)], "vec_id long, v array<long>")
+    plan = topk.top_k(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_vectors_are_packed_without_loss(spark):
+    for big in (1, 2**15 - 1, -(2**15), 2**15, 2**29):
+        rows = [(i, [big, i, -i]) for i in range(55)]
+        assert run(spark, rows) == brute(rows)
+    assert run(spark, [(0, []), (1, []), (2, [])]) == brute([(0, []), (1, []), (2, [])])
