@@ -16,9 +16,10 @@ from __future__ import annotations
 import html as markup
 import re
 from collections.abc import Iterator
+from unicodedata import category
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import materialize
@@ -35,6 +36,8 @@ NOT_JOINS = ["conque", "porque", "quede", "sede"]
 BARS = {"flagged": (2, 5, 2), "unchecked": (3, 3, 0), "checked": (3, 3, 0)}
 #: Letters of a half that is no function word.
 LONG_HALF = 4
+#: Pairs without which no token is split by them, and seams that a task puts out at once.
+FEWEST, AT_ONCE = min(b[0] for b in BARS.values()), 8192
 
 WORD = r"\p{L}+(?:-\p{L}+)*"
 TOKEN = rf"[^\s<>]*[@/][^\s<>]*|www\.[^\s<>]*|{WORD}"
@@ -84,24 +87,79 @@ def _one_of(column: Column, words: list[str]) -> Column:
     return column.isin(words)
 
 
-def document_tokens(nodes: DataFrame) -> DataFrame:
-    """(doc, node, k, token, lower, proofing, vouches): every word; ``vouches`` if the tool checked it and found nothing."""
-    rows = nodes.where("text IS NOT NULL").select("doc", "node", "proofing", "grammar", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("k", "token"))
-    vouches = (F.col("proofing") == "checked") & ~F.col("grammar") & ~F.col("token").rlike(CAPITALS)
-    return rows.select("doc", "node", "k", "token", F.lower("token").alias("lower"), "proofing", vouches.alias("vouches"))
+def _capitals(token: str) -> bool:
+    return len(token) > 1 and token.isupper() and all(category(c) == "Lu" for c in token)
+
+
+def _worth(token: str, lower: str, proofing: str | None, tally: dict, pairs: dict) -> Iterator[tuple[int, int, int, int]]:
+    """(at, score, left words, right words) of the seams that the document's pairs or, in a flagged token that is no word, its words may speak for."""
+    by_words = proofing == "flagged" and not tally[lower][1]
+    for at in range(1, len(token)):
+        left, right = lower[:at], lower[at:]
+        if (left in tally or left in ONE_LETTER) and (right in tally or right in ONE_LETTER):
+            score, a, b = pairs.get((left, right), 0), tally.get(left, (0, 0))[1], tally.get(right, (0, 0))[1]
+            if score >= FEWEST or (by_words and (a or left in ONE_LETTER) and (b or right in ONE_LETTER)):
+                yield at, score, a, b
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, proofing, vouching, said) by document and node the seams worth a look; only the counts of one document are held."""
+    kinds = [pa.string()] * 3 + [pa.int64()] * 6
+    names = ["doc", "token", "lower", "proofing", "uses", "words", "at", "score", "left_words", "right_words"]
+    doc, before, kind = None, None, pa.null()
+    tally: dict[str, list[int]] = {}
+    pairs: dict[tuple[str, str], int] = {}
+    asked: set[tuple] = set()
+    rows: list[tuple] = []
+
+    def settle() -> None:
+        rows.extend((doc, *x, *tally[x[1]], *seam) for x in asked for seam in _worth(*x, tally, pairs))
+        for held in (tally, pairs, asked):
+            held.clear()
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([kind, *kinds])]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for of, proofing, vouching, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != doc:
+                settle()
+                doc, before = of, None
+            for token in said.split(" "):
+                lower = token.lower()
+                counts = tally.setdefault(lower, [0, 0])
+                counts[0] += 1
+                counts[1] += vouching and not _capitals(token)
+                if before is not None:
+                    pairs[before, lower] = pairs.get((before, lower), 0) + 1
+                before = lower
+                if "-" not in lower:
+                    asked.add((token, lower, proofing))
+            if len(rows) >= AT_ONCE:
+                yield out()
+    settle()
+    if rows:
+        yield out()
+
+
+def seams_with_evidence(nodes: DataFrame) -> DataFrame:
+    """(doc, token, lower, proofing, uses, words, at, score, left_words, right_words): a document's texts meet in one place once, and only what may split a token goes on."""
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    vouching = F.coalesce((F.col("proofing") == "checked") & ~F.col("grammar"), F.lit(False))
+    rows = nodes.where("text IS NOT NULL AND doc IS NOT NULL").select("doc", "node", "proofing", vouching.alias("vouching"), F.array_join(words, " ").alias("said")).where("said <> ''")
+    rows = rows.repartition("doc").sortWithinPartitions("doc", "node").select("doc", "proofing", "vouching", "said")
+    kinds = "token string, lower string, proofing string, uses long, words long, at long, score long, left_words long, right_words long"
+    return rows.mapInArrow(_evidence, f"doc {rows.schema['doc'].dataType.simpleString()}, {kinds}")
 
 
 def joined_words(nodes: DataFrame) -> DataFrame:
     """(doc, token, proofing, split): the tokens that a document's own usage splits, by their nodes' proofing."""
-    tokens = materialize(document_tokens(nodes))
-    uses = materialize(tokens.groupBy("doc", "lower").agg(F.count("*").alias("uses"), F.count_if("vouches").alias("words")))
-    ahead = F.lead("lower").over(Window.partitionBy("doc").orderBy("node", "k"))
-    pairs = tokens.select("doc", F.col("lower").alias("left"), ahead.alias("right")).where("right IS NOT NULL").groupBy("doc", "left", "right").agg(F.count("*").alias("score"))
     # a word in capitals was never looked at, whatever its span says
     read = F.when((F.col("proofing") != "flagged") & F.col("token").rlike(CAPITALS), "unchecked").otherwise(F.col("proofing"))
-    asked = tokens.where(~F.contains("lower", F.lit("-"))).select("doc", "token", "lower", "proofing", read.alias("read")).distinct()
-    asked = asked.join(uses, ["doc", "lower"])
-    seams = asked.where(F.length("token") > 1).select("*", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at"))
+    seams = seams_with_evidence(nodes).withColumns({"read": read, "at": F.col("at").cast("int")})
     seams = seams.withColumns({"left": F.substring(F.col("lower"), F.lit(1), F.col("at")), "right": F.substring(F.col("lower"), F.col("at") + 1, F.length("lower"))})
     left, right = F.col("left"), F.col("right")
     n_left, n_right = F.length("left"), F.length("right")
@@ -117,12 +175,10 @@ def joined_words(nodes: DataFrame) -> DataFrame:
     order = F.array(*map(F.lit, FUNCTION_WORDS))
     turn = F.least(F.when(leading, F.array_position(order, left) * 2), F.when(trailing, F.array_position(order, right) * 2 + 1))
     seams = seams.withColumns({"phrase": phrase, "vocabulary": vocabulary, "turn": turn, "both": both}).where("phrase OR vocabulary")
-    counts = lambda side: uses.select("doc", F.col("lower").alias(side), F.col("words").alias(f"{side}_words"))
-    seams = seams.join(pairs, ["doc", "left", "right"], "left").join(counts("left"), ["doc", "left"], "left").join(counts("right"), ["doc", "right"], "left")
     bar = lambda k: F.coalesce(*(F.when(F.col("read") == p, b[k]) for p, b in BARS.items()))
-    score = F.coalesce("score", F.lit(0))
+    score = F.col("score")
     vouched = F.col("phrase") & (score >= bar(0)) & ((F.col("uses") <= bar(2)) | (score >= bar(1) * F.col("uses")))
-    known = lambda side: F.when(F.coalesce(F.col(f"{side}_words"), F.lit(0)) > 0, F.col(f"{side}_words"))
+    known = lambda side: F.when(F.col(f"{side}_words") > 0, F.col(f"{side}_words"))
     half = lambda side: F.when(F.length(side) == 1, _one_of(F.col(side), ONE_LETTER)).otherwise(known(side).isNotNull())
     most = F.lit(2**62)
     rarer = F.least(F.coalesce(known("left"), most), F.coalesce(known("right"), most))

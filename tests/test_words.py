@@ -123,3 +123,12 @@ def test_null_pages_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>x</p>")], "page_id long, html string")
     assert [tuple(r) for r in W.repaired_pages(df).collect()] == [(2, "<p>x</p>")]
     assert W.repaired_pages(df.where(F.lit(False))).count() == 0
+
+
+def test_words_are_never_rows_of_a_shuffle(spark):
+    """Texts are dealt by document once; neither tokens nor seams are exploded, stored or joined."""
+    nodes = spark.createDataFrame([(1, 0, "", "de la dela de la", "flagged", False), (1, 1, "", None, None, False), (None, 0, "", "dela", "flagged", False)], SCHEMA)
+    df = W.joined_words(nodes)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") == 2
+    assert [tuple(r) for r in df.collect()] == [(1, "dela", "flagged", "de la")]
