@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunks, fragments, words
-from lodestone.session import materialize, table
+from lodestone.session import table
 
 _LINE = "CASE WHEN n % 4 = 1 THEN replace(replace(line, ' de ', ' de'), ' la ', ' la') ELSE line END"
 _PROOFING = "CASE (doc_id + n) % 3 WHEN 0 THEN 'flagged' WHEN 1 THEN 'unchecked' ELSE 'checked' END"
@@ -28,8 +28,7 @@ def joined_words(spark: SparkSession, d: str) -> DataFrame:
 
 def repaired_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every line with its joined words split and, where it was complained about, its punctuation spaced."""
-    nodes = materialize(_nodes(spark, d))
-    return words.repaired_nodes(nodes).select("doc", "node", F.md5("fixed").alias("fixed"))
+    return words.repaired_nodes(_nodes(spark, d)).select("doc", "node", F.md5("fixed").alias("fixed"))
 
 
 _FRAGMENT = """CASE n % 12 WHEN 0 THEN 'ARTÍCULO' WHEN 1 THEN concat(n, '.- ', line) WHEN 2 THEN 'Artículo 64' WHEN 3 THEN concat('bis.—', line) WHEN 4 THEN 'CAPÍTULO' WHEN 5 THEN 'III' WHEN 6 THEN 'De los saldos a favor y del'
