@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.session import materialize
 
-#: Rows of a leg, vectors of a block, and queries whose best rows a task keeps.
-LEG_LIMIT, BLOCK, KEPT_QUERIES = 50, 1024, 50_000
+#: Rows of a leg, vectors of a block, queries whose best rows a task keeps, words of a run by which phrases are found, and runs that are handed to every task.
+LEG_LIMIT, BLOCK, KEPT_QUERIES, RUN, HANDED = 50, 1024, 50_000, 4, 200_000
 
 
 def ranked(rows: DataFrame, order: list[Column], by: list[str], name: str = "rank", limit: int | None = LEG_LIMIT) -> DataFrame:
@@ -22,13 +24,26 @@ def ranked(rows: DataFrame, order: list[Column], by: list[str], name: str = "ran
 
 
 def phrase_matches(queries: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, id) where the row holds the query's words in order, one behind the other."""
-    q = queries.select("query_id", tokens(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    asked = q.select("query_id", F.posexplode("words").alias("at", "lexeme"), F.size("words").alias("total"))
-    places = chunks.select("id", F.posexplode(tokens(F.col(text_col))).alias("pos", "lexeme"))
-    held = places.join(asked.select("lexeme").distinct(), "lexeme", "left_semi").join(asked, "lexeme")
-    whole = held.groupBy("query_id", "id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("n"), F.max("total").alias("total"))
-    return whole.where("n = total").select("query_id", "id").distinct()
+    """(query_id, id) where the row holds the query's words in order, one behind the other.
+
+    Queries are cut into runs of ``RUN`` words, the last one flush with their end. A row's runs are joined with
+    them where the row lies (beyond ``HANDED`` by a shuffle), so only runs that some query has are dealt out; a
+    row in which all runs of a query stand at their places holds it.
+    """
+    runs = lambda words, k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda p: F.array_join(F.slice(words, p, k), " "))
+    q = queries.select("query_id", tokens(F.col(text_col)).alias("words")).where(F.size("words") > 0).withColumn("k", F.least(F.size("words"), F.lit(RUN)))
+    asked = q.select("query_id", "k", F.size("words").alias("total"), F.posexplode(runs(F.col("words"), F.col("k"))).alias("at", "run"))
+    asked = asked.where((F.col("at") % RUN == 0) | (F.col("at") == F.col("total") - F.col("k")))
+    asked = materialize(asked.withColumn("of", F.ceil(F.col("total") / F.col("k")).cast("int")).drop("total"))
+    many = {r["k"]: r["count"] for r in asked.groupBy("k").count().collect()}
+    lengths, handed = sorted(many), sum(many.values()) <= HANDED
+    said = chunks.select("id", tokens(F.col(text_col)).alias("words"))
+    # a row for each run of a row, of the lengths that are asked for; the words themselves stay behind
+    each = [F.when(F.size("words") >= k, runs(F.col("words"), F.lit(k))).otherwise(F.array().cast("array<string>")) for k in lengths]
+    places = reduce(DataFrame.union, (said.select("id", F.lit(k).alias("k"), F.posexplode(x).alias("pos", "run")) for k, x in zip(lengths, each, strict=True))) if lengths else said.selectExpr("id", "0 AS k", "0 AS pos", "'' AS run").where("false")
+    held = places.join(F.broadcast(asked) if handed else asked, ["k", "run"])
+    whole = held.groupBy("query_id", "id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("n"), F.max("of").alias("of"))
+    return whole.where("n = of").select("query_id", "id").distinct()
 
 
 # -- vectors -------------------------------------------------------------------------------------
