@@ -119,13 +119,14 @@ def delta_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed_in_parts(rows: DataFrame, part: Column, parts: int, stream) -> DataFrame:
-    """Write ``rows`` as one file for each part, in order, and run ``stream`` over the files, one a batch."""
+    """Write the parts of ``rows`` in order; ``stream`` goes on after each from its checkpoint, with the part's files as one batch."""
     spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/lodestone/{uuid.uuid4().hex}"
-    rows = rows.withColumn("__part", part)
+    split, found = rows.withColumn("__part", part), None
     for k in range(parts):
-        rows.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return runs.run_available(stream(source), f"{folder}/out", f"{folder}/state")
+        split.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        found = runs.run_available(stream(source), f"{folder}/out", f"{folder}/state")
+    return found
 
 
 def marker_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -28,28 +28,21 @@ def step(tail: str, delta: str) -> tuple[list[str], str]:
 
 class Markers(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "tail string, next long, place long")
-        self.early = handle.getMapState("early", "seq long", "delta string")
+        self.at = handle.getValueState("at", "tail string, next long, place long, seqs array<long>, deltas array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        tail, after, place = self.at.get() if self.at.exists() else ("", 0, 0)
-        # a delta that was sent twice counts once; only what comes too early is written to the state
-        come = {row.seq: row.delta or "" for row in rows if row.seq >= after}
-        while after in come or self.early.containsKey((after,)):
-            if after in come:
-                delta = come.pop(after)
-            else:
-                delta = self.early.getValue((after,))[0]
-                self.early.removeKey((after,))
+        # the state is read and written once a batch
+        tail, after, place, seqs, deltas = self.at.get() or ("", 0, 0, [], [])
+        # a delta that was sent twice counts once, as it came first; only what comes too early is written to the state
+        come = {row.seq: row.delta or "" for row in rows if row.seq >= after} | dict(zip(seqs, deltas, strict=True))
+        while after in come:
+            delta = come.pop(after)
             found, tail = step(tail, delta)
             after += 1
             for marker in found:
                 yield Row(answer=key[0], place=place, marker=marker)
                 place += 1
-        for seq, delta in come.items():
-            if seq > after:
-                self.early.updateValue((seq,), (delta,))
-        self.at.update((tail, after, place))
+        self.at.update((tail, after, place, list(come), list(come.values())))
 
     def close(self) -> None:
         pass
