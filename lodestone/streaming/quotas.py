@@ -1,7 +1,7 @@
 """Daily quotas as state: asks count up, refunds count down, every local day has a count of its own.
 
 The streaming form keeps the counts of a subject by day and forgets a day by an event-time timer,
-``RETENTION`` behind its end; the batch form gives the same counts for a whole table by windows. A refund takes
+``RETENTION_DAYS`` behind its end; the batch form gives the same counts for a whole table by windows. A refund takes
 one off its own day, never below zero. A late ask or refund changes only the day that it belongs to; one that is
 later than the retention is dropped. Within a day the stream counts in the order in which batches come, and
 by time within a batch.
@@ -35,33 +35,46 @@ def counted(events: DataFrame, limit: int) -> DataFrame:
     return rows.select("subject", "event_id", "day", "count", F.when(~F.col("refund"), F.col("count") <= limit).alias("allowed"))
 
 
+def _forgotten_at(day: str) -> int:
+    """When the count of a local day is forgotten, in milliseconds."""
+    over = dt.datetime.fromisoformat(day).replace(tzinfo=dt.timezone.utc) + dt.timedelta(days=1 + RETENTION_DAYS, hours=6)
+    return int(over.timestamp() * 1000)
+
+
 class Quota(StatefulProcessor):
-    """Counts by day of one subject."""
+    """Counts by day of one subject, in one value that is read and written once a batch, and one timer for the day that is forgotten next."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "day string", "count long")
+        self.counts = handle.getValueState("counts", "days array<string>, counts array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        counts = dict(zip(*(self.counts.get() or ([], [])), strict=True))
+        timer = min(map(_forgotten_at, counts), default=None)
         for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            day = (row.day,)
-            known = self.counts.containsKey(day)
-            count = self.counts.getValue(day)[0] if known else 0
-            count = max(0, count - 1) if row.refund else count + 1
-            self.counts.updateValue(day, (count,))
-            if not known:
-                over = dt.datetime.fromisoformat(row.day).replace(tzinfo=dt.timezone.utc) + dt.timedelta(days=1 + RETENTION_DAYS, hours=6)
-                self.handle.registerTimer(int(over.timestamp() * 1000))
+            count = counts.get(row.day, 0)
+            counts[row.day] = count = max(0, count - 1) if row.refund else count + 1
             yield Row(subject=key[0], event_id=row.event_id, day=row.day, count=count, allowed=None if row.refund else count <= self.limit)
+        self._keep(counts, timer)
+
+    def _keep(self, counts: dict[str, int], timer: int | None) -> None:
+        """Store the counts; a timer is set if the day that is forgotten next isn't that of ``timer``."""
+        self.counts.update((list(counts), list(counts.values())))
+        following = min(map(_forgotten_at, counts))
+        if timer is None or following < timer:
+            self.handle.registerTimer(following)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        over = dt.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, dt.timezone.utc) - dt.timedelta(days=1 + RETENTION_DAYS, hours=6)
-        day = (over.date().isoformat(),)
-        if self.counts.containsKey(day):
-            self.counts.removeKey(day)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        counts = dict(zip(*(self.counts.get() or ([], [])), strict=True))
+        kept = {day: count for day, count in counts.items() if _forgotten_at(day) > now}
+        if kept and len(kept) < len(counts):
+            self._keep(kept, None)
+        elif not kept and counts:
+            self.counts.clear()
         return iter(())
 
     def close(self) -> None:
